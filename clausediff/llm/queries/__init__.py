@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["op3"]
+MODULES = ["op2", "op3", "op10"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
