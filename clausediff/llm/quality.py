@@ -29,7 +29,7 @@ EMBED, FILTERS, HIDDEN = 6, 24, 16
 BLOCK = 2048
 #: Bounds of the sample that is learned from: texts of each class, and characters of a text.
 PER_CLASS, MAX_CHARS = 1200, 20_000
-EPOCHS, BATCH, RATE = 12, 48, 0.004
+STEPS, BATCH, RATE = 600, 48, 0.004
 #: Share of the good texts that are learned from in a shortened form, for short texts are rare among labelled ones.
 SHORTENED = 0.2
 
@@ -175,26 +175,24 @@ def train(sample: list[tuple[str, int]], counts: tuple[int, int], seed: int = 0)
         return net
     rng = np.random.default_rng(seed)
     moments = [(np.zeros(p.shape, np.float64), np.zeros(p.shape, np.float64)) for p in net.parameters()]
-    step, total = 0, EPOCHS * -(-len(sample) // BATCH)
-    for _ in range(EPOCHS):
-        order = rng.permutation(len(sample))
-        for a in range(0, len(order), BATCH):
-            rows = [sample[i] for i in order[a : a + BATCH]]
-            cut = [t[: rng.integers(8, 400)] if y and rng.random() < SHORTENED else t for t, y in rows]
-            grads = _gradients(net, *_packed(cut), np.array([y for _, y in rows], np.float32))
-            step += 1
-            rate = RATE * (1 - step / (total + 1))
-            for p, g, (m, v) in zip(net.parameters(), grads, moments, strict=True):
-                m += 0.1 * (g - m)
-                v += 0.002 * (g * g - v)
-                p -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.998**step)) + 1e-8)).astype(np.float32)
-    ones = sum(y for _, y in sample)
-    net.shift = math.log((counts[1] + 1) / (counts[0] + 1)) - math.log((ones + 1) / (len(sample) - ones + 1))
+    classes = [[t for t, y in sample if y == k] for k in (0, 1)]
+    for step in range(1, STEPS + 1):
+        # as many rows of either class, however few a class has
+        rows = [(classes[k][i], k) for k in (0, 1) for i in rng.integers(0, len(classes[k]), BATCH // 2)]
+        cut = [t[: rng.integers(8, 400)] if y and rng.random() < SHORTENED else t for t, y in rows]
+        grads = _gradients(net, *_packed(cut), np.array([y for _, y in rows], np.float32))
+        rate = RATE * (1 - step / (STEPS + 1))
+        for p, g, (m, v) in zip(net.parameters(), grads, moments, strict=True):
+            m += 0.1 * (g - m)
+            v += 0.002 * (g * g - v)
+            p -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.998**step)) + 1e-8)).astype(np.float32)
+    net.shift = math.log((counts[1] + 1) / (counts[0] + 1))
     return net
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame) -> ByteNet:
-    return train(labelled_sample(docs, labels, "quality", PER_CLASS, MAX_CHARS), class_counts(labels, "quality"))
+    sample = labelled_sample(docs, labels, "quality", PER_CLASS, MAX_CHARS)
+    return train([(text, y) for _, text, y in sample], class_counts(labels, "quality"))
 
 
 def score_quality(docs: DataFrame, net: ByteNet) -> DataFrame:
