@@ -112,7 +112,7 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
             if b - a >= k:
                 yield np.unique(grams[a : b - k + 1])
             elif b > a:
-                salted = words[a:b] * _ODD[: b - a] + _ODD[61] * np.uint64(b - a)
+                salted = words[a:b] * _ODD[: b - a] + np.uint64(int(_ODD[61]) * int(b - a) % 2**64)
                 yield mix(np.sum(salted, keepdims=True))
             else:
                 yield np.empty(0, np.uint64)

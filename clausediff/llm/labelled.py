@@ -14,8 +14,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_chars: int) -> list[tuple[str, int]]:
-    """At most ``per_class`` texts of each class, of at most ``max_chars`` characters each, and their labels.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_chars: int) -> list[tuple[int, str, int]]:
+    """Id, text and label of at most ``per_class`` documents of each class, of at most ``max_chars`` characters each.
 
     The rows of ``labels`` whose ids have the smallest hashes are taken, from
     the folds that are not held out; of several labels of an id the largest
@@ -29,7 +29,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     chosen = some[0].union(some[1]).select(F.col("doc_id").alias("id"), "y").checkpoint()  # at most 2 * per_class rows
     rows = docs.join(F.broadcast(chosen), docs.doc_id == chosen.id).where(F.coalesce(F.length("text"), F.lit(0)) <= max_chars).select("id", "y", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.groupBy("id", "y").agg(F.min("text").alias("text")).collect()
-    return [(r.text, r.y) for r in sorted(rows, key=lambda r: (hash(r.id), r.id))]
+    return sorted((r.id, r.text, r.y) for r in rows)
 
 
 def class_counts(labels: DataFrame, label: str) -> tuple[int, int]:
