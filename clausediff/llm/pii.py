@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 KINDS = ("email", "ip", "card", "phone")
 #: Labels: 0 outside, 1 + 2 * kind first character, 2 + 2 * kind further characters of a span.
@@ -396,6 +397,9 @@ def train_tagger(texts: list[str], seed: int = 0) -> Tagger:
 # ---------------------------------------------------------------- on tables
 
 
+_PII = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("base", T.BooleanType())]))
+
+
 def fit_tagger(docs: DataFrame) -> Tagger:
     """A tagger learned from at most SAMPLE texts of at most MAX_CHARS characters: those with an anchor whose texts hash lowest."""
     some = docs.select("text").where(F.col("text").rlike("[0-9@]") & (F.length("text") <= MAX_CHARS))
@@ -416,7 +420,7 @@ def find_pii(docs: DataFrame, net: Tagger) -> DataFrame:
     at = rest.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(net)  # about 60 KB, whatever the data
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
-    schema = docs.select(*(F.col(f"`{c}`") for c in rest)).schema.add("pii", "array<struct<kind:string,start:long,end:long,base:boolean>>")
+    schema = docs.select(*(F.col(f"`{c}`") for c in rest)).schema.add("pii", _PII)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
