@@ -14,12 +14,12 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -441,9 +441,13 @@ def pii_report(docs: DataFrame) -> DataFrame:
     found = find_pii(docs.select("doc_id", "text"), fit_tagger(docs)).select("doc_id", "pii")
     one = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
     base = F.filter("pii", lambda s: s["base"])
+
+    def of_kind(kind: str) -> Callable[[Column], Column]:
+        return lambda s: s["kind"] == kind
+
     return found.select(
         "doc_id",
-        *(F.size(F.filter("pii", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{k}") for k in KINDS),
+        *(F.size(F.filter(base, of_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS),
         F.sha2(F.array_join(F.transform(base, one), ","), 256).alias("base_sha256"),
         F.array_join(F.transform("pii", one), ",").alias("spans"),
         F.size(F.filter("pii", lambda s: ~s["base"])).cast("long").alias("n_added"),
