@@ -34,24 +34,24 @@ def _masks(benchmark: DataFrame) -> list[tuple[int, ...]]:
     return [*MASKS, *(tuple(range(r.n)) for r in sorted(short))]
 
 
-def _seeds(h: str, masks: list[tuple[int, ...]]) -> Column:
-    """Seed hashes of an array column of token hashes, as one array: those of the first mask by position, then of the next, ..."""
-    made = []
-    for k, mask in enumerate(masks):
-        picked = ", ".join(f"{h}[i + {o}]" for o in mask)
-        made.append(f"if(size({h}) > {mask[-1]}, transform(sequence(0, size({h}) - {mask[-1] + 1}), i -> xxhash64({k}, {picked})), array())")
-    return F.expr(f"concat({', '.join(made)})" if len(made) > 1 else made[0])
-
-
-def _position(at: str, n: str, masks: list[tuple[int, ...]]) -> Column:
-    """Token position of the seed at index ``at`` of ``_seeds`` of ``n`` tokens."""
-    out, before = None, F.lit(0)
-    for mask in masks:
-        count = F.greatest(F.col(n) - mask[-1], F.lit(0))
-        here = (F.col(at) < before + count, F.col(at) - before)
-        out = F.when(*here) if out is None else out.when(*here)
-        before = before + count
-    return out.cast("int")
+def _positions(hashed: DataFrame, masks: list[tuple[int, ...]]) -> DataFrame:
+    """The rows of ``hashed`` with, instead of w and h, each position ``at`` and its seed ``s0``, ``s1``, ... by every mask (null past the end).
+
+    The token hashes of a position stand side by side, as shifted copies of h
+    zipped and exploded, so that seeds are made by compiled code.
+    """
+    keep = [c for c in hashed.columns if c not in ("w", "h")]
+    offsets = sorted({o for m in masks for o in m})
+    shifted = [(F.slice("h", o + 1, 2**30) if o else F.col("h")).alias(f"h{o}") for o in offsets]
+    wide = hashed.select(*keep, F.posexplode(F.arrays_zip(*shifted)).alias("at", "z"))
+    seeds = [F.when(F.col(f"z.h{m[-1]}").isNotNull(), F.xxhash64(F.lit(k), *(F.col(f"z.h{o}") for o in m))).alias(f"s{k}") for k, m in enumerate(masks)]
+    return wide.select(*keep, "at", *seeds)
+
+
+def _stacked(positions: DataFrame, masks: list[tuple[int, ...]]) -> DataFrame:
+    """One row per position and seed."""
+    keep = [c for c in positions.columns if c not in [f"s{k}" for k in range(len(masks))]]
+    return positions.select(*keep, F.explode(F.array(*(F.col(f"s{k}") for k in range(len(masks))))).alias("seed")).where("seed is not null")
 
 
 def _hashed(df: DataFrame, *keep: str) -> DataFrame:
@@ -75,14 +75,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     items = _hashed(benchmark.select("item_id", "text").distinct(), "item_id").where(F.size("w") > 0).checkpoint()
     masks = _masks(items)
-    item_seeds = items.select("item_id", F.size("h").alias("n"), F.posexplode(_seeds("h", masks)).alias("at", "seed")).select("item_id", "seed", _position("at", "n", masks).alias("item_pos"))
+    item_seeds = _stacked(_positions(items, masks), masks).select("item_id", "seed", F.col("at").alias("item_pos"))
     own = docs.select("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), "text")
-    seeds = _hashed(own, "doc_id", "t1", "t2").select("doc_id", "t1", "t2", F.size("h").alias("n"), F.posexplode(_seeds("h", masks)).alias("at", "seed"))
+    positions = _positions(_hashed(own, "doc_id", "t1", "t2"), masks)
     small = small_enough(spark, item_seeds, BROADCAST_SEEDS)
     hint = F.broadcast if small else (lambda df: df)
+    if small:  # positions without any seed of the benchmark go before a row per seed is made
+        some = F.lit(False)
+        for k in range(len(masks)):
+            known = item_seeds.select(F.col("seed").alias(f"b{k}")).distinct()
+            positions = positions.join(F.broadcast(known), F.col(f"s{k}") == F.col(f"b{k}"), "left")
+            some = some | F.col(f"b{k}").isNotNull()
+        positions = positions.where(some).drop(*(f"b{k}" for k in range(len(masks))))
     hits = (
-        seeds.join(hint(item_seeds), "seed")
-        .select("doc_id", "t1", "t2", "item_id", (_position("at", "n", masks) - F.col("item_pos")).alias("diagonal"))
+        _stacked(positions, masks)
+        .join(hint(item_seeds), "seed")
+        .select("doc_id", "t1", "t2", "item_id", (F.col("at") - F.col("item_pos")).alias("diagonal"))
         .groupBy("doc_id", "t1", "t2")
         .agg(F.collect_set(F.struct("item_id", "diagonal")).alias("hits"))
     )
