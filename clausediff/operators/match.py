@@ -122,8 +122,10 @@ def match_by_vectors(old: DataFrame, new: DataFrame, vectors: DataFrame, min_cos
     side, order_index and vector.
     """
     on = ["pair_id", "order_index"]
-    a = old.join(vectors.where("side = 'old'").select(*on, "vector"), on).select("pair_id", "section_type", "order_index", "vector")
-    b = new.join(vectors.where("side = 'new'").select(*on, "vector"), on).select("pair_id", "section_type", "order_index", "vector")
+    cols = ("pair_id", "section_type", "order_index", "vector")
+    # each column is named anew, for both sides come from one table
+    sided = lambda side, df: df.join(vectors.where(F.col("side") == side).select(*on, "vector"), on).select(*(F.col(c).alias(c) for c in cols))
+    a, b = sided("old", old), sided("new", new)
 
     def assign(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int, int]] = []

@@ -18,7 +18,7 @@ class Comparison:
     """Lazy tables of a comparison of all pairs; each is planned when it is first asked for.
 
     Alignment is the dear step and several tables need it: ``persist`` keeps
-    the sections and the sentence differences (memory, then disk).
+    the sections, the matches and the sentence differences (memory, then disk).
     """
 
     def __init__(self, sections: DataFrame, vectors: DataFrame | None = None, min_cosine: float = MIN_COSINE) -> None:
@@ -54,6 +54,7 @@ class Comparison:
 
     def persist(self) -> Comparison:
         self.sections = self.sections.persist()
+        self.matches = self.matches.persist()
         self.sentence_diffs = self.sentence_diffs.persist()
         return self
 
