@@ -121,22 +121,20 @@ def match_by_vectors(old: DataFrame, new: DataFrame, vectors: DataFrame, min_cos
     The threshold is applied after the assignment. ``vectors`` has pair_id,
     side, order_index and vector.
     """
-    on = ["pair_id", "order_index"]
-    cols = ("pair_id", "section_type", "order_index", "vector")
-    # each column is named anew, for both sides come from one table
-    sided = lambda side, df: df.join(vectors.where(F.col("side") == side).select(*on, "vector"), on).select(*(F.col(c).alias(c) for c in cols))
-    a, b = sided("old", old), sided("new", new)
+    on = ["pair_id", "side", "order_index"]
+    left = old.withColumn("side", F.lit("old")).union(new.withColumn("side", F.lit("new"))).drop("madde_no", "key")
+    both = left.join(vectors.select(*on, "vector"), on).select("pair_id", "section_type", "side", "order_index", "vector")
 
-    def assign(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+    def assign(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("order_index")
+        x, y = rows[rows["side"] == "old"], rows[rows["side"] == "new"]
         out: list[tuple[int, int, int]] = []
         if len(x) and len(y):
-            x, y = x.sort_values("order_index"), y.sort_values("order_index")
             cosine = cosine_matrix(np.array(x["vector"].tolist(), np.float32), np.array(y["vector"].tolist(), np.float32))
             out = [(int(x["pair_id"].iloc[0]), int(x["order_index"].iloc[i]), int(y["order_index"].iloc[j])) for i, j in best_assignment(cosine) if cosine[i, j] >= min_cosine]
         return pd.DataFrame(out, columns=["pair_id", "old_index", "new_index"])
 
-    group = ["pair_id", "section_type"]
-    return a.groupBy(*group).cogroup(b.groupBy(*group)).applyInPandas(assign, "pair_id long, old_index int, new_index int")
+    return both.groupBy("pair_id", "section_type").applyInPandas(assign, "pair_id long, old_index int, new_index int")
 
 
 def _left(side: DataFrame, matched: DataFrame, index: str) -> DataFrame:

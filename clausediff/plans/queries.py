@@ -261,9 +261,11 @@ def word_diff(spark, sf_dir):
     return made.select("pair_id", "old_index", "new_index", "diff_no", "word_no", "w.op", F.array_join("w.old_words", " ").alias("old_words"), F.array_join("w.new_words", " ").alias("new_words"))
 
 
-@query("""SELECT m.pair_id, CASE WHEN old_no = new_no THEN 'MADDE ' || old_no ELSE 'MADDE ' || old_no || ' → ' || new_no END AS madde, 'Süre' AS kind, (10 * n) || ' gün' AS old_value, (10 * n + 15) || ' gün' AS new_value,
-  CAST((new_no - 1) // 5 + 1 AS VARCHAR) AS new_page FROM m JOIN o ON o.pair_id = m.pair_id AND o.no = m.old_no WHERE n % 4 = 2""")
+@query("""SELECT pair_id, CASE WHEN old_no = new_no THEN 'MADDE ' || old_no ELSE 'MADDE ' || old_no || ' → ' || new_no END AS madde, 'Süre' AS kind,
+  CASE part WHEN 2 THEN '—' ELSE (10 * n) || ' gün' END AS old_value, CASE part WHEN 1 THEN '—' ELSE (10 * n + 15) || ' gün' END AS new_value, CAST((new_no - 1) // 5 + 1 AS VARCHAR) AS new_page
+  FROM (SELECT m.*, o.n, unnest(CASE WHEN o.n % 5 = 1 THEN [1, 2] ELSE [0] END) AS part FROM m JOIN o ON o.pair_id = m.pair_id AND o.no = m.old_no WHERE o.n % 4 = 2)""")
 def temporal_changes(spark, sf_dir):
+    """Where a sentence was added before the changed one, the two stand against other sentences and are not paired."""
     c = comparison(spark, sf_dir)
     table = metrics.temporal_table(c.temporal_changes, c.pairs)
     return table.select("pair_id", "madde", "kind", "old_value", "new_value", (F.floor(F.col("new_index") / 5) + 1).cast("string").alias("new_page"))
