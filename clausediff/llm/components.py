@@ -8,7 +8,6 @@ number of links never grows and a chain of n vertices takes O(log^2 n) rounds.
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,28 +34,6 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return names[moved], names[label[moved]]
 
 
-def thinned(links: DataFrame, every: int = 1 << 20) -> DataFrame:
-    """``links`` (a, b long) without those that a task can see to be implied by its others."""
-
-    def thin(batches):
-        a, b, held = [], [], 0
-        for batch in batches:
-            a.append(batch.column(0).to_numpy())
-            b.append(batch.column(1).to_numpy())
-            held += batch.num_rows
-            if held >= every:
-                x, y = forest(np.concatenate(a), np.concatenate(b))
-                a, b, held = [x], [y], len(x)
-                if held > every // 2:
-                    yield pa.record_batch([pa.array(x), pa.array(y)], names=["a", "b"])
-                    a, b, held = [], [], 0
-        if a:
-            x, y = forest(np.concatenate(a), np.concatenate(b))
-            yield pa.record_batch([pa.array(x), pa.array(y)], names=["a", "b"])
-
-    return links.select("a", "b").mapInArrow(thin, "a long, b long")
-
-
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``(id, component)`` of each vertex with a link, ``component`` the smallest id it reaches.
 

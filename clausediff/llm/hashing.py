@@ -20,7 +20,7 @@ _VALUE = np.random.default_rng(7).integers(1, 2**63, size=256, dtype=np.uint64)
 _VALUE[ord("A") : ord("Z") + 1] = _VALUE[ord("a") : ord("z") + 1]
 _VALUE[_SPACE] = 0
 #: Bytes that are hashed at once, unless one text is longer.
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 _powers: tuple[np.ndarray, np.ndarray] | None = None
 
 

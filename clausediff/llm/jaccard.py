@@ -1,26 +1,30 @@
 """N-gram Jaccard join: a blocked sparse product of the document by n-gram incidence matrix.
 
-Which documents can reach the threshold is bounded by their sizes twice over:
-
-* of a set of n n-grams, in any order that all sets share, the first
-  n - ceil(t * n) + 1 (its prefix) hold one of every set that it reaches the
-  threshold t with. Candidates are the documents that share an n-gram of their
-  prefixes, linked in stars, so a frequent n-gram costs a link per document
-  and not one per pair. The order puts n-grams that are frequent over the
-  whole corpus last, by a fixed-size sketch of counts; any order is exact, this
-  one keeps shared passages out of the prefixes;
-* documents of a component of candidates are multiplied with each other only
-  if the smaller has t times the n-grams of the larger. A component is split
-  by size class, and within a class into blocks of bounded size; each pair of
-  blocks is a task of its own, which accumulates all overlap counts of its
-  documents and gives a spanning forest of the pairs that reach the threshold.
-
-Equal sets are one document until the end.
+Which documents can reach the threshold follows from their sizes, three times:
+
+* sets of a and b n-grams that reach the threshold t differ in at most
+  (1 - t) / (1 + t) * (a + b) n-grams. If their n-grams are dealt by hash to
+  more segments than that, some segment is equal in both. Documents with an
+  equal segment are candidates, linked in stars, so that a segment of many
+  documents costs a link per document and not one per pair. The number of
+  segments grows with the size, so a segment holds several n-grams: a shared
+  line or passage makes candidates of hardly any documents;
+* a large component of candidates is cut down by pairwise bounds from parity
+  bits: two sets whose parities differ in d bits differ in d n-grams at least.
+  The pairs that the bound leaves give smaller components;
+* documents of a component are multiplied with each other only if the smaller
+  has t times the n-grams of the larger. A component is split by size class,
+  and within a class into blocks of bounded size; each pair of blocks is a task
+  of its own, which accumulates all overlap counts of its documents and gives a
+  spanning forest of the pairs that reach the threshold.
+
+None of the bounds loses a pair. Equal sets are one document until the end.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,47 +32,59 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausediff.llm.components import connected_components, forest, thinned
+from clausediff.llm.components import connected_components, forest
 from clausediff.llm.hashing import mix, shingle_sets
 from clausediff.llm.storage import written
 
-#: Counters of the frequency sketch (4 bytes each, broadcast) and how many make a row of its merge.
-COUNTERS, SLICE = 1 << 20, 1 << 14
 #: Documents of a block, and its n-grams: about 200 MB of a task's memory.
 BLOCK_DOCS, BLOCK_GRAMS = 1500, 3_000_000
 #: Columns of a tile of the dense part of a product; n-grams in fewer documents of a block are counted pair by pair.
 TILE, DENSE = 4096, 24
 #: Postings that a task gathers before it links them.
-HELD = 4_000_000
-
-
-def frequency_sketch(docs: DataFrame, n: int) -> np.ndarray:
-    """How often the n-grams of each of COUNTERS classes stand in all documents (once per document)."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
-        for batch in batches:
-            held: list[np.ndarray] = []
-            for own in shingle_sets(batch.column(0), n):
-                held.append((own & np.uint64(COUNTERS - 1)).astype(np.int64))
-            if held:
-                total += np.bincount(np.concatenate(held), minlength=COUNTERS)
-        parts = total.reshape(-1, SLICE)
-        yield pa.record_batch([pa.array(np.arange(len(parts))), pa.array([p.astype("<i8").tobytes() for p in parts], pa.binary())], names=["slice", "counts"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[k] = sums.get(k, 0) + np.frombuffer(raw, "<i8")
-        if sums:
-            yield pa.record_batch([pa.array(list(sums)), pa.array([np.minimum(s, 2**31 - 1).astype("<i4").tobytes() for s in sums.values()], pa.binary())], names=["slice", "counts"])
-
-    slices = docs.select("text").mapInArrow(count, "slice long, counts binary").repartition(COUNTERS // SLICE, "slice").mapInArrow(merge, "slice long, counts binary").collect()
-    out = np.zeros((COUNTERS // SLICE, SLICE), np.int32)
-    for r in slices:
-        out[r["slice"]] = np.frombuffer(r.counts, "<i4")
-    return out.ravel()
+HELD = 1_000_000
+#: Parity bits of a set; components of more documents are cut down by them, in blocks of so many.
+PARITY, LARGE, PARITY_BLOCK = 1024, 200, 3000
+
+
+class Segments:
+    """How sets are dealt to segments. Sizes fall into cells; a cell's group reaches as far beyond it as partners of its sets may."""
+
+    def __init__(self, percent: int, largest: int = 1 << 40) -> None:
+        self.edges = [1]
+        while self.edges[-1] < largest:
+            self.edges.append(max(self.edges[-1] + 1, math.ceil(self.edges[-1] * (100 / percent) ** 3)))
+        self.high = [(e - 1) * 100 // percent for e in self.edges[1:]]
+        self.differ = [(100 - percent) * 2 * h // (100 + percent) for h in self.high]
+        # more than can differ, and some for segments without n-grams
+        self.count = [d + 1 + 2 + d // 12 for d in self.differ]
+
+    def keys(self, own: np.ndarray) -> np.ndarray:
+        """One key for each segment of the set in each of its groups (one or two).
+
+        Sets of few enough n-grams per segment that an equal segment might be
+        an empty one have keys for these too; so have their partners then.
+        """
+        cell = bisect_right(self.edges, len(own)) - 1
+        deal, value = mix(own ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(32), mix(own + np.uint64(0x14057B7EF767814F))
+        out = []
+        for j in (cell, cell - 1):
+            if j < 0 or j < cell and len(own) > self.high[j]:
+                continue
+            segment = (deal * np.uint64(self.count[j])) >> np.uint64(32)
+            order = np.argsort(segment, kind="stable")
+            ranked = segment[order]
+            first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+            salt = np.uint64((j + 1) * 0x9E3779B97F4A7C15 % 2**64)
+            out.append(mix(np.add.reduceat(value[order], first) + ranked[first] * np.uint64(0xD6E8FEB86659FD93) + salt))
+            if self.count[j] - len(first) >= self.count[j] - self.differ[j]:
+                empty = np.setdiff1d(np.arange(self.count[j], dtype=np.uint64), ranked[first])
+                out.append(mix(mix(empty + salt) + np.uint64(1)))
+        return np.concatenate(out)
+
+
+def parity(own: np.ndarray) -> bytes:
+    bits = np.bincount((mix(own ^ np.uint64(0xA0761D6478BD642F)) & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
 def _signature(own: np.ndarray) -> tuple[int, int]:
@@ -81,25 +97,19 @@ def _signature(own: np.ndarray) -> tuple[int, int]:
 
 
 def set_sizes(docs: DataFrame, n: int) -> DataFrame:
-    """``(doc_id, n_shingles, s1, s2)`` of each row: the size of its set and a signature of the set."""
+    """``(doc_id, n_shingles, s1, s2, parity)`` of each row: the size of its set, a signature of the set, and its parity bits."""
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [(len(own), *_signature(own)) for own in shingle_sets(batch.column(1), n)]
-            cols = [pa.array([g[i] for g in got], pa.int64()) for i in range(3)]
-            yield pa.record_batch([batch.column(0), *cols], names=["doc_id", "n_shingles", "s1", "s2"])
+            got = [(len(own), *_signature(own), parity(own)) for own in shingle_sets(batch.column(1), n)]
+            cols = [pa.array([g[i] for g in got], pa.binary() if i == 3 else pa.int64()) for i in range(4)]
+            yield pa.record_batch([batch.column(0), *cols], names=["doc_id", "n_shingles", "s1", "s2", "parity"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sizes, "doc_id long, n_shingles long, s1 long, s2 long")
-
-
-def _ceil_share(percent: int, size: np.ndarray | int):
-    """ceil(percent / 100 * size) in integers."""
-    return -(-percent * size // 100)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sizes, "doc_id long, n_shingles long, s1 long, s2 long, parity binary")
 
 
 def candidate_links(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """``(a, b)`` links of documents that share an n-gram of their prefixes, in stars of each n-gram."""
-    sketch = docs.sparkSession.sparkContext.broadcast(frequency_sketch(docs, n))
+    """``(a, b)`` links of documents with an equal segment, in stars of each segment."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, owners, held = [], [], 0
@@ -111,50 +121,46 @@ def candidate_links(docs: DataFrame, n: int, percent: int) -> DataFrame:
             first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
             least = np.repeat(d[first], np.diff(np.concatenate([first, [len(g)]])))
             a, b = forest(d[d != least], least[d != least])
-            # links within this task, and each n-gram once with its least document
+            # links within this task, and each segment once with its least document
             kind = np.concatenate([np.zeros(len(a), np.int8), np.ones(len(first), np.int8)])
             return pa.record_batch([pa.array(kind), pa.array(np.concatenate([a, g[first].view(np.int64)])), pa.array(np.concatenate([b, d[first]]))], names=["kind", "a", "b"])
 
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for i, own in enumerate(shingle_sets(batch.column(1), n)):
-                size = len(own)
-                if not size:
-                    continue
-                keep = size - _ceil_share(percent, size) + 1
-                rank = np.minimum(sketch.value[(own & np.uint64(COUNTERS - 1)).astype(np.int64)] >> 4, 1 << 27)
-                # frequent classes last; among the rest an order by hash
-                rank = np.where(rank <= floor, 0, rank)
-                grams.append(own[np.lexsort((mix(own), rank))[:keep]] if keep < size else own)
-                owners.append(np.full(len(grams[-1]), ids[i]))
-                held += len(grams[-1])
+                if len(own):
+                    grams.append(segments.keys(own))
+                    owners.append(np.full(len(grams[-1]), ids[i]))
+                    held += len(grams[-1])
             if held >= HELD:
                 yield out()
                 grams, owners, held = [], [], 0
         if held:
             yield out()
 
-    # counts that chance alone explains tell nothing: up to four times the mean
-    floor = int(4 * max(1.0, float(sketch.value.mean()))) >> 4
+    segments = Segments(percent)
     posted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").mapInArrow(post, "kind byte, a long, b long")
-    posted = written(posted, "postings")
 
     def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g, d = [], []
+        g, d, x, y = [], [], [], []
         for batch in batches:
-            g.append(batch.column(0).to_numpy())
-            d.append(batch.column(1).to_numpy())
+            kind, a, b = (c.to_numpy() for c in batch.columns)
+            x.append(a[kind == 0])
+            y.append(b[kind == 0])
+            g.append(a[kind == 1])
+            d.append(b[kind == 1])
         if g:
             g, d = np.concatenate(g), np.concatenate(d)
             order = np.lexsort((d, g))
             g, d = g[order], d[order]
-            first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+            first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.empty(0, np.int64)
             least = np.repeat(d[first], np.diff(np.concatenate([first, [len(g)]])))
-            a, b = forest(d[d != least], least[d != least])
+            a, b = forest(np.concatenate([*x, d[d != least]]), np.concatenate([*y, least[d != least]]))
             yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    met = posted.where("kind = 1").select("a", "b").repartition(F.col("a")).mapInArrow(star, "a long, b long")
-    return thinned(posted.where("kind = 0").select("a", "b").union(met))
+    # each partition gives a forest of the same documents: few partitions repeat few links
+    few = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)
+    return posted.repartition(few, F.col("a")).mapInArrow(star, "a long, b long")
 
 
 def overlaps(sets: list[np.ndarray], others: list[np.ndarray] | None = None) -> np.ndarray:
@@ -201,6 +207,94 @@ def reaching(sets: list[np.ndarray], others: list[np.ndarray] | None, percent: i
     return x, y
 
 
+def _dealt(met: DataFrame, percent: int, most_docs: int, most_grams: int) -> DataFrame:
+    """``(doc_id, size, parity, block, first)``: the tasks that each document of ``met`` (doc_id, cluster, size, parity) is in.
+
+    A cluster that fits is one task. Else its documents fall into size classes
+    and blocks of a class; a task is two blocks of a class or of neighbouring
+    ones, and ``first`` tells whether a document is of the first block. Clusters
+    of one document have no task.
+    """
+    step = math.log(100 / percent) * 1.0001  # so that rounding never puts two classes between sizes that may meet
+    met = met.withColumn("class", F.floor(F.log("size") / step).cast("int"))
+    classes = met.groupBy("cluster", "class").agg(F.count("*").alias("docs"), F.sum("size").alias("grams"))
+    classes = classes.withColumn("blocks", F.greatest(F.ceil(F.col("docs") / most_docs), F.ceil(F.col("grams") / most_grams)).cast("int"))
+    whole = classes.groupBy("cluster").agg(F.sum("docs").alias("all_docs"), F.sum("grams").alias("all_grams")).where("all_docs > 1")
+    near = classes.select("cluster", F.explode(F.array(F.struct((F.col("class") - 1).alias("class"), F.col("blocks").alias("above"), F.lit(0).alias("below")), F.struct((F.col("class") + 1).alias("class"), F.lit(0).alias("above"), F.col("blocks").alias("below")))).alias("x"))
+    near = near.select("cluster", "x.*").groupBy("cluster", "class").agg(F.sum("above").cast("int").alias("above"), F.sum("below").cast("int").alias("below"))
+    plan = classes.join(whole, "cluster").join(near, ["cluster", "class"], "left").fillna(0, ["above", "below"])
+    dealt = met.join(plan, ["cluster", "class"])
+    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    fits = (F.col("all_docs") <= most_docs) & (F.col("all_grams") <= most_grams)
+    task = lambda c1, b1, c2, b2: F.struct(c1.cast("int").alias("c1"), b1.cast("int").alias("b1"), c2.cast("int").alias("c2"), b2.cast("int").alias("b2"))
+    none = F.array().cast("array<struct<c1:int,b1:int,c2:int,b2:int>>")
+    c = F.col("class")
+    meets = F.concat(
+        F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: task(c, F.least(own, i), c, F.greatest(own, i))),
+        F.when(F.col("above") > 0, F.transform(F.sequence(F.lit(0), F.col("above") - 1), lambda i: task(c, own, c + 1, i))).otherwise(none),
+        F.when(F.col("below") > 0, F.transform(F.sequence(F.lit(0), F.col("below") - 1), lambda i: task(c - 1, i, c, own))).otherwise(none),
+    )
+    one = F.array(task(F.lit(-1), F.lit(0), F.lit(-1), F.lit(0)))
+    tasks = dealt.select("doc_id", "size", "parity", "cluster", "class", own.alias("own"), F.explode(F.when(fits, one).otherwise(meets)).alias("m"))
+    first = (F.col("class") == F.col("m.c1")) & (F.col("own") == F.col("m.b1")) | (F.col("m.c1") < 0)
+    return tasks.select("doc_id", "size", "parity", F.concat_ws(":", *(F.col(x).cast("string") for x in ("cluster", "m.c1", "m.b1", "m.c2", "m.b2"))).alias("block"), first.alias("first"))
+
+
+def within_bounds(size1: np.ndarray, bits1: np.ndarray, size2: np.ndarray, bits2: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs sizes and parity bits (rows of 64-bit words) leave a chance to reach the threshold."""
+    apart = np.zeros((len(size1), len(size2)), np.int64)
+    for w in range(bits1.shape[1]):
+        apart += np.bitwise_count(bits1[:, w, None] ^ bits2[None, :, w])
+    total = size1[:, None] + size2[None, :]
+    apart = np.maximum(apart, np.abs(size1[:, None] - size2[None, :]))
+    return (100 + percent) * (total - apart) >= 2 * percent * total
+
+
+def _cut_down(met: DataFrame, percent: int) -> DataFrame:
+    """``met`` with the clusters of more than LARGE documents replaced by the components that the bounds leave of them."""
+    large = met.groupBy("cluster").count().where(F.col("count") > LARGE).select("cluster")
+    inside = met.join(large, "cluster", "left_semi")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (ids, size, raw, first) in _by_block(batches, (0, 1, 2, 4)):
+            names, n, side = np.array(ids, np.int64), np.array(size, np.int64), np.array(first, bool)
+            bits = np.frombuffer(b"".join(raw), np.uint64).reshape(len(names), -1)
+            a = np.flatnonzero(side)
+            b = a if side.all() else np.flatnonzero(~side)
+            us, vs = [], []
+            for at in range(0, len(a), 256):
+                part = a[at : at + 256]
+                x, y = np.nonzero(within_bounds(n[part], bits[part], n[b], bits[b], percent))
+                u, v = forest(names[part[x]], names[b[y]])
+                us.append(u)
+                vs.append(v)
+            if us:
+                u, v = forest(np.concatenate(us), np.concatenate(vs))
+                yield pa.record_batch([pa.array(u), pa.array(v)], names=["a", "b"])
+
+    tasks = _dealt(inside, percent, PARITY_BLOCK, 1 << 60).select("doc_id", "size", "parity", "block", "first")
+    links = tasks.repartition(F.col("block")).sortWithinPartitions("block").mapInArrow(compare, "a long, b long")
+    found = connected_components(links).select(F.col("id").alias("doc_id"), F.col("component").alias("part"))
+    smaller = inside.join(found, "doc_id").select("doc_id", F.col("part").alias("cluster"), "size", "parity")
+    return met.join(large, "cluster", "left_anti").select("doc_id", "cluster", "size", "parity").union(smaller)
+
+
+def _by_block(batches: Iterator[pa.RecordBatch], columns: tuple[int, ...]) -> Iterator[tuple[str, list[list]]]:
+    """Rows of each block (column 3) of batches sorted by it: lists of the columns."""
+    block, held = None, [[] for _ in columns]
+    for batch in batches:
+        blocks, values = batch.column(3).to_pylist(), [batch.column(c).to_pylist() for c in columns]
+        for i, name in enumerate(blocks):
+            if name != block:
+                if held[0]:
+                    yield block, held
+                block, held = name, [[] for _ in columns]
+            for h, v in zip(held, values, strict=True):
+                h.append(v[i])
+    if held[0]:
+        yield block, held
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` of each row of ``docs`` (doc_id, text; other columns are ignored).
 
@@ -216,28 +310,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     links = candidate_links(docs, n, percent)
     clusters = connected_components(links).select(F.col("id").alias("doc_id"), F.col("component").alias("cluster"))
     # one document of each set stands for all; sets that meet no other are done
-    same = sizes.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("size"))
-    step = math.log(100 / percent) * 1.0001  # so that rounding never puts two classes between sizes that may meet
-    met = same.join(clusters, "doc_id").select("doc_id", "s1", "s2", "cluster", "size", F.floor(F.log("size") / step).cast("int").alias("class"))
-    met = written(met, "candidates")
-    classes = met.groupBy("cluster", "class").agg(F.count("*").alias("docs"), F.sum("size").alias("grams"))
-    classes = classes.withColumn("blocks", F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int"))
-    # a cluster that fits is one block; else the blocks of a class meet each other and those of the next
-    whole = classes.groupBy("cluster").agg(F.sum("docs").alias("all_docs"), F.sum("grams").alias("all_grams"))
-    nearby = classes.select("cluster", (F.col("class") - 1).alias("class"), F.col("blocks").alias("above"))
-    below = classes.select("cluster", (F.col("class") + 1).alias("class"), F.col("blocks").alias("below"))
-    plan = classes.join(whole, "cluster").where("all_docs > 1").join(nearby, ["cluster", "class"], "left").join(below, ["cluster", "class"], "left").fillna(0, ["above", "below"])
-    dealt = met.join(plan, ["cluster", "class"])
-    own = F.pmod(F.xxhash64("s1", "s2"), F.col("blocks")).cast("int")
-    fits = (F.col("all_docs") <= BLOCK_DOCS) & (F.col("all_grams") <= BLOCK_GRAMS)
-    meets = F.concat(
-        F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.col("class").alias("c1"), F.least(own, i).alias("b1"), F.col("class").alias("c2"), F.greatest(own, i).alias("b2"))),
-        F.when(F.col("above") > 0, F.transform(F.sequence(F.lit(0), F.col("above") - 1), lambda i: F.struct(F.col("class").alias("c1"), own.alias("b1"), (F.col("class") + 1).alias("c2"), i.alias("b2")))).otherwise(F.array()),
-        F.when(F.col("below") > 0, F.transform(F.sequence(F.lit(0), F.col("below") - 1), lambda i: F.struct((F.col("class") - 1).alias("c1"), i.alias("b1"), F.col("class").alias("c2"), own.alias("b2")))).otherwise(F.array()),
-    )
-    one = F.array(F.struct(F.lit(-1).alias("c1"), F.lit(0).alias("b1"), F.lit(-1).alias("c2"), F.lit(0).alias("b2")))
-    tasks = dealt.select("doc_id", "cluster", "class", own.alias("own"), F.explode(F.when(fits, one).otherwise(meets)).alias("m"))
-    tasks = tasks.groupBy("doc_id").agg(F.collect_list(F.struct(F.concat_ws(":", "cluster", "m.c1", "m.b1", "m.c2", "m.b2").alias("block"), ((F.col("class") == F.col("m.c1")) & (F.col("own") == F.col("m.b1")) | (F.col("m.c1") < 0)).alias("first"))).alias("tasks"))
+    same = sizes.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("size"), F.max("parity").alias("parity"))
+    met = written(same.join(clusters, "doc_id").select("doc_id", "cluster", "size", "parity"), "candidates")
+    met = written(_cut_down(met, percent), "clusters")
+    tasks = _dealt(met, percent, BLOCK_DOCS, BLOCK_GRAMS).groupBy("doc_id").agg(F.collect_list(F.struct("block", "first")).alias("tasks"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(tasks, "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("tasks").alias("tasks"))
     placed = texts.select("doc_id", "text", F.explode("tasks").alias("t")).select("doc_id", "text", "t.block", "t.first")
 
