@@ -142,6 +142,22 @@ def test_compact_windows_are_the_wide_nodes_of_the_tree():
         assert sorted(zip(*(x.tolist() for x in substrings.compact_windows(values, width)), strict=True)) == sorted(want)
 
 
+def test_runs_are_found_wherever_some_run_is_alike():
+    rng = np.random.default_rng(4)
+    for n, edits in [(50, [47]), (60, [30]), (80, [40]), (90, [45]), (120, [40, 80]), *((int(rng.integers(50, 121)), rng.integers(0, 50, rng.integers(1, 6)).tolist()) for _ in range(150))]:
+        a = rng.integers(0, 2**63, n - 4)
+        b = a.copy()
+        for e in edits:
+            b[max(0, e - 4) : e + 1] += 1
+        same = a == b
+        total = np.concatenate([[0], np.cumsum(same)])
+        runs = [(s, e) for s in range(n - 4) for e in range(s + 46, n - 3) if 10 * (total[e] - total[s]) >= 8 * (2 * (e - s) - total[e] + total[s])]
+        got = substrings.alike(a, b, 46, 0.8)
+        assert bool(got) == bool(runs), (n, edits)
+        assert all((s, e) in runs and same[s:e].sum() == c for s, e, c in got)
+        assert not [r for r in runs if all(r[1] <= s or r[0] >= e for s, e, _ in got)]
+
+
 def test_codes_bound_inner_products():
     rng = np.random.default_rng(2)
     x = vectors._unit(rng.standard_normal((400, 48)))
