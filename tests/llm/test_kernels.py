@@ -158,6 +158,35 @@ def test_runs_are_found_wherever_some_run_is_alike():
         assert not [r for r in runs if all(r[1] <= s or r[0] >= e for s, e, _ in got)]
 
 
+def test_aligned_passages_against_brute_force():
+    rng = random.Random(6)
+    many = [(50, 0), (60, 1), (90, 1), (90, 2), (120, 2), *((rng.randrange(50, 100), rng.randrange(0, 4)) for _ in range(30))]
+    for n, edits in many:
+        words = [rng.randrange(10**9) for _ in range(n)]
+        other = list(words)
+        for _ in range(edits):
+            at = rng.randrange(len(other))
+            other[at : at + rng.randrange(2)] = [rng.randrange(10**9)] * rng.randrange(2)
+        pad = lambda: [rng.randrange(10**9) for _ in range(rng.randrange(0, 30))]
+        x, y = (substrings.shingle_hashes(np.array(pad() + w + pad(), np.uint64), 5) for w in (words, other))
+        place = {int(h): j for j, h in enumerate(y)}
+        spots = np.array([place.get(int(h), -1) for h in x])
+        some = False
+        for a in range(len(x)):
+            for b in range(a + 46, len(x) + 1):
+                js = spots[a:b][spots[a:b] >= 0]
+                if 10 * len(js) >= 8 * (b - a):
+                    q = max(46, int(js.max() - js.min()) + 1)
+                    some |= len(y) >= q and 10 * len(js) >= 8 * (b - a + q - len(js))
+        got = substrings.aligned(x, y, 46, 0.8)
+        assert bool(got) == some, (n, edits)
+        for a, b, c, d, same in got:
+            both = len(np.intersect1d(x[a:b], y[c:d]))
+            assert both == same and min(b - a, d - c) >= 46 and 10 * both >= 8 * (b - a + d - c - both)
+    halves = [substrings.shingle_hashes(np.array([rng.randrange(10**9) for _ in range(60)], np.uint64), 5) for _ in range(2)]
+    assert [r[4] for r in substrings.aligned(np.concatenate(halves), np.concatenate(halves[::-1]), 46, 0.8)] == [56, 56]
+
+
 def test_codes_bound_inner_products():
     rng = np.random.default_rng(2)
     x = vectors._unit(rng.standard_normal((400, 48)))

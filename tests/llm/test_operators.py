@@ -81,6 +81,21 @@ def test_repeated_passages(docs):
     assert substrings.repeated_passages(docs.limit(0)).count() == 0
 
 
+def test_passages_with_words_inserted_and_deleted(spark):
+    rng = random.Random(11)
+    some = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for i in range(60):
+        words = some(102)
+        other = list(words)
+        other[68 : 68 + i % 2] = some(1 - i % 2)
+        other[34:34] = some(1)
+        rows += [(2 * i, " ".join(some(40) + words + some(30))), (2 * i + 1, " ".join(some(30) + other + some(40)))]
+    got = substrings.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.doc_id // 2 == r.ref_doc_id // 2 and r.n_words >= 50 and r.similarity >= 0.8 for r in got)
+    assert len({r.doc_id // 2 for r in got}) >= 58  # a passage of similarity 0.8 is missed with a chance of 0.006
+
+
 def test_decontamination(spark, docs):
     item = PASSAGE.split()[:20]
     item[6], item[13] = "changed", "too"
