@@ -96,6 +96,30 @@ def test_passages_with_words_inserted_and_deleted(spark):
     assert len({r.doc_id // 2 for r in got}) >= 58  # a passage of similarity 0.8 is missed with a chance of 0.006
 
 
+def test_chains_of_overlapping_passages(spark):
+    rng = random.Random(12)
+    some = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for i in range(40):  # the first and the third share 49 words only
+        whole = some(300)
+        for j, words in enumerate((whole[:200], whole, whole[151:201 + i % 4])):
+            rows.append((3 * i + j, " ".join(some(30) + words + some(30))))
+    got = substrings.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    linked = {frozenset((r.doc_id, r.ref_doc_id)) for r in got}
+    assert all(frozenset((3 * i + j, 3 * i + 1)) in linked for i in range(40) for j in (0, 2))
+
+
+def test_windows_that_a_leader_does_not_cover_stay():
+    n = substrings.FEW + 4
+    v, around, doc = np.zeros(n, np.int64), np.full(n, 7 << 32, np.int64), np.arange(n)
+    lo, hi = np.full(n, 100), np.full(n, 140)  # around 120, all within the first but two, which reach further on a side
+    lo[0], hi[0], hi[-1], hi[-2] = 0, 150, 200, 190
+    found, needed = substrings.pair_up(v, around, doc, substrings._pack(lo, np.full(n, 120), hi), 36)
+    links = {frozenset(r[:2].tolist()) for r in found}
+    assert frozenset((n - 1, n - 2)) in links and needed[[0, n - 1]].all() and needed.sum() == 2
+    assert all(frozenset((0, i)) in links for i in range(1, n))
+
+
 def test_decontamination(spark, docs):
     item = PASSAGE.split()[:20]
     item[6], item[13] = "changed", "too"
