@@ -10,10 +10,13 @@ Pairs whose bound reaches the threshold are computed again in double
 precision; no others are.
 
 Vectors are dealt to the cells of centroids fitted on a bounded sample: a
-vector lives in the nearest cell and visits the PROBES - 1 next ones, and a
-pair is compared where one of the two lives and the other lives or visits.
-Cells grow in number with the square root of the vectors. A large cell is cut
-into blocks, and each pair of blocks is a task of its own.
+vector lives in the nearest cell and visits the next ones, and a pair is
+compared where one of the two lives and the other lives or visits. Cells grow
+in number with the square root of the vectors, and the cells that are visited
+with them: the least number that brings together RECALL of the pairs at the
+threshold, measured with the centroids in use on sampled vectors they are not
+fitted on and partners made for those. A large cell is cut into blocks, and each pair of blocks is a
+task of its own.
 """
 
 from __future__ import annotations
@@ -30,11 +33,13 @@ from pyspark.sql import functions as F
 from clausediff.llm.components import connected_components, forest
 from clausediff.llm.storage import written
 
-#: Cells that a vector is in; vectors that centroids are fitted on; centroids at most (each D doubles, broadcast).
+#: Cells that a vector is in at least; vectors that centroids are fitted on; centroids at most (each D doubles, broadcast).
 PROBES, SAMPLE, MAX_CELLS = 6, 20_000, 4096
 #: Vectors of a block; two blocks and their estimates take about 100 MB.
 BLOCK = 2000
 EPSILON = 3.0
+#: Share of the pairs at the threshold that must meet in a cell, and pairs on which it is measured.
+RECALL, TRIALS = 0.995, 4000
 
 
 def rotation(dim: int, seed: int = 5) -> np.ndarray:
@@ -86,6 +91,36 @@ def fit_centroids(sample: np.ndarray, cells: int, rounds: int = 6, seed: int = 3
     return centroids
 
 
+def probes_for(sample: np.ndarray, centroids: np.ndarray, threshold: float, least: int = PROBES, seed: int = 7) -> int:
+    """The least number of cells, ``least`` or more, with which RECALL of the pairs of cosine ``threshold`` meet.
+
+    ``sample`` must be unit vectors that the centroids are not fitted on, which
+    lie no nearer to them than any. Partners lie in random directions, and towards
+    other vectors of the sample; the harder of the two decides.
+    """
+    rng = np.random.default_rng(seed)
+    most = len(centroids)
+    if most <= least or not len(sample) or sample.shape[1] < 2:
+        return min(least, most)
+    u = sample[rng.integers(0, len(sample), TRIALS)]
+    need = least
+    for towards in (rng.standard_normal(u.shape), sample[rng.integers(0, len(sample), TRIALS)]):
+        aside = towards - (towards * u).sum(1, keepdims=True) * u
+        size = np.linalg.norm(aside, axis=1)
+        some = size > 1e-6  # a vector may have been dealt itself
+        a, b = u[some], threshold * u[some] + math.sqrt(max(0.0, 1 - threshold**2)) * aside[some] / size[some, None]
+        if not len(a):
+            continue
+        near_a, near_b = a @ centroids.T, b @ centroids.T
+        row, home_a, home_b = np.arange(len(a)), near_a.argmax(1), near_b.argmax(1)
+        # the place of each one's home among the other's nearest cells: either lets them meet
+        place_b = (near_a > near_a[row, home_b][:, None]).sum(1)
+        place_a = (near_b > near_b[row, home_a][:, None]).sum(1)
+        place = np.sort(np.minimum(place_a, place_b))
+        need = max(need, int(place[min(len(place) - 1, math.ceil(RECALL * len(place)) - 1)]) + 1)
+    return min(need, most)
+
+
 def linked(ids: np.ndarray, x: np.ndarray, home: np.ndarray, cells: np.ndarray, cell: int, first: np.ndarray, second: np.ndarray, turn: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the pairs of ``first`` and ``second`` rows to be counted in ``cell`` that reach the threshold, each once."""
     units = _unit(x)
@@ -139,8 +174,11 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, probes: int = PROBE
     sampled = classes.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow()
     sample = _unit(_matrix(sampled["v"].combine_chunks()))
     turn = rotation(dim)
+    held, sample = np.split(sample, [len(sample) // 10])
     k = int(min(MAX_CELLS, max(1, math.sqrt(count) / 2), len(sample)))
-    model = spark.sparkContext.broadcast((fit_centroids(sample, k), turn))
+    fitted = fit_centroids(sample, k)
+    model = spark.sparkContext.broadcast((fitted, turn))
+    probes = probes_for(held, fitted, threshold, probes)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centroids = model.value[0]

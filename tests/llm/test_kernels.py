@@ -198,6 +198,23 @@ def test_codes_bound_inner_products():
     assert (bound[near] >= 0.9).mean() > 0.99
 
 
+@pytest.mark.parametrize(("cells", "dim"), [(160, 64), (500, 64), (1500, 32)])
+def test_pairs_meet_with_hundreds_of_cells(cells, dim):
+    rng = np.random.default_rng(8)
+    x = vectors._unit(rng.standard_normal((6000, dim)))
+    held, x = x[:600], x[600:]
+    centroids = vectors.fit_centroids(x, cells, rounds=3)
+    a = vectors._unit(rng.standard_normal((3000, dim)))
+    aside = rng.standard_normal(a.shape)
+    aside = vectors._unit(aside - (aside * a).sum(1, keepdims=True) * a)
+    near = [np.argsort(-(v @ centroids.T), axis=1) for v in (a, 0.9 * a + np.sqrt(0.19) * aside)]
+
+    def recall(probes):
+        return np.mean([(p[:probes] == q[0]).any() or (q[:probes] == p[0]).any() for p, q in zip(*near, strict=True)])
+
+    assert recall(vectors.PROBES) < 0.98 <= recall(vectors.probes_for(held, centroids, 0.9))
+
+
 def test_network_gradients():
     net = quality.new_net()
     data, offsets = quality._packed(["some text, longer than one segment. " * 9, "x", "", "Ää!! " * 60])
