@@ -9,6 +9,9 @@ document's and some window must agree in at least four of five tokens.
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,11 +30,22 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def _masks(benchmark: DataFrame) -> list[tuple[int, ...]]:
-    """MASKS, and a whole-sequence mask for each length of items too short for one of them (fewer lengths than a span)."""
+def masks_for(lengths: list[int]) -> list[tuple[int, ...]]:
+    """MASKS, a whole-sequence mask for each length too short for one of them, and masks of the tokens that are left for substitutions in items of these lengths that are accepted and leave no seed whole."""
     longest = max(m[-1] for m in MASKS) + 1
-    short = benchmark.select(F.size("w").alias("n")).where((F.col("n") > 0) & (F.col("n") < longest)).distinct().collect()
-    return [*MASKS, *(tuple(range(r.n)) for r in sorted(short))]
+    masks = [*MASKS, *(tuple(range(n)) for n in lengths if n < longest)]
+    for n in lengths:
+        for bad in map(set, combinations(range(n), n - math.ceil(n * AGREE))):
+            if not any(bad.isdisjoint(o + at for o in m) for m in masks for at in range(n - m[-1])):
+                left = [i for i in range(n) if i not in bad]
+                masks.append(tuple(i - left[0] for i in left))
+    return masks
+
+
+def _masks(benchmark: DataFrame) -> list[tuple[int, ...]]:
+    """The masks for the lengths of items shorter than a window."""
+    short = benchmark.select(F.size("w").alias("n")).where((F.col("n") > 0) & (F.col("n") < WINDOW)).distinct().collect()
+    return masks_for(sorted(r.n for r in short))
 
 
 def _positions(hashed: DataFrame, masks: list[tuple[int, ...]]) -> DataFrame:

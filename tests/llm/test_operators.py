@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import random
 import zlib
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -132,6 +134,18 @@ def test_decontamination(spark, docs):
     assert decontaminate.contaminated(docs.limit(0), bench).count() == 0
 
 
+def test_short_items_with_replaced_tokens(spark):
+    items, rows = [], []
+    for n in range(3, 13):
+        item = [f"n{n}t{j}" for j in range(n)]
+        items.append((n, " ".join(item)))
+        for bad in combinations(range(n), n - math.ceil(0.8 * n)):
+            rows.append((n, " ".join(["a", "b", *("z" if j in bad else w for j, w in enumerate(item)), "c"])))
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id, r.start) for r in decontaminate.contaminated(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(i, n, 2) for i, (n, _) in enumerate(rows)}
+
+
 def test_line_dedup(spark):
     rows = [(i, f"only {i}\n  shared line \nhalf {i % 2}\n", f"s{i}", 1) for i in range(12)] + [(20, None, "s1", 1), (21, "", "s1", 1), (22, "shared line", None, 1), (22, "shared line", None, 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, h1 int")
