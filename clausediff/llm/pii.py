@@ -5,9 +5,11 @@ numbers. From their spans in a bounded sample of texts a bidirectional LSTM
 over characters with a CRF on top is trained; it tags characters, so it also
 finds spans that a pattern rejects or does not know. Texts are tagged in
 overlapping windows around the characters that every kind needs (a digit or
-an @); each character's label distributions from the windows that cover it
-are weighted by how far it stands from their ends and merged, and one Viterbi
-pass over the merged run decides: spans do not depend on where windows lie.
+an @); each character's label scores from the windows that cover it are
+weighted by how far it stands from their ends and merged, and one Viterbi pass
+with the learned transitions over the merged run decides: spans do not depend
+on where windows lie. How sure a span is follows from the merged label
+distributions.
 """
 
 from __future__ import annotations
@@ -66,6 +68,11 @@ def _digits(s: str) -> str:
     return re.sub(r"[^0-9]", "", s)
 
 
+def by_start_and_kind(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """In the order of reports: by start, then kind as KINDS lists them."""
+    return sorted(spans, key=lambda s: (s[0], s[2], s[1]))
+
+
 def base_spans(text: str | None) -> list[tuple[int, int, int]]:
     """``(start, end, kind)`` of the patterns' matches, by start and then kind, in code points."""
     if not text or not _ANCHOR.search(text):
@@ -81,7 +88,7 @@ def base_spans(text: str | None) -> list[tuple[int, int, int]]:
         for m in _PHONE.finditer(text):
             if len(_digits(m[0])) in range(9, 16):
                 spans.append((m.start(), m.end(), 3))
-    return sorted(spans)
+    return by_start_and_kind(spans)
 
 
 def told(spans: list[tuple[int, int, int]]) -> str:
@@ -290,7 +297,7 @@ def _plausible(found: str, kind: int) -> bool:
 
 
 def model_spans(net: Tagger, texts: list[str]) -> list[list[tuple[int, int, int]]]:
-    """The tagger's spans in each text, by start."""
+    """The tagger's spans in each text, by start; runs of windows without any anchor hold none and are not read."""
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     trans = (net.trans + _FORBIDDEN).astype(np.float64)
     pending: list[tuple[int, list[int], np.ndarray]] = []
@@ -298,24 +305,25 @@ def model_spans(net: Tagger, texts: list[str]) -> list[list[tuple[int, int, int]
 
     def flush() -> None:
         x = np.concatenate([_windows(codes, starts) for _, starts, codes in pending], 1)
-        merged = []
+        both = []  # label scores and distributions side by side
         for a in range(0, x.shape[1], 256):
             part = x[:, a : a + 256]
             states, _, _ = _states(net, part)
-            _, marginal, _ = _crf((states @ net.out + net.out_bias).astype(np.float64), trans, pairs=False)
-            merged.append(marginal)
-        marginals = np.concatenate(merged, 1)
+            scores = (states @ net.out + net.out_bias).astype(np.float64)
+            both.append(np.concatenate([scores, _crf(scores, trans, pairs=False)[1]], 2))
+        both = np.concatenate(both, 1)
         at = 0
         for i, starts, codes in pending:
             first, last = starts[0], min(len(codes), starts[-1] + WINDOW)
-            total, weight = np.zeros((last - first, LABELS)), np.zeros(last - first)
+            total, weight = np.zeros((last - first, 2 * LABELS)), np.zeros(last - first)
             for s in starts:
                 n = min(WINDOW, len(codes) - s)
-                total[s - first : s - first + n] += marginals[:n, at] * _TRUST[:n, None]
+                total[s - first : s - first + n] += both[:n, at] * _TRUST[:n, None]
                 weight[s - first : s - first + n] += _TRUST[:n]
                 at += 1
-            share = total / weight[:, None]
-            labels = _viterbi(np.log(share + 1e-9), _FORBIDDEN)
+            total /= weight[:, None]
+            share = total[:, LABELS:]
+            labels = _viterbi(total[:, :LABELS], trans)
             t = 0
             while t < len(labels):
                 if labels[t] % 2 == 1:
@@ -352,7 +360,7 @@ def all_spans(text: str, base: list[tuple[int, int, int]], added: list[tuple[int
     for a, b, k in added:
         if not any(a < y and x < b for x, y in taken):
             out.append((a, b, k))
-    return sorted(out)
+    return by_start_and_kind(out)
 
 
 def train_tagger(texts: list[str], seed: int = 0) -> Tagger:
@@ -437,7 +445,13 @@ def find_pii(docs: DataFrame, net: Tagger) -> DataFrame:
 
 
 def pii_report(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added)``; counts and hash are of the base spans."""
+    """``(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added)``; counts and hash are of the base spans.
+
+    One row per row of ``docs`` (doc_id and text; other columns are ignored).
+    Null and empty texts have no spans and the hash of an empty string; an
+    empty table gives an empty one, and texts without digits and @ train a
+    tagger that adds nothing.
+    """
     found = find_pii(docs.select("doc_id", "text"), fit_tagger(docs)).select("doc_id", "pii")
     one = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
     base = F.filter("pii", lambda s: s["base"])

@@ -217,3 +217,9 @@ def test_pii_columns(docs):
     net = pii.train_tagger([])
     found = {r.doc_id: r for r in pii.find_pii(docs, net).collect()}
     assert [(s.kind, s.start, s.end, s.base) for s in found[11].pii] == [("email", 5, 13, True)] and found[3].pii == [] and found[12].pii == []
+    report = {r.doc_id: r for r in pii.pii_report(docs).collect()}
+    none = pii.sha256([])
+    assert report[11].n_email == 1 and report[11].base_sha256 == pii.sha256([(5, 13, 0)]) and all(report[i].base_sha256 == none and report[i].spans == "" for i in (3, 4, 5))
+    assert pii.pii_report(docs.limit(0)).count() == 0
+    blank = pii.pii_report(docs.where("text is null")).collect()
+    assert [(r.doc_id, r.n_email + r.n_ip + r.n_card + r.n_phone, r.spans, r.base_sha256) for r in blank] == [(3, 0, "", none)]
