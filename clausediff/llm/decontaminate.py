@@ -87,7 +87,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     text, ``benchmark`` item_id and text; other columns are ignored.
     """
     spark = docs.sparkSession
-    items = _hashed(benchmark.select("item_id", "text").distinct(), "item_id").where(F.size("w") > 0).checkpoint()
+    items = written(_hashed(benchmark.select("item_id", "text").distinct(), "item_id").where(F.size("w") > 0), "items")
     masks = _masks(items)
     item_seeds = _stacked(_positions(items, masks), masks).select("item_id", "seed", F.col("at").alias("item_pos"))
     own = docs.select("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), "text")

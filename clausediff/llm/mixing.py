@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausediff.llm.storage import small_enough
+from clausediff.llm.storage import small_enough, written
 
 #: A Poisson number of a larger mean is the sum of numbers of smaller means, drawn from hashes of their own.
 PART_MEAN = 400.0
@@ -61,7 +61,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = 1)
     table gives an empty one.
     """
     spark = docs.sparkSession
-    rates = source_rates(docs, weights).checkpoint()
+    rates = written(source_rates(docs, weights), "source-rates")
     ident = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce("text", F.lit("")))))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in ("copy", "n_copies", "place"))).alias("row"), F.col("source").alias("source"), ident.alias("ident"))
     if small_enough(spark, rates, BROADCAST_SOURCES):

@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clausediff.llm.storage import drop, written
+
 KINDS = ("email", "ip", "card", "phone")
 #: Labels: 0 outside, 1 + 2 * kind first character, 2 + 2 * kind further characters of a span.
 LABELS = 1 + 2 * len(KINDS)
@@ -411,8 +413,9 @@ _PII = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Struct
 def fit_tagger(docs: DataFrame) -> Tagger:
     """A tagger learned from at most SAMPLE texts of at most MAX_CHARS characters: those with an anchor whose texts hash lowest."""
     some = docs.select("text").where(F.col("text").rlike("[0-9@]") & (F.length("text") <= MAX_CHARS))
-    keys = some.select(F.xxhash64("text").alias("h")).distinct().orderBy("h").limit(SAMPLE).checkpoint()
+    keys = written(some.select(F.xxhash64("text").alias("h")).distinct().orderBy("h").limit(SAMPLE), "sample")
     rows = some.withColumn("h", F.xxhash64("text")).join(F.broadcast(keys), "h").groupBy("h").agg(F.min("text").alias("text")).collect()
+    drop(keys)
     return train_tagger([r.text for r in sorted(rows)])
 
 

@@ -1,11 +1,14 @@
 """Shared working folder of a job: every table that cuts a lineage goes there.
 
 The cluster names the folder in ``spark.checkpoint.dir``; only where that is
-unset (local sessions, tests) a folder of this machine is made and set.
+unset and the session is local (tests) a folder of this machine is made and
+set. Tables are deleted by whoever wrote them, once their last reader is done;
+``clear`` deletes what an application has left, its results too.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,6 +22,8 @@ def shared_root(spark: SparkSession) -> str:
     global _local_folder
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if _local_folder is None:
             _local_folder = tempfile.mkdtemp(prefix="clausediff-")
             spark.sparkContext.setCheckpointDir(_local_folder)
@@ -26,30 +31,51 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def _own_root(spark: SparkSession) -> str:
+    return f"{shared_root(spark)}/clausediff-{spark.sparkContext.applicationId}"
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_own_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Whether Spark deletes a plan's shuffle files as soon as it has run, and not when the driver's JVM next collects garbage.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again.
+    """``df`` written as Parquet to the shared folder and read again; the shuffle files that this took are deleted, so that a job's steps don't add up on the disks.
 
     A task that is tried again, or lost with its executor, replaces its own
     files only: the commit protocol of Spark's file writer sees to that.
     """
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop(df: DataFrame) -> None:
-    """Deletes the files under a table that ``written`` returned; its readers must be done."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        folder = file.rsplit("/", 1)[0]
-        if folder.startswith(shared_root(spark).replace("file:///", "file:/")) or folder.startswith(shared_root(spark)):
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes the files of tables that ``written`` returned, whose readers must be done."""
+    for df in tables:
+        _delete(df.sparkSession, df._written_at)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all that this application has written to the shared folder; what its queries returned can't be read any more."""
+    _delete(spark, _own_root(spark))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
