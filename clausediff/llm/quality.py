@@ -74,20 +74,30 @@ def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return padded, bounds, fill
 
 
-def _columns(net: ByteNet, padded: np.ndarray, first: int, last: int) -> np.ndarray:
-    """Rows of embedded kernels of the segments ``first`` to ``last``."""
+def _ends(bounds: np.ndarray) -> np.ndarray:
+    """Which kernels are the last of their text: they reach over its segments' end, where the next text may begin."""
+    out = np.zeros(int(bounds[-1]) * PER_SEGMENT, bool)
+    out[bounds[1:] * PER_SEGMENT - 1] = True
+    return out
+
+
+def _columns(net: ByteNet, padded: np.ndarray, first: int, last: int, ends: np.ndarray) -> np.ndarray:
+    """Rows of embedded kernels of the segments ``first`` to ``last``; past a text's end they see zeros."""
     n = (last - first) * PER_SEGMENT
     embedded = net.embed[padded[first * SEGMENT : first * SEGMENT + n * STRIDE + KERNEL - STRIDE]]
-    return np.lib.stride_tricks.as_strided(embedded, (n, KERNEL * EMBED), (STRIDE * EMBED * 4, 4))
+    out = np.ascontiguousarray(np.lib.stride_tricks.as_strided(embedded, (n, KERNEL * EMBED), (STRIDE * EMBED * 4, 4)))
+    out[ends[first * PER_SEGMENT : last * PER_SEGMENT], STRIDE * EMBED :] = np.tile(net.embed[0], KERNEL - STRIDE)
+    return out
 
 
-def _pooled(net: ByteNet, padded: np.ndarray, count: int, keep: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+def _pooled(net: ByteNet, padded: np.ndarray, bounds: np.ndarray, keep: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
     """Each filter's largest response in each segment, and at which kernel."""
+    count, ends = int(bounds[-1]), _ends(bounds)
     pooled = np.empty((count, FILTERS), np.float32)
     at = np.empty((count, FILTERS), np.int64) if keep else None
     for a in range(0, count, BLOCK):
         b = min(count, a + BLOCK)
-        got = (np.ascontiguousarray(_columns(net, padded, a, b)) @ net.conv).reshape(b - a, PER_SEGMENT, FILTERS)
+        got = (_columns(net, padded, a, b, ends) @ net.conv).reshape(b - a, PER_SEGMENT, FILTERS)
         if at is None:
             pooled[a:b] = got.max(1)
         else:
@@ -123,7 +133,7 @@ def _forward(net: ByteNet, pooled: np.ndarray, bounds: np.ndarray, fill: np.ndar
 def scores(net: ByteNet, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The probability of label 1 of each text."""
     padded, bounds, fill = segments(data, offsets)
-    pooled, _ = _pooled(net, padded, int(bounds[-1]))
+    pooled, _ = _pooled(net, padded, bounds)
     z = _forward(net, pooled, bounds, fill)["z"].astype(np.float64) + net.shift
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
@@ -131,7 +141,7 @@ def scores(net: ByteNet, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def _gradients(net: ByteNet, data: np.ndarray, offsets: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
     padded, bounds, fill = segments(data, offsets)
     count = int(bounds[-1])
-    pooled, at = _pooled(net, padded, count, keep=True)
+    pooled, at = _pooled(net, padded, bounds, keep=True)
     s = _forward(net, pooled, bounds, fill)
     docs = np.repeat(np.arange(len(y)), np.diff(bounds))
     dz = ((1 / (1 + np.exp(-s["z"])) - y) / len(y)).astype(np.float32)
@@ -149,6 +159,7 @@ def _gradients(net: ByteNet, data: np.ndarray, offsets: np.ndarray, y: np.ndarra
     np.add.at(dp, s["following"], np.where(own, 0, ds))
     rows = (np.arange(count)[:, None] * PER_SEGMENT + at).ravel()  # kernel of each segment and filter
     spots = rows[:, None] * STRIDE + np.arange(KERNEL)
+    spots[_ends(bounds)[rows], STRIDE:] = len(padded) - 1  # a zero
     bytes_ = padded[spots]
     flat = dp.ravel()
     cols = net.embed[bytes_].reshape(count, FILTERS, KERNEL * EMBED)

@@ -162,6 +162,11 @@ def test_compact_windows_are_the_wide_nodes_of_the_tree():
                 want.append((a, m, b - 1))
                 todo += [(a, m), (m + 1, b)]
         assert sorted(zip(*(x.tolist() for x in substrings.compact_windows(values, width)), strict=True)) == sorted(want)
+        cuts = np.sort(rng.integers(0, len(values) + 1, 4))  # several texts, with values between them that are of none
+        parts = [(a, max(a, b - 2)) for a, b in zip([0, *cuts], [*cuts, len(values)], strict=True)]
+        want = [(a + l, a + m, a + r) for a, b in parts for l, m, r in zip(*(x.tolist() for x in substrings.compact_windows(values[a:b], width)), strict=True)]
+        got = substrings.compact_windows(values, width, *(np.array(c) for c in zip(*parts, strict=True)))
+        assert sorted(zip(*(x.tolist() for x in got), strict=True)) == sorted(want)
 
 
 def test_runs_are_found_wherever_some_run_is_alike():
@@ -244,7 +249,7 @@ def test_network_gradients():
 
     def loss():
         padded, bounds, fill = quality.segments(data, offsets)
-        z = quality._forward(net, quality._pooled(net, padded, int(bounds[-1]))[0], bounds, fill)["z"].astype(float)
+        z = quality._forward(net, quality._pooled(net, padded, bounds)[0], bounds, fill)["z"].astype(float)
         return float(np.mean(np.log1p(np.exp(z)) - y * z))
 
     for p, g in list(zip(net.parameters(), quality._gradients(net, data, offsets, y), strict=True))[3:]:
@@ -258,19 +263,72 @@ def test_network_gradients():
         assert (up - down) / 2e-2 == pytest.approx(g[at], rel=0.1, abs=1e-4)
 
 
-def test_search_is_exact():
+def plain_score(net, text):
+    """The network by its definition, a kernel at a time."""
+    data = list(text.encode())
+    n = max(1, -(-(len(data) + quality.KERNEL - quality.STRIDE) // quality.SEGMENT))
+    data += [0] * (n * quality.SEGMENT + quality.KERNEL - len(data))
+    spots = [[data[s * quality.SEGMENT + k * quality.STRIDE :][: quality.KERNEL] for k in range(quality.PER_SEGMENT)] for s in range(n)]
+    pooled = [np.max([net.embed[k].ravel() @ net.conv for k in segment], 0) for segment in spots]
+    fill = [min(1, max(0, (len(text.encode()) - s * quality.SEGMENT) / quality.SEGMENT)) for s in range(n)]
+    chunks = [(np.maximum(pooled[s], pooled[s + 1]), (fill[s] + fill[s + 1]) / 2) for s in range(n - 1)] or [(pooled[0], fill[0] / 2)]
+    logits = [np.maximum(np.append(np.maximum(r + net.conv_bias, 0), f) @ net.hidden + net.hidden_bias, 0) @ net.out + net.out_bias[0] for r, f in chunks]
+    z = net.combine @ [max(logits), min(logits), np.mean(logits), 1] + net.shift
+    return 1 / (1 + np.exp(-z))
+
+
+def test_network_scores_each_text_whatever_stands_beside_it():
+    rng = random.Random(2)
+    net = quality.new_net(3)
+    texts = ["kind word " * 9, "zzz", "", "x" * 117, "x" * 118, "x" * 120, *("".join(rng.choices("abcé \n", k=rng.randrange(0, 900))) for _ in range(40)), "kind word " * 9]
+    want = [plain_score(net, t) for t in texts]
+    assert quality.scores(net, *quality._packed(texts)) == pytest.approx(want, abs=1e-4)
+    assert quality.scores(net, *quality._packed(texts[::-1]))[::-1] == pytest.approx(want, abs=1e-4)
+
+
+@pytest.mark.parametrize("first", [1, 6])
+def test_search_is_exact(monkeypatch, first):
+    monkeypatch.setattr(toxicity, "FIRST", first)
+    monkeypatch.setattr(toxicity, "BLOCK", 8)
     rng = random.Random(1)
-    vocabulary = [f"w{i}" for i in range(40)]
-    sample = [(i, " ".join(rng.choices(vocabulary, k=rng.randrange(1, 9))), i % 2) for i in range(300)]
-    terms = [f"={w}" for w in vocabulary]
-    index = toxicity.build_index(sample, terms, np.array([rng.randrange(1, 200) for _ in terms]), 300, (150, 150))
-    lexicon = toxicity.Lexicon(terms)
-    dense = np.zeros((300, 40))
-    for i, text, _ in sample:
-        t, w = toxicity.vector(lexicon.counts(text), index.idf)
-        dense[i, t] = w
-    for _ in range(200):
-        t, w = toxicity.vector(lexicon.counts(" ".join(rng.choices(vocabulary, k=5))), index.idf)
-        docs, sims = toxicity.nearest(index, t, w)
-        want = np.sort(dense[:, t] @ w)[::-1][:15]
-        assert np.allclose(sims, want[want > 0][: len(sims)]) and np.allclose(dense[docs][:, t] @ w, sims)
+    vocabulary = sorted(f"w{i}" for i in range(300))
+    text = lambda: " ".join(rng.choices(vocabulary, weights=[1 / (i + 1) for i in range(300)], k=rng.randrange(1, 30)))
+    sample = [(i, text(), i % 2) for i in range(300)] + [(300, "", 1)]
+    index = toxicity.build_index(sample, vocabulary, np.array([rng.randrange(1, 200) for _ in vocabulary]), 300, (150, 150))
+    assert len(index.dense) > 5 and len(index.value) > 500 and sorted(index.ids.tolist()) == list(range(300))
+    lexicon = toxicity.Terms(vocabulary)
+    dense = np.zeros((index.dense.shape[1], 300))
+    for i, own in enumerate(index.ids.tolist()):
+        t, c = lexicon.counts(sample[own][1])
+        dense[i, t] = toxicity.unit_vector(index.weight, t, c)
+    for query in [*(text() for _ in range(200)), sample[7][1]]:
+        t, c = lexicon.counts(query)
+        v = toxicity.unit_vector(index.weight, t, c)
+        docs, sims = toxicity.nearest(index, t, v, toxicity.dense_scores(index, [(t, v)])[0])
+        true = dense[:, t] @ v
+        want = np.lexsort((np.arange(len(true)), -np.round(true, 12)))[:15]
+        assert docs.tolist() == want[true[want] > 0].tolist() and np.allclose(true[docs], sims)
+    assert sims[0] == pytest.approx(1) and 7 in index.ids[docs]
+
+
+def test_votes_become_probabilities():
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(2000)]
+    bad = [f"bad{i}" for i in range(8)]
+
+    def make(y: int) -> str:
+        return " ".join(rng.choices(words, k=40) + rng.choices(bad, k=2) * (y if rng.random() < 0.9 else 1 - y))
+
+    labels = [int(rng.random() < 0.3) for _ in range(900)]
+    sample = [(i, make(y), y) for i, y in enumerate(labels[:600])]
+    vocabulary = sorted({w for _, t, _ in sample for w in t.split()})
+    index = toxicity.build_index(sample, vocabulary, np.ones(len(vocabulary)), 600, (7000, 3000))
+    lexicon, scores = toxicity.Terms(vocabulary), []
+    for y in labels[600:]:
+        t, c = lexicon.counts(make(y))
+        v = toxicity.unit_vector(index.weight, t, c)
+        scores.append(toxicity.vote(index, *toxicity.nearest(index, t, v, toxicity.dense_scores(index, [(t, v)])[0])))
+    scores, truth = np.array(scores), np.array(labels[600:])
+    assert ((scores >= 0.5) == truth).mean() > 0.85
+    for part in (scores < 0.3, scores >= 0.7):  # of what is called so likely, about so much is
+        assert abs(scores[part].mean() - truth[part].mean()) < 0.1

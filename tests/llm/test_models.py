@@ -30,6 +30,13 @@ def test_trained_operators_without_labels_and_rows(spark):
     for report in (quality_report, toxicity_report):
         assert sorted(r.doc_id for r in report(docs, labels, 0.5).collect()) == [1, 2, 3]
         assert report(docs.limit(0), labels.limit(0), 0.5).count() == 0
+    rows = [(i, ("vile word " if i % 2 else "kind word ") * 9, i % 2, 0.5, "e", True, i) for i in range(40)]
+    docs = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string, y int, score double, evidence string, held_out boolean, id long")
+    labels = spark.createDataFrame([(r[0], r[2], r[2]) for r in rows], "doc_id long, quality int, toxic int")
+    for report in (quality_report, toxicity_report):  # columns of clashing names, ties, and a row that is there twice
+        got = report(docs, labels, 0.5).collect()
+        assert len(got) == 41 and len({(r.doc_id, round(r.score, 6)) for r in got}) == 40
+    assert len({round(r.score, 6) for r in got}) == 2 and all(r.predicted == r.doc_id % 2 for r in got)
 
 
 def test_pipeline_keeps_good_documents_and_loses_leaks(spark):

@@ -39,7 +39,8 @@ def docs(spark):
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(7, 7), (None, 3), (100, 90), (90, 100)], "a long, b long")
     assert {r.id: r.component for r in connected_components(links).collect()} == {**dict.fromkeys(range(51), 0), 90: 90, 100: 90}
-    assert connected_components(links.limit(0)).count() == 0
+    assert {r.id: r.component for r in connected_components(links, one_task=3).collect()} == {**dict.fromkeys(range(51), 0), 90: 90, 100: 90}
+    assert connected_components(links.limit(0)).count() == 0 == connected_components(links.limit(0), one_task=-1).count()
 
 
 def test_jaccard_components(docs):
@@ -51,19 +52,19 @@ def test_jaccard_components(docs):
     assert jaccard.jaccard_components(docs.limit(0)).count() == 0
 
 
-def test_large_components_are_cut_down_and_blocked(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "LARGE", 3)
-    monkeypatch.setattr(jaccard, "PARITY_BLOCK", 4)
-    monkeypatch.setattr(jaccard, "BLOCK_DOCS", 4)
+@pytest.mark.parametrize("salted", [False, True])
+def test_large_components_are_cut_down_and_blocked(spark, monkeypatch, salted):
+    for name, value in (("LARGE", 3), ("PARITY_BLOCK", 4), ("BLOCK_DOCS", 4), ("HUB_ROWS", 5), ("HUBS", 2), ("HELD", 500), *((("BROADCAST_ROWS", 0), ("SALTS", 3)) if salted else ())):
+        monkeypatch.setattr(jaccard, name, value)
     base = prose(60).split()
     texts = []
     for i in range(24):
         own = list(base)
         for j in range(i % 5):
             own[(7 * i + 11 * j) % 60] = f"edit{i}-{j}"
-        texts.append(" ".join(own))
+        texts.append(" ".join(own + base[: 3 * (i % 4)]))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    sets = [{tuple(t.split()[j : j + 3]) for j in range(58)} for t in texts]
+    sets = [{tuple(t.split()[j : j + 3]) for j in range(len(t.split()) - 2)} for t in texts]
     label = list(range(24))
     for _ in range(24):
         for a in range(24):
@@ -73,6 +74,13 @@ def test_large_components_are_cut_down_and_blocked(spark, monkeypatch):
     assert [r.component_id for r in jaccard.jaccard_components(df, 3, 80).orderBy("doc_id").collect()] == label
 
 
+def test_rows_of_one_id_have_the_links_of_all_their_texts(spark):
+    a, b = prose(100), prose(100)
+    rows = [(1, a), (1, b), (2, a + " more"), (3, "more " + b), (4, prose(100)), (4, prose(90)), (5, prose(80))]
+    got = sorted(map(tuple, jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component_id").collect()))
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (4, 4), (5, 5)]
+
+
 def test_repeated_passages(docs):
     got = substrings.repeated_passages(docs).collect()
     assert {(8, 9), (9, 8)} & {(r.doc_id, r.ref_doc_id) for r in got}
@@ -116,7 +124,7 @@ def test_windows_that_a_leader_does_not_cover_stay():
     v, around, doc = np.zeros(n, np.int64), np.full(n, 7 << 32, np.int64), np.arange(n)
     lo, hi = np.full(n, 100), np.full(n, 140)  # around 120, all within the first but two, which reach further on a side
     lo[0], hi[0], hi[-1], hi[-2] = 0, 150, 200, 190
-    found, needed = substrings.pair_up(v, around, doc, substrings._pack(lo, np.full(n, 120), hi), 36)
+    found, needed = substrings.pair_up(v, around, doc, np.full(n, 120), substrings._reaches(lo, 120, hi), 36)
     links = {frozenset(r[:2].tolist()) for r in found}
     assert frozenset((n - 1, n - 2)) in links and needed[[0, n - 1]].all() and needed.sum() == 2
     assert all(frozenset((0, i)) in links for i in range(1, n))
