@@ -1,7 +1,7 @@
 """Token-ID files: flat unsigned integers plus 64-bit document offsets.
 
 A corpus of token ids is a folder of shards, one per partition of ascending
-``doc_id``:
+``doc_id`` or of the order in which the documents come:
 
 * ``NNNNN.ids`` - the ids of all its documents one after the other, as
   little-endian unsigned 16-bit integers if every id of the vocabulary fits,
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import os
 import re
+import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -33,8 +34,8 @@ from pyspark.sql import functions as F
 #: A run of letters that stands alone or before ASCII punctuation is tokenized once.
 _WORD = re.compile(r"([^\W\d_]+)([.,!?;:]*)")
 _CONTROL = re.compile(r"[\x1c-\x1f]")
-#: Entries that a worker keeps of pieces and their ids.
-CACHE = 1_500_000
+#: Bytes that a worker keeps of pieces, their parts and ids; an entry takes about ENTRY besides its characters.
+CACHE, ENTRY = 160 << 20, 200
 
 
 class Encoder:
@@ -55,6 +56,7 @@ class Encoder:
         self.dtype = np.dtype(f"<u{width}")
         self.pieces: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.held = 0
         spec = self.tokenizer.pre_tokenizer.__getstate__() + self.tokenizer.normalizer.__getstate__() if self.tokenizer.pre_tokenizer and self.tokenizer.normalizer else b""
         self.by_piece = rb"[^\\s\\p{L}\\p{N}]+" in spec.replace(rb"\\\\", rb"\\") and b'"invert":true' in spec and b'"Removed"' in spec and b"Lowercase" in spec
 
@@ -73,10 +75,13 @@ class Encoder:
 
     def learn(self, pieces: set[str]) -> None:
         new = {p: self._parts_of(p) for p in pieces if p not in self.pieces}
-        if len(self.pieces) + len(new) > CACHE:
+        self.held += sum(len(p) + ENTRY for p in new)
+        if self.held > CACHE:  # what these texts need stays
             self.pieces = {p: self.pieces[p] for p in pieces if p in self.pieces}
             self.parts.clear()
+            self.held = sum(len(p) + ENTRY for p in (*self.pieces, *new))
         parts = list({x for p in new.values() for x in p if x not in self.parts})
+        self.held += sum(len(p) + ENTRY for p in parts)
         self.parts.update(zip(parts, self._encode(parts), strict=True))
         for piece, own in new.items():
             self.pieces[piece] = self.parts[own[0]] + self.parts[own[1]] if len(own) == 2 else self.parts[own[0]]
@@ -144,8 +149,13 @@ class Store:
         path = f"{self.folder}/{name}"
         if self.remote is None:
             return np.memmap(path, dtype=dtype, mode="r") if os.path.getsize(path) else np.empty(0, dtype)
-        with self.remote.open_input_file(path) as file:
-            return np.frombuffer(file.read(), dtype=dtype)
+        # a copy on this machine's disk for as long as the array lives, so that it is mapped here too
+        with tempfile.TemporaryFile() as copy:
+            with self.remote.open_input_stream(path) as file:
+                while some := file.read(1 << 24):
+                    copy.write(some)
+            copy.flush()
+            return np.memmap(copy, dtype=dtype, mode="r") if copy.tell() else np.empty(0, dtype)
 
 
 class Corpus(NamedTuple):
@@ -156,13 +166,17 @@ class Corpus(NamedTuple):
     shards: list[tuple[str, int, int, int]]  #: name, base in tokens, documents, tokens
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, partitions: int | None = None) -> Corpus:
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, partitions: int | None = None, by_id: bool = True) -> Corpus:
     """Encodes ``docs.text`` and writes the shards under ``folder`` (shared by all machines).
 
     ``docs`` needs doc_id and text; other columns are ignored. Null texts count
     as empty: only the end id is written for them. Rows of equal doc_id stand
     next to each other, ordered by text. Rows of null doc_id come first and
     are written as -1. An empty table gives a corpus without shards.
+
+    Without ``by_id`` each partition of ``docs`` is a shard, in the order of its
+    rows, and nothing is shuffled: for documents that are mixed already, in a
+    table whose partitions come out alike when a task is tried again.
     """
     spark = docs.sparkSession
     width = id_width(tokenizer, end_id)
@@ -184,7 +198,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
                         yield got
                         yield end
 
-        first = next(batches, None)
+        first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
         batches = chain([first], batches)
@@ -193,7 +207,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         store.write(f"{name}.idx", iter([np.concatenate([[len(ids)], ids, offsets]).astype("<i8").tobytes()]))
         yield pa.record_batch([pa.array([name]), pa.array([len(ids)], pa.int64()), pa.array([int(offsets[-1])], pa.int64())], names=["shard", "docs", "tokens"])
 
-    ordered = docs.select("doc_id", "text").repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select("doc_id", "text")
+    if by_id:
+        ordered = ordered.repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "text")
     shards = sorted(ordered.mapInArrow(write, "shard string, docs long, tokens long").collect())
     bases = np.concatenate([[0], np.cumsum([s.tokens for s in shards], dtype=np.int64)])
     return Corpus(folder, width, [(s.shard, int(b), s.docs, s.tokens) for s, b in zip(shards, bases, strict=False)])
