@@ -42,7 +42,8 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return read_token_files(spark, write_token_files(docs, new_folder(spark, "corpus"), default_tokenizer(), END_ID))
+    # the rows come as mixed: a document's copies lie apart, and so they stay
+    return read_token_files(spark, write_token_files(docs, new_folder(spark, "corpus"), default_tokenizer(), END_ID, by_id=False))
 
 
 STAGES = [
