@@ -15,8 +15,11 @@ compared where one of the two lives and the other lives or visits. Cells grow
 in number with the square root of the vectors, and the cells that are visited
 with them: the least number that brings together RECALL of the pairs at the
 threshold, measured with the centroids in use on sampled vectors they are not
-fitted on and partners made for those. A large cell is cut into blocks, and each pair of blocks is a
-task of its own.
+fitted on and partners made for those.
+
+A visitor comes as its code only, some 30 bytes; those that live in a cell, in
+blocks of bounded size, bring their vectors, once each. That sifts out who
+needs whom, and only vectors of pairs that the bounds leave travel again.
 """
 
 from __future__ import annotations
@@ -31,12 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clausediff.llm.components import connected_components, forest
-from clausediff.llm.storage import written
+from clausediff.llm.storage import drop, written
 
 #: Cells that a vector is in at least; vectors that centroids are fitted on; centroids at most (each D doubles, broadcast).
 PROBES, SAMPLE, MAX_CELLS = 6, 20_000, 4096
-#: Vectors of a block; two blocks and their estimates take about 100 MB.
-BLOCK = 2000
+#: Vectors that live in a block, and visitors that are compared with them at once: their estimates take about 50 MB.
+BLOCK, VISITORS = 2000, 2048
 EPSILON = 3.0
 #: Share of the pairs at the threshold that must meet in a cell, and pairs on which it is measured.
 RECALL, TRIALS = 0.995, 4000
@@ -60,11 +63,14 @@ def encode(units: np.ndarray, turn: np.ndarray) -> Codes:
 
 def upper_bounds(units: np.ndarray, codes: Codes, turn: np.ndarray) -> np.ndarray:
     """For each two rows an upper bound on the inner product of ``units[i]`` and the vector of code j."""
-    dim = units.shape[1]
+    return _bounds((units @ turn.T).astype(np.float32), codes)
+
+
+def _bounds(turned: np.ndarray, codes: Codes) -> np.ndarray:
+    dim = turned.shape[1]
     signs = (np.unpackbits(codes.signs, axis=1, count=dim).astype(np.float32) * 2 - 1) / math.sqrt(dim)
-    estimate = (units @ turn.T).astype(np.float32) @ signs.T / codes.factor.astype(np.float32)
     margin = EPSILON * np.sqrt(np.maximum(0, 1 - codes.factor**2) / codes.factor**2 / max(dim - 1, 1))
-    return estimate + margin.astype(np.float32)
+    return turned @ signs.T / codes.factor.astype(np.float32) + margin.astype(np.float32)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -121,31 +127,48 @@ def probes_for(sample: np.ndarray, centroids: np.ndarray, threshold: float, leas
     return min(need, most)
 
 
-def linked(ids: np.ndarray, x: np.ndarray, home: np.ndarray, cells: np.ndarray, cell: int, first: np.ndarray, second: np.ndarray, turn: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the pairs of ``first`` and ``second`` rows to be counted in ``cell`` that reach the threshold, each once."""
-    units = _unit(x)
-    bound = upper_bounds(units[first], encode(units[second], turn), turn)
-    a, b = np.nonzero(bound >= threshold)
-    a, b = first[a], second[b]
-    once = np.ones(len(a), bool) if not np.intersect1d(first, second).size else a < b
-    a, b = a[once], b[once]
-    # the pair is met in each cell where one lives and the other is; it counts in the first such cell
-    here_a, here_b = home[a] == cell, home[b] == cell
-    keep = here_a | here_b
-    a, b, here_a, here_b = a[keep], b[keep], here_a[keep], here_b[keep]
-    other = np.where(here_a, home[b], home[a])
-    visitor_cells = cells[np.where(here_a, a, b)]
-    also = (visitor_cells == other[:, None]).any(1) & ~(here_a & here_b)
-    keep = ~also | (cell < other)
-    a, b = a[keep], b[keep]
+@dataclass
+class Residents:
+    """Those that live in a block of a cell."""
+
+    cell: int
+    ids: np.ndarray
+    x: np.ndarray
+    cells: np.ndarray  #: their own and those that they visit
+    turned: np.ndarray
+
+    def candidates(self, ids: np.ndarray, home: np.ndarray, codes: Codes, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of the pairs of a resident and a visitor (ids, home, codes) whose bound reaches the threshold and that count here: each pair once in all cells."""
+        r, v = np.nonzero(_bounds(self.turned, codes) >= threshold)
+        same = home[v] == self.cell  # both live here: each meets the other
+        twice = (self.cells[r] == home[v][:, None]).any(1) & ~same  # the resident visits the visitor's cell, too
+        keep = np.where(same, self.ids[r] < ids[v], ~twice | (self.cell < home[v]))
+        return r[keep], v[keep]
+
+
+def reaching(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (rows a of x and b of y) whose cosine in double precision is at least ``threshold``."""
     reach = np.empty(len(a), bool)
-    for s in range(0, len(a), 1 << 18):
-        u, v = x[a[s : s + (1 << 18)]], x[b[s : s + (1 << 18)]]
+    for s in range(0, len(a), 1 << 16):
+        u, v = x[a[s : s + (1 << 16)]], y[b[s : s + (1 << 16)]]
         dot = np.einsum("ij,ij->i", u, v) / np.sqrt(np.einsum("ij,ij->i", u, u) * np.einsum("ij,ij->i", v, v))
-        reach[s : s + (1 << 18)] = dot >= threshold
+        reach[s : s + (1 << 16)] = dot >= threshold
     return a[reach], b[reach]
 
 
+def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int] | None, int, pa.RecordBatch | None]]:
+    """Runs of rows (cell, block, role, ...) of one cell, block and role; a run may come in pieces, each of VISITORS rows at most, and (None, 0, None) ends all."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
+        edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1), len(keys)]
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            for at in range(lo, hi, VISITORS):
+                yield (int(keys[lo, 0]), int(keys[lo, 1])), int(keys[lo, 2]), batch.slice(at, min(hi, at + VISITORS) - at)
+    yield None, 0, None
+
+
 def near_vectors(vectors: DataFrame, threshold: float = 0.9, probes: int = PROBES) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` of each row of ``vectors`` (vec_id, embedding; other columns are ignored).
 
@@ -181,58 +204,96 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, probes: int = PROBE
     probes = probes_for(held, fitted, threshold, probes)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centroids = model.value[0]
+        centroids, turn = model.value
         for batch in batches:
             if batch.num_rows:
                 x = _unit(_matrix(batch.column(1)))
-                near = np.argsort(-(x @ centroids.T), axis=1, kind="stable")[:, : min(probes, len(centroids))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(near.astype(np.int32).tolist(), pa.list_(pa.int32()))], names=["id", "v", "copies", "cells"])
-
-    placed = written(classes.select("id", "v", "copies").mapInArrow(place, "id long, v array<double>, copies long, cells array<int>"), "vector-cells")
-    inside = placed.select(F.explode("cells").alias("cell")).groupBy("cell").count()
-    blocks = inside.select("cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    met = placed.select("id", "v", "copies", "cells", F.explode("cells").alias("cell")).join(F.broadcast(blocks), "cell")  # at most MAX_CELLS rows
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = met.select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-    dealt = dealt.select("id", "v", "copies", "cells", "cell", "own", F.least("own", "with").alias("b1"), F.greatest("own", "with").alias("b2"))
+                near = np.concatenate([np.argsort(-(x[a : a + 1024] @ centroids.T), axis=1, kind="stable")[:, : min(probes, len(centroids))] for a in range(0, len(x), 1024)])
+                codes = encode(x, turn)
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, near.size + 1, near.shape[1], dtype=np.int32)), pa.array(near.astype(np.int32).ravel()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, flat, pa.array([c.tobytes() for c in codes.signs], pa.binary()), pa.array(codes.factor)], names=["id", "v", "copies", "cells", "code", "factor"])
+
+    placed = written(classes.select("id", "v", "copies").mapInArrow(place, "id long, v array<double>, copies long, cells array<int>, code binary, factor double"), "vector-codes")
+    homes = placed.groupBy(F.col("cells")[0].alias("cell")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    homes = written(homes, "cell-blocks")
+    blocks = F.broadcast(homes)  # at most MAX_CELLS rows
+    living = placed.select(F.col("cells")[0].alias("cell"), "id", "v", "cells").join(blocks, "cell")
+    living = living.select("cell", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("role"), "id", F.col("cell").alias("home"), "v", "cells", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("double").alias("factor"))
+    visiting = placed.select(F.explode("cells").alias("cell"), "id", F.col("cells")[0].alias("home"), "code", "factor").join(blocks, "cell")
+    visiting = visiting.select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "id", "home", F.lit(None).cast("array<double>").alias("v"), F.lit(None).cast("array<int>").alias("cells"), "code", "factor")
+
+    def residents(key: tuple[int, int], parts: list[pa.RecordBatch]) -> Residents:
+        table = pa.Table.from_batches(parts).combine_chunks()
+        x = _matrix(table["v"].chunk(0))
+        cells = table["cells"].chunk(0).flatten().to_numpy().reshape(len(x), -1)
+        return Residents(key[0], table["id"].to_numpy(), x, cells, (_unit(x) @ model.value[1].T).astype(np.float32))
+
+    def visitors(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, Codes]:
+        width = (dim + 7) // 8
+        signs = np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint8).reshape(-1, width)
+        return part.column("id").to_numpy(), part.column("home").to_numpy(), Codes(signs, part.column("factor").to_numpy())
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Who has a candidate in which block."""
+        key, parts, here, needed = None, [], None, np.empty(0, bool)
+
+        def out(role: int, ids: np.ndarray) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(np.full(len(ids), c, np.int32)) for c in (*key, role)] + [pa.array(ids)], names=["cell", "block", "role", "id"])
+
+        for own, role, part in _by_cell(batches):
+            if own != key:
+                if here is not None:
+                    yield out(0, here.ids[needed])
+                key, parts, here = own, [], None
+            if part is None:
+                continue
+            if role == 0:
+                parts.append(part)
+                continue
+            if here is None and parts:
+                here = residents(key, parts)
+                needed = np.zeros(len(here.ids), bool)
+            if here is not None:
+                ids, home, codes = visitors(part)
+                r, v = here.candidates(ids, home, codes, threshold)
+                needed[r] = True
+                yield out(1, ids[np.unique(v)])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rotate = model.value[1]
-        key, parts = None, []
-
-        def out() -> pa.RecordBatch | None:
-            table = pa.Table.from_batches(parts).combine_chunks()
-            ids, x, copies, cells, own_block = (table["id"].to_numpy(), _matrix(table["v"].chunk(0)), table["copies"].to_numpy(), np.array(table["cells"].to_pylist()), table["own"].to_numpy())
-            cell, b1, b2 = key
-            if len(ids) < 2:
-                return None
-            first = np.flatnonzero(own_block == b1)
-            second = first if b1 == b2 else np.flatnonzero(own_block == b2)
-            a, b = linked(ids, x, cells[:, 0], cells, cell, first, second, rotate, threshold)
-            links = np.bincount(a, copies[b], len(ids)) + np.bincount(b, copies[a], len(ids))
-            some = np.flatnonzero(links)
-            u, v = forest(ids[a], ids[b])
-            kind = np.concatenate([np.zeros(len(u), np.int8), np.ones(len(some), np.int8)])
-            return pa.record_batch([pa.array(kind), pa.array(np.concatenate([u, ids[some]])), pa.array(np.concatenate([v, links[some].astype(np.int64)]))], names=["kind", "a", "b"])
-
-        for batch in batches:
-            keys = np.column_stack([batch.column(i).to_numpy() for i in (4, 6, 7)]) if batch.num_rows else np.empty((0, 3))
-            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1 if len(keys) else []
-            edges = [0, *cuts, len(keys)]
-            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                if lo == hi:
-                    continue
-                this = tuple(int(q) for q in keys[lo])
-                if this != key:
-                    if parts and (got := out()) is not None:
-                        yield got
-                    key, parts = this, []
-                parts.append(batch.slice(lo, hi - lo))
-        if parts and (got := out()) is not None:
-            yield got
-
-    found = dealt.repartition(F.col("cell"), F.col("b1"), F.col("b2")).sortWithinPartitions("cell", "b1", "b2").mapInArrow(compare, "kind byte, a long, b long")
+        key, parts, here, copies, links = None, [], None, np.empty(0), np.empty(0)
+
+        def out(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(np.full(len(a), kind, np.int8)), pa.array(a), pa.array(b.astype(np.int64))], names=["kind", "a", "b"])
+
+        for own, role, part in _by_cell(batches):
+            if own != key:
+                if here is not None:
+                    yield out(1, here.ids[links > 0], links[links > 0])
+                key, parts, here = own, [], None
+            if part is None:
+                continue
+            if role == 0:
+                parts.append(part)
+                continue
+            if here is None:
+                here = residents(key, parts)
+                copies = np.concatenate([p.column("copies").to_numpy() for p in parts])
+                links = np.zeros(len(copies))
+            ids, home, codes = visitors(part)
+            y, theirs = _matrix(part.column("v")), part.column("copies").to_numpy()
+            r, v = reaching(here.x, y, *here.candidates(ids, home, codes, threshold), threshold)
+            links += np.bincount(r, theirs[v], len(copies))
+            count = np.bincount(v, copies[r], len(ids))
+            yield out(1, ids[count > 0], count[count > 0])
+            yield out(0, *forest(here.ids[r], ids[v]))
+
+    dealt = living.union(visiting).repartition(F.col("cell"), F.col("block")).sortWithinPartitions("cell", "block", "role")
+    met = written(dealt.mapInArrow(sift, "cell int, block int, role int, id long"), "vector-candidates")
+    again = met.join(placed.select("id", F.col("cells")[0].alias("home"), "v", "cells", "code", "factor", "copies"), "id")
+    again = again.select("cell", "block", "role", "id", "home", "v", "cells", "code", "factor", "copies").repartition(F.col("cell"), F.col("block")).sortWithinPartitions("cell", "block", "role")
+    found = again.mapInArrow(compare, "kind byte, a long, b long")
     found = written(found, "vector-links")
+    drop(met)
     links = found.where("kind = 1").groupBy(F.col("a").alias("id")).agg(F.sum("b").alias("links"))
     # a row's links: its equals, and every copy of the classes that its class links with
     per_class = placed.select("id", F.col("copies")).join(links, "id", "left").select("id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
@@ -240,6 +301,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, probes: int = PROBE
     members = written(members, "vector-members")
     edges = found.where("kind = 0").select("a", "b").union(members.where("vec_id <> id").select(F.col("vec_id").alias("a"), F.col("id").alias("b")))
     component = connected_components(edges)
-    done = members.join(component.withColumnRenamed("id", "x"), F.col("vec_id") == F.col("x"), "left").select("vec_id", "n_links", F.coalesce("component", "vec_id").alias("component_id"))
+    done = written(members.join(component.withColumnRenamed("id", "x"), F.col("vec_id") == F.col("x"), "left").select("vec_id", "n_links", F.coalesce("component", "vec_id").alias("component_id")), "vector-components")
+    drop(classes, placed, homes, found, members, component)
     odd = rows.where(~F.coalesce(sound & (F.size("v") == dim), F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return done.union(odd).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
