@@ -6,7 +6,7 @@ different types. All rows carry pair_id, so one job matches all pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -115,26 +115,37 @@ def cosine_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return unit(a) @ unit(b).T
 
 
-def match_by_vectors(old: DataFrame, new: DataFrame, vectors: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
-    """(pair_id, old_index, new_index): the assignment of the greatest total cosine of each pair and type, without pairs below ``min_cosine``.
-
-    The threshold is applied after the assignment. ``vectors`` has pair_id,
-    side, order_index and vector.
-    """
+def _by_type(old: DataFrame, new: DataFrame, vectors: DataFrame, extra: str, pick: Callable[[np.ndarray], Iterator[tuple]]) -> DataFrame:
+    """(pair_id, old_index, new_index, ...) of what ``pick`` gives of the cosine matrix of each pair's sections of a type: rows (i, j, ...)."""
     on = ["pair_id", "side", "order_index"]
     left = old.withColumn("side", F.lit("old")).union(new.withColumn("side", F.lit("new"))).drop("madde_no", "key")
     both = left.join(vectors.select(*on, "vector"), on).select("pair_id", "section_type", "side", "order_index", "vector")
+    names = ["pair_id", "old_index", "new_index", *(c.split()[0] for c in extra.split(",") if c)]
 
-    def assign(rows: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("order_index")
         x, y = rows[rows["side"] == "old"], rows[rows["side"] == "new"]
-        out: list[tuple[int, int, int]] = []
+        out: list[tuple] = []
         if len(x) and len(y):
-            cosine = cosine_matrix(np.array(x["vector"].tolist(), np.float32), np.array(y["vector"].tolist(), np.float32))
-            out = [(int(x["pair_id"].iloc[0]), int(x["order_index"].iloc[i]), int(y["order_index"].iloc[j])) for i, j in best_assignment(cosine) if cosine[i, j] >= min_cosine]
-        return pd.DataFrame(out, columns=["pair_id", "old_index", "new_index"])
+            cosine = cosine_matrix(np.array(x["vector"].tolist(), float), np.array(y["vector"].tolist(), float))
+            out = [(int(x["pair_id"].iloc[0]), int(x["order_index"].iloc[i]), int(y["order_index"].iloc[j]), *more) for i, j, *more in pick(cosine)]
+        return pd.DataFrame(out, columns=names)
+
+    return both.groupBy("pair_id", "section_type").applyInPandas(run, "pair_id long, old_index int, new_index int" + (f", {extra}" if extra else ""))
+
 
-    return both.groupBy("pair_id", "section_type").applyInPandas(assign, "pair_id long, old_index int, new_index int")
+def cosines(old: DataFrame, new: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(pair_id, old_index, new_index, cosine) of every two sections of a type of either side of a pair."""
+    return _by_type(old, new, vectors, "cosine double", lambda c: ((i, j, float(c[i, j])) for i, j in np.ndindex(*c.shape)))
+
+
+def match_by_vectors(old: DataFrame, new: DataFrame, vectors: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
+    """(pair_id, old_index, new_index): the assignment of the greatest total cosine of each pair and type, without pairs below ``min_cosine``.
+
+    The threshold is applied after the assignment. ``vectors`` has pair_id,
+    side, order_index and vector.
+    """
+    return _by_type(old, new, vectors, "", lambda c: ((i, j) for i, j in best_assignment(c) if c[i, j] >= min_cosine))
 
 
 def _left(side: DataFrame, matched: DataFrame, index: str) -> DataFrame:

@@ -187,10 +187,11 @@ def added_articles(spark, sf_dir):
     return match.unmatched(c.sections, c.matches, "new").select("pair_id", "madde_no", "baslik")
 
 
-def _vector_sides(spark, sf_dir) -> DataFrame:
-    """Vectors in pairs of 32 as two versions: even ids old, odd ids new."""
+def _vector_rows(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Vectors in pairs of 32 as two versions, even ids old and odd ids new: sections without number and title, and their vectors."""
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return v.select(F.floor(F.col("vec_id") / 32).alias("pair_id"), F.when(F.col("vec_id") % 2 == 0, "old").otherwise("new").alias("side"), F.floor(F.col("vec_id") % 32 / 2).cast("int").alias("order_index"), F.col("embedding").alias("vector"))
+    v = v.select(F.floor(F.col("vec_id") / 32).alias("pair_id"), F.when(F.col("vec_id") % 2 == 0, "old").otherwise("new").alias("side"), F.floor(F.col("vec_id") % 32 / 2).cast("int").alias("order_index"), F.col("embedding").alias("vector"))
+    return v.select("pair_id", "side", "order_index", F.lit("MADDE").alias("section_type"), F.lit(None).cast("int").alias("madde_no"), F.lit(None).cast("string").alias("key")), v
 
 
 @query(
@@ -199,19 +200,16 @@ def _vector_sides(spark, sf_dir) -> DataFrame:
     base=False,
 )
 def cosine_pairs(spark, sf_dir):
-    v = _vector_sides(spark, sf_dir).select("pair_id", "side", "order_index", F.col("vector").cast("array<double>").alias("v"))
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda acc, p: acc + p)
-    a, b = (v.where(F.col("side") == s).select("pair_id", F.col("order_index").alias(f"i_{s}"), F.col("v").alias(s)) for s in ("old", "new"))
-    cosine = dot(F.col("old"), F.col("new")) / F.sqrt(dot(F.col("old"), F.col("old")) * dot(F.col("new"), F.col("new")))
-    return a.join(b, "pair_id").select((F.col("pair_id") * 32 + F.col("i_old") * 2).alias("a"), (F.col("pair_id") * 32 + F.col("i_new") * 2 + 1).alias("b"), (F.round(cosine, 4) + 0.0).alias("cosine"))
+    rows, vectors = _vector_rows(spark, sf_dir)
+    found = match.cosines(*match.sides(rows), vectors)
+    return found.select((F.col("pair_id") * 32 + F.col("old_index") * 2).alias("a"), (F.col("pair_id") * 32 + F.col("new_index") * 2 + 1).alias("b"), (F.round("cosine", 4) + 0.0).alias("cosine"))
 
 
 @query()
 def embedding_assignment(spark, sf_dir):
     """The best assignment of each pair's vectors; no SQL, for it is an optimum over permutations."""
-    v = _vector_sides(spark, sf_dir)
-    rows = v.select("pair_id", "side", "order_index", F.lit("MADDE").alias("section_type"), F.lit(None).cast("int").alias("madde_no"), F.lit(None).cast("string").alias("key"))
-    return match.match_by_vectors(*match.sides(rows), v, 0.2)
+    rows, vectors = _vector_rows(spark, sf_dir)
+    return match.match_by_vectors(*match.sides(rows), vectors, 0.2)
 
 
 # ---------------------------------------------------------------- rows
@@ -297,9 +295,9 @@ def normalize_key(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", text.compare_key(F.concat(F.lit("“x” – "), F.col("text"), F.lit(" ge-\nlir"))).alias("key"))
 
 
-@query(r"""SELECT doc_id, trim(regexp_replace(replace(lower(replace('  YÜRÜRLÜK İŞLERİ  ' || source || ' ' || substr(text, 1, 80), 'İ', 'i' || chr(775))), 'ß', 'ss'), '\s+', ' ', 'g')) AS key FROM documents""", base=False)
+@query(r"""SELECT doc_id, trim(regexp_replace(replace(lower(replace('  YÜRÜRLÜK İŞLERİ  ' || source || ' ' || text, 'İ', 'i' || chr(775))), 'ß', 'ss'), '\s+', ' ', 'g')) AS key FROM documents""", base=False)
 def title_key(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", text.title_key(F.concat(F.lit("  YÜRÜRLÜK İŞLERİ  "), "source", F.lit(" "), F.substring("text", 1, 80))).alias("key"))
+    return _docs(spark, sf_dir).select("doc_id", text.title_key(F.concat(F.lit("  YÜRÜRLÜK İŞLERİ  "), "source", F.lit(" "), "text")).alias("key"))
 
 
 @query(r"""SELECT doc_id, regexp_replace(trim(regexp_replace(' Sayfa ' || doc_id || '  / 1000 ' || source, '\s+', ' ', 'g')), '\d+', '#', 'g') AS key FROM documents""", base=False)
