@@ -15,7 +15,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausediff.llm.storage import small_enough, written
+from clausediff.llm.storage import drop, small_enough, written
 
 #: Chosen token positions. Modulo 5, 6 and 7 each leaves a residue free, so substitutions of every fifth, sixth or seventh token leave seeds whole.
 MASKS = ((0, 1, 2, 4, 5), (0, 1, 3, 6, 7))
@@ -105,14 +105,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         _stacked(positions, masks)
         .join(hint(item_seeds), "seed")
         .select("doc_id", "t1", "t2", "item_id", (F.col("at") - F.col("item_pos")).alias("diagonal"))
-        .groupBy("doc_id", "t1", "t2")
-        .agg(F.collect_set(F.struct("item_id", "diagonal")).alias("hits"))
+        .groupBy("doc_id", "t1", "t2", "item_id")
+        .agg(F.collect_set("diagonal").alias("diagonals"))  # no more than the text and the item have tokens
     )
     hits = written(hits, "seed-hits")
     # the texts of documents with a hit, read again
-    texts = own.join(hits.select(F.col("doc_id").alias("d"), F.col("t1").alias("a"), F.col("t2").alias("b"), "hits"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t1") == F.col("a")) & (F.col("t2") == F.col("b")))
-    texts = texts.dropDuplicates(["doc_id", "t1", "t2"])
-    laid = texts.select("doc_id", "t1", "t2", tokens(F.col("text")).alias("dw"), F.explode("hits").alias("hit")).select("doc_id", "t1", "t2", "dw", "hit.item_id", "hit.diagonal")
+    texts = own.join(hits.select(F.col("doc_id").alias("d"), F.col("t1").alias("a"), F.col("t2").alias("b")).distinct(), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t1") == F.col("a")) & (F.col("t2") == F.col("b")), "left_semi")
+    texts = texts.groupBy(F.col("doc_id").alias("d"), F.col("t1").alias("a"), F.col("t2").alias("b")).agg(F.max("text").alias("text"))
+    laid = hits.join(texts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t1") == F.col("a")) & (F.col("t2") == F.col("b")))
+    laid = laid.select("doc_id", "t1", "t2", "item_id", tokens(F.col("text")).alias("dw"), F.explode("diagonals").alias("diagonal"))
     laid = laid.join(hint(items.select("item_id", F.col("w").alias("iw"))), "item_id")
     agrees = F.transform("iw", lambda w, j: F.coalesce(F.get("dw", j + F.col("diagonal")) == w, F.lit(False)).cast("int"))
     laid = laid.select("doc_id", "t1", "t2", "item_id", "diagonal", F.size("iw").alias("n_item"), agrees.alias("agrees"))
@@ -120,7 +121,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     held = F.exists(F.sequence(F.lit(1), F.col("n_item") - width + 1), lambda s: F.aggregate(F.slice("agrees", s, width), F.lit(0), lambda a, x: a + x) >= F.ceil(width * AGREE))
     best = laid.where(held).select("doc_id", "t1", "t2", "item_id", "n_item", F.col("diagonal").alias("start"), F.aggregate("agrees", F.lit(0), lambda a, x: a + x).alias("matched"))
     best = best.groupBy("doc_id", "t1", "t2", "item_id").agg(F.max("n_item").alias("n_item"), F.max(F.struct(F.col("matched"), (-F.col("start")).alias("s"))).alias("m"))
-    return best.select("doc_id", "t1", "t2", "item_id", (-F.col("m.s")).cast("long").alias("start"), F.col("m.matched").cast("long").alias("matched"), F.col("n_item").cast("long").alias("n_item"))
+    best = best.select("doc_id", "t1", "t2", "item_id", (-F.col("m.s")).cast("long").alias("start"), F.col("m.matched").cast("long").alias("matched"), F.col("n_item").cast("long").alias("n_item"))
+    best = written(best, "contaminated")
+    drop(items, hits)
+    return best
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

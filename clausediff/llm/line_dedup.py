@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausediff.llm.storage import written
+from clausediff.llm.storage import drop, written
 
 #: log2 of a sketch's size; its relative standard error is 1.04 / sqrt(2**LG_K).
 LG_K = 10
@@ -49,7 +49,9 @@ def shared_lines(docs: DataFrame, min_sites: int) -> DataFrame:
     )
     near = likely.where(F.col("sites") <= min_sites + band).select("h1", "h2")
     exact = lines.join(near, ["h1", "h2"], "left_semi").groupBy("h1", "h2", "site").count().groupBy("h1", "h2").count().where(F.col("count") >= min_sites)
-    return written(likely.where(F.col("sites") > min_sites + band).select("h1", "h2").union(exact.select("h1", "h2")), "shared-lines")
+    shared = written(likely.where(F.col("sites") > min_sites + band).select("h1", "h2").union(exact.select("h1", "h2")), "shared-lines")
+    drop(likely)
+    return shared
 
 
 def remove_shared_lines(docs: DataFrame, min_sites: int = 10) -> DataFrame:
@@ -68,6 +70,9 @@ def remove_shared_lines(docs: DataFrame, min_sites: int = 10) -> DataFrame:
     # hashes of a text's shared lines; equal texts have equal lines, so they are found once per distinct text
     placed = rows.where("text is not null").select("t1", "t2", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), _key))).alias("key")).where("key <> ''")
     found = placed.select("t1", "t2", *_hashes(F.col("key"))).join(shared, ["h1", "h2"]).groupBy("t1", "t2").agg(F.collect_set("h1").alias("bad1"), F.collect_set("h2").alias("bad2"))
+    # a table of its own, so that Spark can split the rows of a text that a third of all documents copy
+    found = written(found, "texts-with-shared-lines")
+    drop(shared)
     joined = rows.join(found, ["t1", "t2"], "left")
     lines = F.split("text", "\n")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clausediff.llm.decontaminate import MASKS, contaminated
+from clausediff.llm.decontaminate import contaminated
 from clausediff.llm.storage import table
 
 
@@ -13,21 +13,14 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "start", "matched", "n_item")
 
 
-def _seed(words: str, i: str, mask: tuple[int, ...]) -> str:
-    return " || ' ' || ".join(f"{words}[{i} + {o + 1}]" for o in mask)
-
-
 def held_sql(docs: str) -> str:
-    """CTEs whose last, ``held``, has the best alignment of each document with each item (items of eight tokens or more)."""
-    seeds = " UNION ALL ".join(
-        f"SELECT {{key}}, {k} AS mask, i, {_seed('w', 'i', m)} AS seed FROM (SELECT {{key}}, w, unnest(range(0, greatest(len(w) - {m[-1]}, 0))) AS i FROM {{source}})" for k, m in enumerate(MASKS)
-    )
+    """CTEs whose last, ``held``, has the best alignment of each document with each item: every diagonal with enough equal tokens is laid out, without seeds."""
     return f"""
   dw AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM {docs}),
   iw AS (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM benchmark),
-  ds AS ({seeds.format(key='doc_id', source='dw')}),
-  bs AS ({seeds.format(key='item_id', source='iw')}),
-  hits AS (SELECT DISTINCT doc_id, item_id, ds.i - bs.i AS diagonal FROM ds JOIN bs ON ds.mask = bs.mask AND ds.seed = bs.seed),
+  dt AS (SELECT doc_id, unnest(w) AS t, unnest(range(0, len(w))) AS i FROM dw),
+  it AS (SELECT item_id, len(w) AS n, unnest(w) AS t, unnest(range(0, len(w))) AS i FROM iw),
+  hits AS (SELECT doc_id, item_id, dt.i - it.i AS diagonal FROM dt JOIN it ON dt.t = it.t GROUP BY ALL HAVING count(*) >= ceil(least(13, any_value(n)) * 0.8)),
   cells AS (SELECT h.*, j, len(iw.w) AS n_item, CAST(j + diagonal >= 1 AND coalesce(dw.w[CASE WHEN j + diagonal >= 1 THEN j + diagonal ELSE 1 END] = iw.w[j], false) AS INTEGER) AS ok
             FROM (SELECT h.*, unnest(range(1, len(iw.w) + 1)) AS j FROM hits h JOIN iw ON iw.item_id = h.item_id) h
             JOIN iw ON iw.item_id = h.item_id JOIN dw ON dw.doc_id = h.doc_id),
