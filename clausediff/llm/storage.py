@@ -44,8 +44,10 @@ def _delete(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Whether Spark deletes a plan's shuffle files as soon as it has run, and not when the driver's JVM next collects garbage.
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: Spark deletes the plan's shuffle files as soon as it has run, and not when the driver's JVM
+#: next collects garbage; and rows come to Python in batches of so many bytes, for a batch of long texts stands in the
+#: memory of the JVM and of Python several times over.
+_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -56,12 +58,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_folder(spark, name)
-    before = spark.conf.get(_CLEAN, None)
-    spark.conf.set(_CLEAN, "true")
+    before = {k: spark.conf.get(k, None) for k in _WHILE_WRITING}
     try:
+        for k, v in _WHILE_WRITING.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
