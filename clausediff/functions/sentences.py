@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from clausediff.functions.text import bare, lead, starts
 from clausediff.schema import ABBREVIATIONS
 
 _ABBREVIATION = "|".join(re.escape(a) for a in ABBREVIATIONS)
@@ -21,13 +22,13 @@ BOUNDARY = (
 
 def sentences(text: Column) -> Column:
     """Array of (start, end, text): the trimmed sentences that are not blank; the rest after the last boundary is one."""
-    parts = F.split(text, BOUNDARY)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out"))
+    return F.transform(F.array(F.split(text, BOUNDARY)), _spans)[0]
 
-    def add(acc: Column, part: Column) -> Column:
-        bare = F.regexp_replace(part, r"(?U)^\s+|\s+$", "")
-        first = acc["at"] + F.length(part) - F.length(F.regexp_replace(part, r"(?U)^\s+", ""))
-        one = F.array(F.struct(first.alias("start"), (first + F.length(bare)).alias("end"), bare.alias("text")))
-        return F.struct((acc["at"] + F.length(part)).alias("at"), F.when(bare == "", acc["out"]).otherwise(F.concat(acc["out"], one)).alias("out"))
 
-    return F.aggregate(parts, start, add)["out"]
+def _spans(parts: Column) -> Column:
+    def span(x: Column) -> Column:
+        first, own = x["at"] + lead(x["part"]), bare(x["part"])
+        return F.struct(first.alias("start"), (first + F.length(own)).alias("end"), own.alias("text"))
+
+    placed = F.zip_with(parts, F.slice(starts(parts), 1, F.size(parts)), lambda p, at: F.struct(p.alias("part"), at.alias("at")))
+    return F.filter(F.transform(placed, span), lambda s: s["text"] != "")

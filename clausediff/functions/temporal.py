@@ -10,6 +10,7 @@ from clausediff.schema import MONTHS, NUMBER_WORDS, UNITS
 _MONTH = "|".join(MONTHS)
 _UNIT = "|".join(UNITS)
 _NUMBER = "|".join(NUMBER_WORDS)
+# Fixed pattern of dates and durations.
 EXPRESSION = (
     r"(?U)\b\d{1,2}[./]\d{1,2}[./]\d{4}\b"
     rf"|\b\d{{1,2}}\s+(?:{_MONTH})\s+\d{{4}}\b"

@@ -8,6 +8,23 @@ from pyspark.sql import functions as F
 from clausediff.schema import FORMULA_STARTS, NO_SECTION, NO_TITLE, QUOTES_AND_DASHES
 
 _HYPHEN_BREAK = r"(?<=\p{L})-\n(?=\p{L})"
+#: The characters of Unicode's white space, which ``(?U)\s`` matches.
+WHITE = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def bare(text: Column) -> Column:
+    """Without white space at either end."""
+    return F.btrim(text, F.lit(WHITE))
+
+
+def lead(text: Column) -> Column:
+    """How many characters of white space it begins with."""
+    return F.length(text) - F.length(F.ltrim(text, F.lit(WHITE)))
+
+
+def starts(parts: Column, gap: int = 0) -> Column:
+    """Where each part begins in the text that the parts make, ``gap`` characters between them; one number more than there are parts."""
+    return F.aggregate(parts, F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p) + gap)))
 
 
 def compare_key(text: Column) -> Column:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clausediff.operators.diff import section_ratio
+from clausediff.functions.text import compare_key, words
+from clausediff.operators.align import ratio
+from clausediff.operators.diff import sentence_keys
 from clausediff.operators.match import unmatched
 from clausediff.schema import IDENTICAL_RATIO, MOVED_DELTA
 
@@ -24,18 +26,19 @@ def moved(old: str = "old", new: str = "new") -> Column:
     return (_above(old) != _above(new)) | (F.abs(F.col(f"{old}.order_index") - F.col(f"{new}.order_index")) >= MOVED_DELTA)
 
 
-def classified(sections: DataFrame, pairs: DataFrame, matches: DataFrame, diffs: DataFrame | None = None) -> DataFrame:
+def classified(sections: DataFrame, pairs: DataFrame, matches: DataFrame, by_sentence: bool = True) -> DataFrame:
     """(pair_id, change_type, renumbered, moved, method, old, new) of every match and every section left alone.
 
-    A match is IDENTICAL from a ratio of 0.98 on; given its sentence
-    differences, only if none of its sentences differs either.
+    A match is IDENTICAL from a ratio of its bodies' words of 0.98 on and, by
+    sentence, only if none of its sentences differs either. Words are aligned
+    for those matches only that nothing plainer decides.
     """
-    rated = section_ratio(pairs)
-    same = F.col("similarity") >= IDENTICAL_RATIO
-    if diffs is not None:
-        differing = diffs.where("op <> 'equal'").select("pair_id", "old_index", "new_index").distinct().withColumn("differs", F.lit(True))
-        rated = rated.join(differing, ["pair_id", "old_index", "new_index"], "left")
-        same = same & F.col("differs").isNull()
+    equal = F.col("old.body") == F.col("new.body")
+    keys = F.when(equal, True).otherwise(sentence_keys(F.col("old.body")) == sentence_keys(F.col("new.body"))) if by_sentence else F.lit(True)
+    rated = pairs.withColumns({"equal": equal, "keys": keys})
+    open_ = F.col("keys") & ~F.col("equal")
+    key = lambda c: F.when(open_, words(compare_key(F.col(c))))
+    same = F.col("equal") | F.col("keys") & (ratio(key("old.body"), key("new.body")) >= IDENTICAL_RATIO)
     both = rated.select("pair_id", F.when(same, "IDENTICAL").otherwise("MODIFIED").alias("change_type"), renumbered().alias("renumbered"), moved().alias("moved"), "method", "old", "new")
     kind = both.schema["old"].dataType
     whole = F.struct(*(c for c in sections.columns if c not in ("pair_id", "side")))

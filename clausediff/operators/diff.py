@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from clausediff.functions.sentences import sentences
 from clausediff.functions.temporal import temporal_expressions
-from clausediff.functions.text import compare_key, words
+from clausediff.functions.text import compare_key, starts, words
 from clausediff.operators.align import opcodes, ratio
 from clausediff.schema import MIN_SENTENCE_RATIO
 
@@ -35,10 +35,10 @@ def steps(codes: Column) -> Column:
 
 def section_sentences(units: Column, body: Column) -> Column:
     """Array of (text, fragments): sentences of the joined body, each with the pieces of units that it covers, so a page's end cuts none."""
-    ends = F.aggregate(units, F.array(F.lit(0)), lambda acc, u: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(u["text"]) + 1)))
-    bounds = F.transform(units, lambda u, i: F.struct(u.alias("u"), F.get(ends, i).alias("a"), (F.get(ends, i) + F.length(u["text"])).alias("b")))
+    begins = F.slice(starts(F.transform(units, lambda u: u["text"]), 1), 1, F.size(units))
+    bounds = F.zip_with(units, begins, lambda u, a: F.struct(u.alias("u"), a.alias("a"), (a + F.length(u["text"])).alias("b")))
 
-    def fragments(s: Column) -> Column:
+    def fragments(s: Column, bounds: Column) -> Column:
         met = F.filter(bounds, lambda x: F.greatest(s["start"], x["a"]) < F.least(s["end"], x["b"]))
 
         def piece(x: Column) -> Column:
@@ -51,7 +51,8 @@ def section_sentences(units: Column, body: Column) -> Column:
 
         return F.transform(met, piece)
 
-    return F.transform(sentences(body), lambda s: F.struct(s["text"].alias("text"), fragments(s).alias("fragments")))
+    # the bounds are made once, not for each sentence
+    return F.transform(F.array(bounds), lambda own: F.transform(sentences(body), lambda s: F.struct(s["text"].alias("text"), fragments(s, own).alias("fragments"))))[0]
 
 
 def pair_sections(sections: DataFrame, matches: DataFrame) -> DataFrame:
@@ -110,6 +111,11 @@ def temporal_changes(diffs: DataFrame) -> DataFrame:
     return rows.select("pair_id", "old_index", "new_index", "diff_no", "change_no", "old", "new", F.coalesce(F.when(F.col("old").isNotNull(), F.col("p1")), F.when(F.col("new").isNotNull(), F.col("p2"))).alias("page_no"))
 
 
+def sentence_keys(body: Column) -> Column:
+    """The keys by which a body's sentences are compared: two bodies have a sentence that differs just if these differ."""
+    return F.transform(sentences(body), lambda s: compare_key(s["text"]))
+
+
 def section_ratio(pairs: DataFrame) -> DataFrame:
     """``pairs`` with similarity: the ratio of their bodies' normalised words."""
     key = lambda c: words(compare_key(F.col(c)))

@@ -7,40 +7,40 @@ carried values: one shuffle by document, however many documents there are.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from clausediff.functions.text import bare, lead, starts
 from clausediff.schema import ORDINALS
 
 # Fixed patterns of headings; case folds as in Unicode, so dotted and dotless i are one letter.
 _FLAGS = r"(?iuUd)"
 _ORDINAL = "|".join(ORDINALS)
-ARTICLE = _FLAGS + r"^\s*MADDE\s+(\d+)\s*[-–—.]?\s*(.*)$"
-TEMPORARY_ARTICLE = _FLAGS + r"^\s*GEÇİCİ\s+MADDE\s+(\d+)\s*[-–—.]?\s*(.*)$"
-CHAPTER = _FLAGS + rf"^\s*({_ORDINAL})\s+BÖLÜM\b\s*[-–—:]?\s*(.*)$"
-PART = _FLAGS + rf"^\s*({_ORDINAL})\s+KISIM\b\s*[-–—:]?\s*(.*)$"
-ANNEX = _FLAGS + r"^\s*EK[- ]?(\d+)\b\s*(.*)$"
+ARTICLE = _FLAGS + r"^\s*MADDE\s+(\d+)\s*[-–—.]?\s*"
+TEMPORARY_ARTICLE = _FLAGS + r"^\s*GEÇİCİ\s+MADDE\s+(\d+)\s*[-–—.]?\s*"
+CHAPTER = _FLAGS + rf"^\s*({_ORDINAL})\s+BÖLÜM\b"
+PART = _FLAGS + rf"^\s*({_ORDINAL})\s+KISIM\b"
 
 _KEY = ("pair_id", "side")
 
 
+def _order() -> WindowSpec:
+    """The order of a document's lines; every window has it, so that rows are sorted once."""
+    return Window.partitionBy(*_KEY).orderBy("block_index", "start")
+
+
 def split_lines(units: DataFrame) -> DataFrame:
     """The lines of each unit that are not blank: trimmed, with offsets in their block, numbered over the document (line_no from 0).
 
     ``units`` has pair_id, side, doc_id, page_no, block_index, char_start and
     text; null texts have no lines.
     """
-    pieces = F.split("text", "\n")
-    before = F.aggregate(pieces, F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p) + 1)))
-    raw = units.where("text is not null").select(
-        *_KEY, "doc_id", "page_no", "block_index", "char_start", F.posexplode(F.arrays_zip(pieces.alias("piece"), F.slice(before, 1, F.size(pieces)).alias("at"))).alias("piece_no", "p")
-    )
-    bare = F.regexp_replace("p.piece", r"(?U)^\s+|\s+$", "")
-    lead = F.length("p.piece") - F.length(F.regexp_replace("p.piece", r"(?U)^\s+", ""))
-    start = F.col("char_start") + F.col("p.at") + lead
-    lines = raw.select(*_KEY, "doc_id", "page_no", "block_index", "piece_no", start.alias("start"), bare.alias("text")).where("text <> ''")
-    order = Window.partitionBy(*_KEY).orderBy("block_index", "start")
-    return lines.select(*_KEY, "doc_id", (F.row_number().over(order) - 1).alias("line_no"), "page_no", "block_index", "start", (F.col("start") + F.length("text")).alias("end"), "text")
+    raw = units.where("text is not null").select(*_KEY, "doc_id", "page_no", "block_index", "char_start", F.split("text", "\n").alias("pieces"))
+    placed = F.arrays_zip(F.col("pieces").alias("piece"), F.slice(starts(F.col("pieces"), 1), 1, F.size("pieces")).alias("at"))
+    raw = raw.select(*_KEY, "doc_id", "page_no", "block_index", "char_start", F.explode(placed).alias("p"))
+    start = F.col("char_start") + F.col("p.at") + lead(F.col("p.piece"))
+    lines = raw.select(*_KEY, "doc_id", "page_no", "block_index", start.alias("start"), bare(F.col("p.piece")).alias("text")).where("text <> ''")
+    return lines.select(*_KEY, "doc_id", (F.row_number().over(_order()) - 1).alias("line_no"), "page_no", "block_index", "start", (F.col("start") + F.length("text")).alias("end"), "text")
 
 
 def line_kind(text: Column) -> Column:
@@ -50,20 +50,20 @@ def line_kind(text: Column) -> Column:
 
 def mark_lines(lines: DataFrame) -> DataFrame:
     """``lines`` with kind (T for the line before an article, its title), part, chapter and the article that a line belongs to (section_no, null outside)."""
-    order = Window.partitionBy(*_KEY).orderBy("line_no")
+    order = _order()
     running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     marked = lines.withColumn("k0", line_kind(F.col("text")))
+    marked = marked.withColumn("label", F.when(F.col("k0") == "K", F.regexp_extract("text", PART, 1)).when(F.col("k0") == "B", F.regexp_extract("text", CHAPTER, 1)))
     marked = marked.withColumn("kind", F.coalesce("k0", F.when(F.lead("k0").over(order).isin("M", "G"), F.lit("T"))))
-    marked = marked.withColumn("before", F.lag("kind").over(order)).withColumn("before_text", F.lag("text").over(order))
     article = F.col("kind").isin("M", "G")
-    marked = marked.withColumn("articles", F.sum(F.when(article, 1).otherwise(0)).over(running))
-    marked = marked.withColumn("open", F.last("kind", ignorenulls=True).over(running).isin("M", "G"))
-    marked = marked.withColumn("parts", F.sum(F.when(F.col("kind") == "K", 1).otherwise(0)).over(running))
-    in_part = Window.partitionBy(*_KEY, "parts").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    label = lambda pattern, name: F.concat(F.regexp_extract("text", pattern, 1), F.lit(f" {name}"))
-    marked = marked.withColumn("kisim", F.last(F.when(F.col("kind") == "K", label(PART, "KISIM")), ignorenulls=True).over(running))
-    marked = marked.withColumn("bolum", F.last(F.when(F.col("kind") == "B", label(CHAPTER, "BÖLÜM")), ignorenulls=True).over(in_part))
-    return marked.withColumn("section_no", F.when(F.col("open"), F.col("articles") - 1).cast("int")).drop("k0", "articles", "open", "parts")
+    heading = F.last(F.when(F.col("label").isNotNull(), F.struct("k0", "label")), ignorenulls=True).over(running)  # a part closes the chapter before it
+    marked = marked.select(
+        *(c for c in marked.columns if c not in ("k0", "label")), F.lag("kind").over(order).alias("before"), F.lag("text").over(order).alias("before_text"),
+        F.sum(F.when(article, 1).otherwise(0)).over(running).alias("articles"), F.last("kind", ignorenulls=True).over(running).isin("M", "G").alias("open"),
+        F.concat(F.last(F.when(F.col("k0") == "K", F.col("label")), ignorenulls=True).over(running), F.lit(" KISIM")).alias("kisim"), heading.alias("heading"),
+    )
+    marked = marked.withColumn("bolum", F.when(F.col("heading.k0") == "B", F.concat(F.col("heading.label"), F.lit(" BÖLÜM"))))
+    return marked.withColumn("section_no", F.when(F.col("open"), F.col("articles") - 1).cast("int")).drop("articles", "open", "heading")
 
 
 def parse_sections(units: DataFrame) -> DataFrame:
@@ -74,11 +74,11 @@ def parse_sections(units: DataFrame) -> DataFrame:
     """
     marked = mark_lines(split_lines(units)).where("section_no is not null")
     temporary, article = F.col("kind") == "G", F.col("kind").isin("M", "G")
-    pattern_no = F.when(temporary, F.regexp_extract("text", TEMPORARY_ARTICLE, 1)).otherwise(F.regexp_extract("text", ARTICLE, 1))
-    rest = F.when(temporary, F.regexp_extract("text", TEMPORARY_ARTICLE, 2)).otherwise(F.regexp_extract("text", ARTICLE, 2))
-    number = F.when(article, pattern_no.try_cast("int"))
+    found = lambda group: F.when(temporary, F.regexp_extract("text", TEMPORARY_ARTICLE, group)).when(article, F.regexp_extract("text", ARTICLE, group))
+    marked = marked.withColumns({"number": found(1).try_cast("int"), "head": F.coalesce(F.length(found(0)), F.lit(0))})
+    marked = marked.withColumn("rest", F.expr("substring(text, head + 1)"))
+    number, unit_text = F.col("number"), F.col("rest")
     shown = F.when(article, F.concat(F.when(temporary, "GEÇİCİ MADDE ").otherwise("MADDE "), number.cast("string")))
-    unit_text = F.when(article, rest).otherwise(F.col("text"))
     unit = F.struct("line_no", "page_no", "block_index", (F.col("end") - F.length(unit_text)).alias("char_start"), F.col("end").alias("char_end"), unit_text.alias("text"))
     rows = marked.select(
         *_KEY, "doc_id", "section_no", "line_no", F.when(article, F.when(temporary, "GECICI_MADDE").otherwise("MADDE")).alias("section_type"), number.alias("madde_no"),

@@ -5,20 +5,27 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from clausediff.operators import metrics
 from clausediff.operators.classify import classified, ordered
 from clausediff.operators.diff import pair_sections, sentence_diffs, temporal_changes, word_diffs
 from clausediff.operators.match import match_sections
 from clausediff.operators.structure import parse_sections
-from clausediff.schema import MIN_COSINE
+from clausediff.schema import MIN_COSINE, SIDES
+
+
+#: Of a section, what is no text; and the tables that several others need.
+_BRIEF = ("order_index", "section_type", "madde_no", "baslik", "heading_path")
+_KEPT = ("sections", "matches", "sentence_diffs", "brief")
 
 
 class Comparison:
     """Lazy tables of a comparison of all pairs; each is planned when it is first asked for.
 
-    Alignment is the dear step and several tables need it: ``persist`` keeps
-    the sections, the matches and the sentence differences (memory, then disk).
+    ``persist`` keeps what several tables need once it is made (memory, then
+    disk): the sections, the matches, the sentence differences and the rows
+    without their texts.
     """
 
     def __init__(self, sections: DataFrame, vectors: DataFrame | None = None, min_cosine: float = MIN_COSINE) -> None:
@@ -46,18 +53,28 @@ class Comparison:
 
     @cached_property
     def rows(self) -> DataFrame:
-        return ordered(classified(self.sections, self.pairs, self.matches, self.sentence_diffs))
+        return ordered(classified(self.sections, self.pairs, self.matches))
+
+    @cached_property
+    def brief(self) -> DataFrame:
+        """``rows`` whose old and new hold no texts: all that counts, tables and filters need."""
+        side = lambda s: F.when(F.col(s).isNotNull(), F.struct(*(F.col(f"{s}.{c}") for c in _BRIEF))).alias(s)
+        found = classified(self.sections, self.pairs, self.matches)
+        return ordered(found.select("pair_id", "change_type", "renumbered", "moved", "method", *map(side, SIDES)))
 
     @cached_property
     def summary(self) -> DataFrame:
-        return metrics.summary_stats(self.rows)
+        return metrics.summary_stats(self.brief)
 
     def persist(self) -> Comparison:
-        self.sections = self.sections.persist()
-        self.matches = self.matches.persist()
-        self.sentence_diffs = self.sentence_diffs.persist()
+        for name in _KEPT:
+            setattr(self, name, getattr(self, name).persist())
         return self
 
+    def unpersist(self) -> None:
+        for name in _KEPT:
+            getattr(self, name).unpersist()
+
     def register(self, prefix: str = "") -> None:
         """Views sections, matches, sentence_diffs, temporal_changes and comparison for SQL."""
         for name, df in (("sections", self.sections), ("matches", self.matches), ("sentence_diffs", self.sentence_diffs), ("temporal_changes", self.temporal_changes), ("comparison", self.rows)):

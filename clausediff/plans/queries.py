@@ -32,8 +32,15 @@ def query(sql: str | None = None, base: bool = True):
     return add
 
 
+_kept: list[Comparison] = []
+
+
 def comparison(spark: SparkSession, sf_dir: str) -> Comparison:
-    return compare_units(adapter.units(spark, sf_dir)).persist()
+    """The comparison that a query reads, kept until the next query's (a query that is run again makes it again)."""
+    while _kept:
+        _kept.pop().unpersist()
+    _kept.append(compare_units(adapter.units(spark, sf_dir)).persist())
+    return _kept[-1]
 
 
 def label_sql(column: str) -> str:
@@ -49,30 +56,30 @@ _COUNTS = f"""counts AS (SELECT p.pair_id, k.change_type, k.label_no, (SELECT co
 
 @query(f", {_COUNTS} SELECT pair_id, change_type, CAST(label_no AS INTEGER) AS label_no, n FROM counts")
 def change_counts(spark, sf_dir):
-    return metrics.content_counts(comparison(spark, sf_dir).rows)
+    return metrics.content_counts(comparison(spark, sf_dir).brief)
 
 
 @query("SELECT pair_id, count(*) FILTER (WHERE renumbered) AS renumbered, count(*) FILTER (WHERE moved) AS moved FROM c GROUP BY pair_id")
 def structural_counts(spark, sf_dir):
-    return metrics.structural_counts(comparison(spark, sf_dir).rows)
+    return metrics.structural_counts(comparison(spark, sf_dir).brief)
 
 
 @query(f", {_COUNTS} SELECT pair_id, CAST(label_no AS INTEGER) AS label_no, {label_sql('change_type')} AS label, n, round_even(n / sum(n) OVER (PARTITION BY pair_id) * 100, 1) AS pct FROM counts")
 def summary_pct(spark, sf_dir):
-    return metrics.summary_table(comparison(spark, sf_dir).rows)
+    return metrics.summary_table(comparison(spark, sf_dir).brief)
 
 
 @query(f"""SELECT pair_id, '{LABELS_TR["RENUMBERED"]}' AS label, count(*) FILTER (WHERE renumbered) AS n FROM c GROUP BY pair_id
   UNION ALL SELECT pair_id, '{LABELS_TR["MOVED"]}', count(*) FILTER (WHERE moved) FROM c GROUP BY pair_id""")
 def structural_table(spark, sf_dir):
-    return metrics.structural_table(comparison(spark, sf_dir).rows)
+    return metrics.structural_table(comparison(spark, sf_dir).brief)
 
 
 @query("""SELECT pair_id, section, count(*) FILTER (WHERE change_type = 'IDENTICAL') AS identical, count(*) FILTER (WHERE change_type = 'MODIFIED') AS modified,
   count(*) FILTER (WHERE change_type = 'ADDED') AS added, count(*) FILTER (WHERE change_type = 'REMOVED') AS removed,
   CAST(row_number() OVER (PARTITION BY pair_id ORDER BY min(row_idx)) AS INTEGER) AS section_no FROM r GROUP BY pair_id, section""")
 def section_breakdown(spark, sf_dir):
-    return metrics.section_breakdown(comparison(spark, sf_dir).rows)
+    return metrics.section_breakdown(comparison(spark, sf_dir).brief)
 
 
 _CHANGED = "(change_type <> 'IDENTICAL' OR renumbered OR moved)"
@@ -82,7 +89,7 @@ _TOP = f"""top AS (SELECT pair_id, section, count(*) AS n, min(row_idx) AS first
 
 @query(f", {_TOP} SELECT pair_id, section, n, CAST(row_number() OVER (PARTITION BY pair_id ORDER BY first) AS INTEGER) AS place FROM top")
 def most_changed_sections(spark, sf_dir):
-    return metrics.most_changed_sections(comparison(spark, sf_dir).rows)
+    return metrics.most_changed_sections(comparison(spark, sf_dir).brief)
 
 
 _LINES = """ranked AS (SELECT pair_id, title, change_type, row_number() OVER (PARTITION BY pair_id, change_type ORDER BY row_idx) AS k, count(*) OVER (PARTITION BY pair_id, change_type) AS n,
@@ -96,7 +103,7 @@ _LINES = """ranked AS (SELECT pair_id, title, change_type, row_number() OVER (PA
 
 @query(f", {_LINES} SELECT * FROM lines")
 def highlights_topk(spark, sf_dir):
-    return metrics.highlights(comparison(spark, sf_dir).rows)
+    return metrics.highlights(comparison(spark, sf_dir).brief)
 
 
 _STATS = f"""{_TOP}, {_LINES},
@@ -113,12 +120,36 @@ def summary_stats(spark, sf_dir):
     return stats.select("pair_id", "total", "old_total", "new_total", "identical", "modified", "added", "removed", "renumbered", "moved", "identical_pct", F.array_join("top_sections", ", ").alias("top_sections"), "top_count", F.array_join("highlights", "\n").alias("highlights"))
 
 
-@query()
+def _report_sql(html: bool) -> str:
+    """The lines of a report, joined, of ``stats``."""
+    strong = ("<strong>", "</strong>") if html else ("**", "**")
+    bold = lambda x: f"'{strong[0]}' || {x} || '{strong[1]}'"
+    name = lambda c: f'<span class="mk-badge mk-badge-{c.lower()}">{LABELS_TR[c]}</span>' if html else f"**{LABELS_TR[c]}**"
+    item = lambda x: f"'<li>' || {x} || '</li>'" if html else f"'- ' || {x}"
+    paragraph = lambda x: f"'<p>' || {x} || '</p>'" if html else x
+    share = [item(f"'{name(c)}: ' || {c.lower()} || ' madde (%' || printf('%.1f', round_even({c.lower()} / total * 100, 1)) || ')'") for c in ("IDENTICAL", "MODIFIED", "ADDED", "REMOVED")]
+    structural = [item(f"'{name(c)}: ' || {c.lower()} || ' maddede {what} değişikliği tespit edildi.'") for c, what in (("RENUMBERED", "madde numarası"), ("MOVED", "bölümü"))]
+    intro = paragraph(f"'Eski belgede ' || {bold('old_total')} || ', yeni belgede ' || {bold('new_total')} || ' madde bulundu; toplam ' || {bold('total')} || ' karşılaştırma birimi sınıflandırıldı.'")
+    names = f"(SELECT string_agg({bold('section')}, ', ' ORDER BY first) FROM top t WHERE t.pair_id = s.pair_id)"
+    top = paragraph(f"'En çok değişiklik ' || {names} || CASE WHEN tops > 1 THEN ' bölümlerinde' ELSE ' bölümünde' END || ' görüldü (' || top_count || ' madde).'")
+    lines = f"(SELECT list({item('line')} ORDER BY line_no) FROM lines x WHERE x.pair_id = s.pair_id)"
+    if html:
+        body = ["""'<div class="mk-summary">'""", "'<h2>Yönetici Özeti</h2>'", intro, "'<h3>İçerik Durumu</h3>'", "'<ul>'", *share, "'</ul>'", "'<h3>Yapısal Değişiklikler</h3>'", "'<ul>'", *structural, "'</ul>'"]
+        head, more, tail = "[]", "['<h3>Öne Çıkan Değişiklikler</h3>', '<ul>']", "['</ul>']"
+        end = "['</div>']"
+    else:
+        body = ["'## Yönetici Özeti'", "''", intro, "''", "'### İçerik Durumu'", *share, "''", "'### Yapısal Değişiklikler'", *structural]
+        head, more, tail, end = "['']", "['', '### Öne Çıkan Değişiklikler']", "[]", "[]"
+    parts = [f"[{', '.join(body)}]", f"CASE WHEN tops > 0 THEN list_concat({head}, [{top}]) ELSE [] END", f"CASE WHEN highlights IS NOT NULL THEN list_concat(list_concat({more}, {lines}), {tail}) ELSE [] END", end]
+    return f", {_STATS} SELECT pair_id, array_to_string(list_concat(list_concat({parts[0]}, {parts[1]}), list_concat({parts[2]}, {parts[3]})), chr(10)) AS {'html' if html else 'markdown'} FROM stats s"
+
+
+@query(_report_sql(False))
 def summary_markdown(spark, sf_dir):
     return comparison(spark, sf_dir).summary.select("pair_id", render.summary_markdown().alias("markdown"))
 
 
-@query()
+@query(_report_sql(True))
 def summary_html(spark, sf_dir):
     return comparison(spark, sf_dir).summary.select("pair_id", render.summary_html().alias("html"))
 
@@ -217,7 +248,7 @@ def embedding_assignment(spark, sf_dir):
 
 @query("""SELECT pair_id, CAST(row_idx AS INTEGER) AS row_idx, change_type, renumbered, moved, method, CAST(old_no AS INTEGER) AS old_no, CAST(new_no AS INTEGER) AS new_no FROM r""")
 def comparison_rows(spark, sf_dir):
-    rows = comparison(spark, sf_dir).rows
+    rows = comparison(spark, sf_dir).brief
     return rows.select("pair_id", "row_idx", "change_type", "renumbered", "moved", "method", F.col("old.madde_no").alias("old_no"), F.col("new.madde_no").alias("new_no"))
 
 
@@ -230,12 +261,12 @@ def detail_table(spark, sf_dir):
 
 @query("SELECT pair_id, CAST(row_idx AS INTEGER) AS row_idx, change_type FROM r WHERE change_type IN ('MODIFIED', 'ADDED') OR moved")
 def filter_labels(spark, sf_dir):
-    return filters.visible(comparison(spark, sf_dir).rows, ["MODIFIED", "ADDED", "MOVED"]).select("pair_id", "row_idx", "change_type")
+    return filters.visible(comparison(spark, sf_dir).brief, ["MODIFIED", "ADDED", "MOVED"]).select("pair_id", "row_idx", "change_type")
 
 
 @query("SELECT pair_id, CAST(row_idx AS INTEGER) AS row_idx, change_type FROM r WHERE section = 'İKİNCİ BÖLÜM'")
 def filter_section(spark, sf_dir):
-    return filters.visible(comparison(spark, sf_dir).rows, section="İKİNCİ BÖLÜM").select("pair_id", "row_idx", "change_type")
+    return filters.visible(comparison(spark, sf_dir).brief, section="İKİNCİ BÖLÜM").select("pair_id", "row_idx", "change_type")
 
 
 # ---------------------------------------------------------------- differences
@@ -260,13 +291,13 @@ def word_diff(spark, sf_dir):
 
 
 @query("""SELECT pair_id, CASE WHEN old_no = new_no THEN 'MADDE ' || old_no ELSE 'MADDE ' || old_no || ' → ' || new_no END AS madde, 'Süre' AS kind,
-  CASE part WHEN 2 THEN '—' ELSE (10 * n) || ' gün' END AS old_value, CASE part WHEN 1 THEN '—' ELSE (10 * n + 15) || ' gün' END AS new_value, CAST((new_no - 1) // 5 + 1 AS VARCHAR) AS new_page
+  CASE part WHEN 2 THEN '—' ELSE (10 * n) || ' gün' END AS old_value, CASE part WHEN 1 THEN '—' ELSE (10 * n + 15) || ' gün' END AS new_value, CAST((CASE part WHEN 2 THEN new_no ELSE old_no END - 1) // 5 + 1 AS VARCHAR) AS page
   FROM (SELECT m.*, o.n, unnest(CASE WHEN o.n % 5 = 1 THEN [1, 2] ELSE [0] END) AS part FROM m JOIN o ON o.pair_id = m.pair_id AND o.no = m.old_no WHERE o.n % 4 = 2)""")
 def temporal_changes(spark, sf_dir):
     """Where a sentence was added before the changed one, the two stand against other sentences and are not paired."""
     c = comparison(spark, sf_dir)
     table = metrics.temporal_table(c.temporal_changes, c.pairs)
-    return table.select("pair_id", "madde", "kind", "old_value", "new_value", (F.floor(F.col("new_index") / 5) + 1).cast("string").alias("new_page"))
+    return table.select("pair_id", "madde", "kind", "old_value", "new_value", "page")
 
 
 @query()

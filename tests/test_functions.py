@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from clausediff.functions import temporal, text
 from clausediff.functions.sentences import sentences
-from clausediff.schema import ABBREVIATIONS, FORBIDDEN_CONCLUSIONS, MONTHS, QUOTES_AND_DASHES, SENTENCE_TEMPLATES
+from clausediff.schema import ABBREVIATIONS, MONTHS, QUOTES_AND_DASHES
 
 
 def plain_key(value: str) -> tuple[str, list[int]]:
@@ -145,7 +145,3 @@ def test_names_and_citations(spark):
     assert name(None, "", none, none) == f"Belge ({PurePosixPath('/in/a.pdf').name})"
     assert one(spark, temporal.citation(F.lit("Belge B"), F.lit("MADDE 5"), F.lit(3)), t="") == "Belge B, MADDE 5, s. 3"
     assert one(spark, temporal.citation(F.lit("Belge B"), F.lit("MADDE 5"), F.lit(None).cast("int")), t="") == "Belge B, MADDE 5"
-
-
-def test_no_sentence_draws_a_legal_conclusion():
-    assert not [t for t in SENTENCE_TEMPLATES.values() for f in FORBIDDEN_CONCLUSIONS if f in t]
