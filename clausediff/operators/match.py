@@ -17,6 +17,7 @@ from clausediff.functions.text import title_key
 from clausediff.schema import MIN_COSINE
 
 MATCHES = "pair_id long, old_index int, new_index int, method string"
+CACHE = "model string, sha string, vector array<float>"
 _SIDE = ("pair_id", "order_index", "section_type", "madde_no", "key")
 
 
@@ -183,4 +184,20 @@ def encode_misses(texts: DataFrame, cache: DataFrame, model: str, encode) -> Dat
             if len(batch):
                 yield pd.DataFrame({"model": model, "sha": batch["sha"], "vector": [np.asarray(v, np.float32) for v in encode(batch["text"].tolist())]})
 
-    return missing.select("sha", "text").mapInPandas(run, "model string, sha string, vector array<float>")
+    return missing.select("sha", "text").mapInPandas(run, CACHE)
+
+
+def cached_vectors(texts: DataFrame, cache_path: str, model: str, encode) -> DataFrame:
+    """``texts`` (text and any columns) with vector, from the cache under ``cache_path`` (Parquet), to which what it lacks is appended first.
+
+    Every row keeps its place among the other columns: a text that stands in
+    many rows is encoded once, and null texts have a null vector. A run that
+    is tried again may append a text twice; the least copy counts.
+    """
+    spark = texts.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(cache_path)
+    known = spark.read.schema(CACHE).parquet(cache_path) if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path) else spark.createDataFrame([], CACHE)
+    encode_misses(texts, known, model, encode).write.mode("append").parquet(cache_path)
+    found = spark.read.schema(CACHE).parquet(cache_path).where(F.col("model") == model).groupBy("sha").agg(F.min("vector").alias("vector"))
+    keyed = texts.withColumn("sha", F.sha2("text", 256))
+    return keyed.join(found, "sha", "left").select(*texts.columns, "vector")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausediff.operators import metrics
@@ -13,6 +14,7 @@ from clausediff.operators.diff import pair_sections, sentence_diffs, temporal_ch
 from clausediff.operators.match import match_sections
 from clausediff.operators.structure import parse_sections
 from clausediff.schema import MIN_COSINE, SIDES
+from clausediff.sources.documents import read_files, require, units_of_contents
 
 
 #: Of a section, what is no text; and the tables that several others need.
@@ -84,3 +86,17 @@ class Comparison:
 def compare_units(units: DataFrame, vectors: DataFrame | None = None, min_cosine: float = MIN_COSINE) -> Comparison:
     """Compares the documents of each pair; ``units`` as in ``schema.UNITS_SCHEMA``."""
     return Comparison(parse_sections(units), vectors, min_cosine)
+
+
+def compare_contents(contents: DataFrame, extract: Callable[[bytes], list[tuple]] | None = None, strict: bool = False) -> tuple[Comparison, DataFrame]:
+    """Compares files (pair_id, side, name, content), and gives the rejects (pair_id, side, name, error); ``strict`` raises the first one's exception."""
+    units, rejects = units_of_contents(contents, extract)
+    if strict:
+        require(rejects)
+    return compare_units(units), rejects
+
+
+def compare_files(spark: SparkSession, old: str, new: str, extract: Callable[[bytes], list[tuple]] | None = None) -> Comparison:
+    """Compares two files, as pair 0; raises UnsupportedFormat, NoTextLayer or CorruptDocument if one can't be read."""
+    one = lambda path, side: read_files(spark, path, strict=True).select(F.lit(0).cast("long").alias("pair_id"), F.lit(side).alias("side"), F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "content")
+    return compare_contents(one(old, "old").union(one(new, "new")), extract, strict=True)[0]

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausediff.functions.text import repetition_key
@@ -26,6 +27,10 @@ BLOCKS = "doc_id string, page_no int, block_index int, height double, y0 double,
 PAGE_NUMBER = r"(?iuUd)^\s*Sayfa\s+\d+(\s*/\s*\d+)?\s*$"
 
 
+#: What an archive or its parts raise that are no document: truncated, encrypted, of an unknown method, or no XML.
+_BAD = (zipfile.BadZipFile, zlib.error, KeyError, ElementTree.ParseError, OSError, EOFError, RuntimeError, NotImplementedError, ValueError)
+
+
 class UnsupportedFormat(ValueError):
     pass
 
@@ -38,6 +43,20 @@ class CorruptDocument(ValueError):
     pass
 
 
+#: By the beginning of an error's text, the exception that strict callers get.
+ERRORS = {"unsupported format": UnsupportedFormat, "no text layer": NoTextLayer, "corrupt document": CorruptDocument}
+
+
+def require(rejects: DataFrame) -> None:
+    """Raises the exception of the first error of ``rejects`` (error), if there is one."""
+    if bad := rejects.where("error is not null").orderBy("error").select("error").first():
+        raise next(kind for start, kind in ERRORS.items() if bad.error.startswith(start))(bad.error)
+
+
+def _unsupported(path: Column) -> Column:
+    return F.concat(F.lit("unsupported format: "), path, F.lit(f" (supported: {', '.join(EXTENSIONS)})"))
+
+
 def file_type(path: str = "path"):
     """pdf, docx, or null for any other suffix; letter case does not count."""
     suffix = F.lower(F.regexp_extract(F.col(path), r"(\.[^./]+)$", 1))
@@ -47,10 +66,9 @@ def file_type(path: str = "path"):
 def read_files(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     """(path, file_type, content, error) of files; the error of an unsupported one names the supported suffixes."""
     files = spark.read.format("binaryFile").load(path).select("path", "content").withColumn("file_type", file_type())
-    wrong = F.concat(F.lit("unsupported format: "), F.col("path"), F.lit(f" (supported: {', '.join(EXTENSIONS)})"))
-    files = files.withColumn("error", F.when(F.col("file_type").isNull(), wrong))
-    if strict and (bad := files.where("error is not null").select("error").first()):
-        raise UnsupportedFormat(bad.error)
+    files = files.withColumn("error", F.when(F.col("file_type").isNull(), _unsupported(F.col("path"))))
+    if strict:
+        require(files)
     return files
 
 
@@ -93,7 +111,7 @@ def decode_docx(files: DataFrame) -> DataFrame:
                 try:
                     found = docx_paragraphs(content)
                     rows = [(path, i, t, s or None, None) for i, (t, s) in enumerate(found)] or [(path, None, None, None, None)]
-                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, OSError):
+                except _BAD:
                     rows = [(path, None, None, None, f"corrupt document: {path}")]
                 out = pd.DataFrame(rows, columns=["path", "block_index", "text", "style", "error"])
                 yield out.astype({"block_index": "Int32"})
@@ -144,12 +162,46 @@ def units_of(blocks: DataFrame, pair_id, side) -> DataFrame:
 
 
 def decode_pdf(files: DataFrame, extract: Callable[[bytes], list[tuple]]) -> DataFrame:
-    """Blocks of PDF files by a caller's extractor: bytes to (page_no, height, y0, y1, text, block_type); block_index counts over all pages."""
+    """Blocks of PDF files by a caller's extractor: bytes to (page_no, height, y0, y1, text, block_type); block_index counts over all pages.
+
+    Whatever the extractor raises makes one row with an error of that file.
+    """
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                rows = [(path, p, i, h, y0, y1, t, k) for i, (p, h, y0, y1, t, k) in enumerate(extract(content))]
-                yield pd.DataFrame(rows, columns=["doc_id", "page_no", "block_index", "height", "y0", "y1", "text", "block_type"])
-
-    return files.where("file_type = 'pdf'").select("path", "content").mapInPandas(decode, BLOCKS)
+                try:
+                    rows = [(path, p, i, h, y0, y1, t, k, None) for i, (p, h, y0, y1, t, k) in enumerate(extract(content))]
+                except Exception as e:  # noqa: BLE001  a caller's function
+                    rows = [(path, None, None, None, None, None, None, None, f"corrupt document: {path} ({type(e).__name__})")]
+                out = pd.DataFrame(rows, columns=["doc_id", "page_no", "block_index", "height", "y0", "y1", "text", "block_type", "error"])
+                yield out.astype({"page_no": "Int32", "block_index": "Int32", "block_type": "Int32"})
+
+    return files.where("file_type = 'pdf'").select("path", "content").mapInPandas(decode, f"{BLOCKS}, error string")
+
+
+def units_of_contents(contents: DataFrame, extract: Callable[[bytes], list[tuple]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Units, and rejects (pair_id, side, name, error), of files (pair_id, side, name, content).
+
+    A file is read by its name's suffix. PDF needs ``extract`` (see
+    ``decode_pdf``); without it PDF files are rejected. Files without a text
+    layer, corrupt ones and those of other formats are rejects, and a pair with
+    a reject has no units, for it can't be compared.
+    """
+    files = contents.select("pair_id", "side", "name", F.concat_ws("/", F.col("pair_id").cast("string"), "side", "name").alias("path"), "content").withColumn("file_type", file_type("name"))
+    keys = files.select("pair_id", "side", "name", "path")
+    readable = ["docx", "pdf"] if extract else ["docx"]
+    other = files.where(F.col("file_type").isNull() | ~F.col("file_type").isin(*readable)).select("path", _unsupported(F.col("name")).alias("error"))
+    paragraphs = decode_docx(files)
+    found = paragraphs.select("path", F.lit(None).cast("int").alias("page_no"), "block_index", "text")
+    wrong = other.union(docx_guard(paragraphs).select("path", "error"))
+    if extract:
+        blocks = decode_pdf(files, extract)
+        guard = pdf_guard(blocks.where("error is null").select("doc_id", "page_no", F.when(F.col("block_type") == 0, F.col("text")).alias("text")))
+        # a file without pages has no text either
+        empty = files.where("file_type = 'pdf'").select("path").join(guard.where("ok").select(F.col("doc_id").alias("path")), "path", "left_anti").join(blocks.where("error is not null").select(F.col("doc_id").alias("path")), "path", "left_anti")
+        wrong = wrong.union(blocks.where("error is not null").select(F.col("doc_id").alias("path"), "error")).union(empty.select("path", F.concat(F.lit("no text layer: "), "path")))
+        found = found.union(body_blocks(blocks.where("error is null")).select(F.col("doc_id").alias("path"), "page_no", "block_index", "text"))
+    rejects = keys.join(wrong.where("error is not null"), "path").select("pair_id", "side", "name", "error")
+    sound = found.join(keys, "path").join(rejects.select("pair_id").distinct(), "pair_id", "left_anti")
+    return units_of(sound, F.col("pair_id"), F.col("side")), rejects

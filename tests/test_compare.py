@@ -281,9 +281,65 @@ def test_pdf_links(spark):
 def test_arrivals(spark, tmp_path):
     from clausediff.streaming.arrivals import compare_arrivals
 
-    u = units(spark, (1, "old", [article("A", 1, "x.")]), (1, "new", [article("A", 1, "y.")]))
-    u.write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(u.schema).parquet(str(tmp_path / "in"))
-    query = compare_arrivals(stream, str(tmp_path / "out"), str(tmp_path / "cp"), availableNow=True)
-    query.awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "out/*")).first().change_type == "MODIFIED"
+    whole = units(spark, (1, "old", [article("A", 1, "x.")]), (1, "new", [article("A", 1, "y.")]), (2, "old", [article("B", 1, "z.")]), (3, "new", [article("C", 1, "z.")]))
+    late = units(spark, (2, "new", [article("B", 1, "z.")]))
+
+    def run(arrived):
+        arrived.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(whole.schema).parquet(str(tmp_path / "in"))
+        compare_arrivals(stream, str(tmp_path / "out"), str(tmp_path / "cp"), availableNow=True).awaitTermination(180)
+        return sorted((r.pair_id, r.change_type) for r in spark.read.parquet(str(tmp_path / "out/*")).collect())
+
+    assert run(whole) == [(1, "MODIFIED")]  # one side alone is neither removed nor added
+    assert run(late) == [(1, "MODIFIED"), (2, "IDENTICAL")]
+
+
+def test_two_files_to_a_result(spark, tmp_path):
+    from clausediff.plans.compare import compare_contents, compare_files
+
+    text = lambda body: docx([("Amaç", "H1"), (f"MADDE 1- {body}", None), ("Kapsam", "H1"), ("MADDE 2- Kapsam aynıdır.", None)])
+    (tmp_path / "a.docx").write_bytes(text("Başvuru 30 gün içinde yapılır."))
+    (tmp_path / "b.docx").write_bytes(text("Başvuru 45 gün içinde yapılır."))
+    (tmp_path / "c.docx").write_bytes(text("x")[:200])
+    c = compare_files(spark, str(tmp_path / "a.docx"), str(tmp_path / "b.docx"))
+    assert [(r.change_type, r.old.baslik) for r in c.rows.orderBy("row_idx").collect()] == [("MODIFIED", "Amaç"), ("IDENTICAL", "Kapsam")]
+    with pytest.raises(documents.CorruptDocument):
+        compare_files(spark, str(tmp_path / "a.docx"), str(tmp_path / "c.docx"))
+
+    def extract(content):
+        if content == b"bad":
+            raise IndexError("no such page")
+        return [(1, 1000.0, 100.0 * i + 100, 100.0 * i + 150, t, 0) for i, t in enumerate(content.decode().split("|"))]
+
+    rows = [(5, "old", "a.PDF", "Amaç|MADDE 1- Aynı metin.".encode()), (5, "new", "b.pdf", "Amaç|MADDE 1- Aynı metin.".encode()), (6, "old", "a.pdf", b"bad"), (6, "new", "b.pdf", "Amaç|MADDE 1- x.".encode()),
+            (7, "old", "a.doc", b"x"), (7, "new", "a.docx", (tmp_path / "a.docx").read_bytes()), (8, "old", "a.pdf", b" "), (8, "new", "a.pdf", "A|MADDE 1- x.".encode())]
+    contents = spark.createDataFrame(rows, "pair_id long, side string, name string, content binary")
+    c, rejects = compare_contents(contents, extract)
+    assert [(r.pair_id, r.change_type) for r in c.rows.collect()] == [(5, "IDENTICAL")]
+    assert sorted((r.pair_id, r.side, r.error.split(":")[0]) for r in rejects.collect()) == [(6, "old", "corrupt document"), (7, "old", "unsupported format"), (8, "old", "no text layer")]
+
+
+def test_cached_vectors_keep_places_and_encode_once(spark, tmp_path):
+    texts = spark.createDataFrame([(1, "b"), (2, "aa"), (3, "b"), (4, None)], "id int, text string")
+    path = str(tmp_path / "cache")
+    first = match.cached_vectors(texts, path, "m", lambda t: [[float(len(x))] for x in t])
+    assert sorted((r.id, r.vector) for r in first.collect()) == [(1, [1.0]), (2, [2.0]), (3, [1.0]), (4, None)]
+    again = match.cached_vectors(texts, path, "m", lambda t: 1 / 0)  # nothing is left to encode
+    assert sorted((r.id, r.vector) for r in again.collect()) == [(1, [1.0]), (2, [2.0]), (3, [1.0]), (4, None)]
+
+
+def test_regulation_of_fifteen_articles(spark):
+    """Counts of the published example: 13 old and 14 new articles, 7 matches by number, 5 by title, 1 removed, 2 added."""
+    body = lambda k: f"(1) Bu madde {k} konusundaki usul ve esasları düzenler. (2) İlgili birim {k} işlemlerini yürütür ve sonucu bildirir."
+    changed = lambda k: body(k).replace("düzenler", "belirler ve yayımlar")
+    old = [(f"Konu {k}", body(k)) for k in range(1, 14)]
+    # 1-7 keep their numbers (three are changed), 8 goes, two come after 9, and 9-13 move on
+    new = [(t, changed(k) if k in (2, 4, 6) else b) for k, (t, b) in enumerate(old, 1) if k != 8]
+    new = new[:7] + [("Geçici görev", body("geçici görev")), ("Portal", body("portal"))] + [(t, changed(12) if t == "Konu 12" else b) for t, b in new[7:]]
+    c = compare_units(units(spark, (1, "old", [article(t, i, b) for i, (t, b) in enumerate(old, 1)]), (1, "new", [article(t, i, b) for i, (t, b) in enumerate(new, 1)]))).persist()
+    rows = c.brief.collect()
+    count = lambda **want: sum(all(r[k] == v for k, v in want.items()) for r in rows)
+    assert (len(old), len(new), len(rows)) == (13, 14, 15)
+    assert [count(change_type=t) for t in ("IDENTICAL", "MODIFIED", "ADDED", "REMOVED")] == [8, 4, 2, 1]
+    assert (count(method="NUMBER_AND_TITLE"), count(method="TITLE_ONLY"), count(method=None)) == (7, 5, 3)
+    assert count(renumbered=True, change_type="IDENTICAL") == 4 and count(renumbered=True, change_type="MODIFIED") == 1
