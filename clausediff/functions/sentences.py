@@ -32,3 +32,11 @@ def _spans(parts: Column) -> Column:
 
     placed = F.zip_with(parts, F.slice(starts(parts), 1, F.size(parts)), lambda p, at: F.struct(p.alias("part"), at.alias("at")))
     return F.filter(F.transform(placed, span), lambda s: s["text"] != "")
+
+
+def unit_sentences(unit: Column, *inherited: str) -> Column:
+    """The sentences of a unit as units of their own: places in the unit's block, and its page, block and further fields."""
+    one = lambda s: F.struct(
+        *(unit[c].alias(c) for c in ("page_no", "block_index", *inherited)), (unit["char_start"] + s["start"]).alias("char_start"), (unit["char_start"] + s["end"]).alias("char_end"), s["text"].alias("text")
+    )
+    return F.transform(sentences(unit["text"]), one)

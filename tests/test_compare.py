@@ -278,6 +278,23 @@ def test_pdf_links(spark):
     assert [r.p is not None for r in df.select(render.pdf_payload(F.col("k"), F.col("c"), F.col("n"), 20).alias("p")).collect()] == [True, False, False, False, False]
 
 
+def test_source_links(spark):
+    schema = "units array<struct<page_no:int,text:string>>, payload string"
+    df = spark.createDataFrame([([(None, "a"), (3, "b")], "QUJD"), ([(3, "b")], None), ([(3, "b")], ""), ([(None, "a")], "QUJD"), (None, "QUJD")], schema)
+    got = [r.x for r in df.select(render.source_link(F.col("units"), F.col("payload")).alias("x")).collect()]
+    assert [(x.page_no, x.kind, x.needs_iframe) for x in got] == [(3, "link", True), (3, "page", False), (3, "page", False), (None, "none", False), (None, "none", False)]
+    assert "Sayfa 3</a>" in got[0].html and "base64,QUJD'" in got[0].html and "#page=3'" in got[0].html and got[1].html == '<span class="mk-source-page">Sayfa 3</span>' and got[3].html == ""
+
+
+def test_sentences_of_a_unit_inherit_its_place(spark):
+    from clausediff.functions.sentences import unit_sentences
+
+    text = " Bir biter. İki biter "
+    df = spark.createDataFrame([((4, 7, 100, 100 + len(text), text, ["BİRİNCİ BÖLÜM"]),)], "u struct<page_no:int,block_index:int,char_start:int,char_end:int,text:string,heading_path:array<string>>")
+    got = df.select(unit_sentences(F.col("u"), "heading_path").alias("s")).first().s
+    assert [(s.page_no, s.block_index, s.heading_path, text[s.char_start - 100 : s.char_end - 100], s.text) for s in got] == [(4, 7, ["BİRİNCİ BÖLÜM"], t, t) for t in ("Bir biter.", "İki biter")]
+
+
 def test_arrivals(spark, tmp_path):
     from clausediff.streaming.arrivals import compare_arrivals
 
