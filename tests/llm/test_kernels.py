@@ -127,7 +127,7 @@ def test_segments_and_parities_lose_no_link():
     for percent in (85, 80):
         segments = jaccard.Segments(percent)
         for _ in range(1500):
-            a = np.unique(rng.integers(0, 2**63, int(rng.choice([1, 2, 3, 5, 8, 13, 40, 100, 400])), dtype=np.uint64))
+            a = np.unique(rng.integers(0, 2**63, int(rng.choice([1, 2, 3, 5, 8, 13, 40, 100, 400, 1100, 2500])), dtype=np.uint64))
             kept = rng.permutation(a)[: max(1, len(a) - rng.integers(0, len(a) // 5 + 1))]
             b = np.unique(np.concatenate([kept, rng.integers(0, 2**63, rng.integers(0, len(a) // 6 + 1), dtype=np.uint64)]))
             both = len(np.intersect1d(a, b))
@@ -137,6 +137,12 @@ def test_segments_and_parities_lose_no_link():
                 bits = [np.frombuffer(jaccard.parity(s), np.uint64)[None] for s in (a, b)]
                 assert jaccard.within_bounds(np.array([len(a)]), bits[0], np.array([len(b)]), bits[1], percent)[0, 0]
     assert links > 1000
+    # bounds tell unrelated sets apart, large ones too, and pairs are found whatever the lengths of their parities
+    many = [np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in (500, 990, 1000, 1040, 5000, 5100, 20000, 20000)]
+    many += [np.delete(m, slice(0, len(m) // 50)) for m in many]
+    size, raw = np.array([len(m) for m in many]), [jaccard.parity(m) for m in many]
+    found = {(int(x), int(y)) for part in jaccard.bounded_pairs(size, raw, size, raw, 80) for x, y in zip(*part, strict=True)}
+    assert found == {(i, j) for i in range(16) for j in range(16) if i % 8 == j % 8}
 
 
 def test_overlap_counts():
