@@ -9,9 +9,12 @@ Which documents can reach the threshold follows from their sizes, three times:
   documents costs a link per document and not one per pair. The number of
   segments grows with the size, so a segment holds several n-grams: a shared
   line or passage makes candidates of hardly any documents;
-* a large component of candidates is cut down by pairwise bounds from parity
-  bits: two sets whose parities differ in d bits differ in d n-grams at least.
-  The pairs that the bound leaves give smaller components;
+* the documents of a large component of candidates are multiplied with a few of
+  them, its hubs, first. Those that this already joins into one group need not
+  be multiplied with each other: what is left are pairs with one of the others.
+  They are cut down by pairwise bounds from parity bits: two sets whose parities
+  differ in d bits differ in d n-grams at least. The pairs that the bound leaves
+  give smaller components;
 * documents of a component are multiplied with each other only if the smaller
   has t times the n-grams of the larger. A component is split by size class,
   and within a class into blocks of bounded size; each pair of blocks is a task
@@ -29,21 +32,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from clausediff.llm.components import connected_components, forest
 from clausediff.llm.hashing import mix, shingle_sets
-from clausediff.llm.storage import written
+from clausediff.llm.storage import drop, small_enough, written
 
-#: Documents of a block, and its n-grams: about 200 MB of a task's memory.
-BLOCK_DOCS, BLOCK_GRAMS = 1500, 3_000_000
+#: Documents of a block, and its n-grams: two blocks and their product take about 150 MB.
+BLOCK_DOCS, BLOCK_GRAMS = 1000, 1_000_000
 #: Columns of a tile of the dense part of a product; n-grams in fewer documents of a block are counted pair by pair.
-TILE, DENSE = 4096, 24
-#: Postings that a task gathers before it links them.
-HELD = 1_000_000
-#: Parity bits of a set; components of more documents are cut down by them, in blocks of so many.
-PARITY, LARGE, PARITY_BLOCK = 1024, 200, 3000
+TILE, DENSE = 1024, 24
+#: Postings that a task gathers before it links them: about 50 MB.
+HELD = 400_000
+#: Parity bits of a set at least; components of more documents get hubs and are cut down by parities, in blocks of so many
+#: (few bytes each: large blocks send a document to few tasks); pairs that are bounded at once.
+PARITY, LARGE, PARITY_BLOCK, BOUNDED = 1024, 200, 3000, 1 << 20
+#: Hubs of a size class of a component, and the documents that one task multiplies with them.
+HUBS, HUB_ROWS = 4, 2000
+#: Up to so many rows (about 100 bytes each) a table of components is broadcast; beyond, each of its rows is dealt to SALTS tasks.
+BROADCAST_ROWS, SALTS = 200_000, 64
 
 
 class Segments:
@@ -83,10 +92,17 @@ class Segments:
 
 
 def parity(own: np.ndarray) -> bytes:
-    bits = np.bincount((mix(own ^ np.uint64(0xA0761D6478BD642F)) & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+    """As many bits as the set has n-grams, to a power of two, PARITY at least: fewer would tell large sets apart no better than chance."""
+    size = max(PARITY, 1 << max(0, len(own) - 1).bit_length())
+    bits = np.bincount((mix(own ^ np.uint64(0xA0761D6478BD642F)) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """The parities (rows of 64-bit words) of so many words only."""
+    return np.bitwise_xor.reduce(bits.reshape(len(bits), -1, words), axis=1)
+
+
 def _signature(own: np.ndarray) -> tuple[int, int]:
     """128 bits that tell sets apart."""
     if not len(own):
@@ -97,15 +113,15 @@ def _signature(own: np.ndarray) -> tuple[int, int]:
 
 
 def set_sizes(docs: DataFrame, n: int) -> DataFrame:
-    """``(doc_id, n_shingles, s1, s2, parity)`` of each row: the size of its set, a signature of the set, and its parity bits."""
+    """``(doc_id, t, n_shingles, s1, s2, parity)`` of each row of ``docs`` (doc_id, t, text): the size of its set, a signature of the set, and its parity bits."""
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [(len(own), *_signature(own), parity(own)) for own in shingle_sets(batch.column(1), n)]
+            got = [(len(own), *_signature(own), parity(own)) for own in shingle_sets(batch.column(2), n)]
             cols = [pa.array([g[i] for g in got], pa.binary() if i == 3 else pa.int64()) for i in range(4)]
-            yield pa.record_batch([batch.column(0), *cols], names=["doc_id", "n_shingles", "s1", "s2", "parity"])
+            yield pa.record_batch([batch.column(0), batch.column(1), *cols], names=["doc_id", "t", "n_shingles", "s1", "s2", "parity"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sizes, "doc_id long, n_shingles long, s1 long, s2 long, parity binary")
+    return docs.select("doc_id", "t", "text").mapInArrow(sizes, "doc_id long, t long, n_shingles long, s1 long, s2 long, parity binary")
 
 
 def candidate_links(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -132,151 +148,272 @@ def candidate_links(docs: DataFrame, n: int, percent: int) -> DataFrame:
                     grams.append(segments.keys(own))
                     owners.append(np.full(len(grams[-1]), ids[i]))
                     held += len(grams[-1])
-            if held >= HELD:
-                yield out()
-                grams, owners, held = [], [], 0
+                if held >= HELD:
+                    yield out()
+                    grams, owners, held = [], [], 0
         if held:
             yield out()
 
     segments = Segments(percent)
-    posted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").mapInArrow(post, "kind byte, a long, b long")
+    posted = docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(post, "kind byte, a long, b long")
 
     def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g, d, x, y = [], [], [], []
-        for batch in batches:
-            kind, a, b = (c.to_numpy() for c in batch.columns)
-            x.append(a[kind == 0])
-            y.append(b[kind == 0])
-            g.append(a[kind == 1])
-            d.append(b[kind == 1])
-        if g:
-            g, d = np.concatenate(g), np.concatenate(d)
-            order = np.lexsort((d, g))
-            g, d = g[order], d[order]
+        """Rows sorted by a: those of a segment follow each other, and no more than HELD of them and a batch are held."""
+        held: list[list[np.ndarray]] = []
+
+        def out(kind: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            g, d = a[kind == 1], b[kind == 1]
             first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.empty(0, np.int64)
-            least = np.repeat(d[first], np.diff(np.concatenate([first, [len(g)]])))
-            a, b = forest(np.concatenate([*x, d[d != least]]), np.concatenate([*y, least[d != least]]))
-            yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+            size = np.diff(np.append(first, len(g)))
+            least = np.repeat(np.minimum.reduceat(d, first) if len(g) else d, size)
+            u, v = forest(np.concatenate([a[kind == 0], d[d != least]]), np.concatenate([b[kind == 0], least[d != least]]))
+            return pa.record_batch([pa.array(u), pa.array(v)], names=["a", "b"])
+
+        for batch in batches:
+            held.append([c.to_numpy() for c in batch.columns])
+            if sum(len(h[0]) for h in held) >= HELD:
+                cols = [np.concatenate(c) for c in zip(*held, strict=True)]
+                end = int(np.searchsorted(cols[1], cols[1][-1]))  # the last segment may go on
+                if end:
+                    yield out(*(c[:end] for c in cols))
+                held = [[c[end:] for c in cols]]
+        if held:
+            yield out(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
-    # each partition gives a forest of the same documents: few partitions repeat few links
-    few = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)
-    return posted.repartition(few, F.col("a")).mapInArrow(star, "a long, b long")
+    # each partition gives a forest of the same documents: fewer partitions repeat fewer links, but each must be sorted in memory
+    few = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2)
+    return posted.repartition(few, F.col("a")).sortWithinPartitions("a").mapInArrow(star, "a long, b long")
 
 
 def overlaps(sets: list[np.ndarray], others: list[np.ndarray] | None = None) -> np.ndarray:
     """Overlap counts of each two of ``sets``, or of each of ``sets`` with each of ``others``."""
     rows = sets if others is None else sets + others
     n, left = len(rows), len(sets)
-    owner = np.repeat(np.arange(n), [len(r) for r in rows])
+    out = np.zeros((n, n), np.int32)
     grams = np.concatenate(rows) if rows else np.empty(0, np.uint64)
     order = np.argsort(grams, kind="stable")
-    grams, owner = grams[order], owner[order]
+    grams = grams[order]
     first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else np.empty(0, np.int64)
-    count = np.diff(np.concatenate([first, [len(grams)]]))
-    out = np.zeros((n, n), np.int32)
+    count = np.diff(np.append(first, len(grams)))
+    del grams
+    owner = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])[order]  # ascending within an n-gram
+    del order
     # n-grams of few documents: one addition per pair, grouped by how many documents hold the n-gram
     for k in range(2, DENSE):
         at = first[count == k]
-        if len(at):
-            held = owner[at[:, None] + np.arange(k)]
+        for part in (at[a : a + (1 << 17)] for a in range(0, len(at), 1 << 17)):
             for i in range(k):
                 for j in range(i + 1, k):
-                    cell = held[:, i].astype(np.int64) * n + held[:, j]
-                    cells, times = np.unique(cell, return_counts=True)
-                    out.ravel()[cells] += times.astype(np.int32)
+                    np.add.at(out, (owner[part + i], owner[part + j]), 1)
     # the others: tiles of a dense product
     many = np.flatnonzero(count >= DENSE)
-    for a in range(0, len(many), TILE):
-        tile = many[a : a + TILE]
+    for tile in (many[a : a + TILE] for a in range(0, len(many), TILE)):
+        size = count[tile]
+        spots = np.repeat(first[tile] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
         matrix = np.zeros((n, len(tile)), np.float32)
-        for c, k in enumerate(tile):
-            matrix[owner[first[k] : first[k] + count[k]], c] = 1
-        out += np.triu(matrix @ matrix.T, 1).astype(np.int32)
-    out = out + out.T
-    return out if others is None else out[:left, left:]
+        matrix[owner[spots], np.repeat(np.arange(len(tile)), size)] = 1
+        for a in range(0, n, 256):
+            out[a : a + 256, a:] += (matrix[a : a + 256] @ matrix[a:].T).astype(np.int32)
+    if others is not None:
+        return out[:left, left:]
+    out = np.triu(out, 1)
+    return out + out.T
 
 
 def reaching(sets: list[np.ndarray], others: list[np.ndarray] | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the pairs with 100 * intersection >= percent * union."""
-    both = overlaps(sets, others).astype(np.int64)
-    a = np.array([len(s) for s in sets])
-    b = a if others is None else np.array([len(s) for s in others])
-    x, y = np.nonzero((100 * both >= percent * (a[:, None] + b[None, :] - both)) & (both > 0))
-    if others is None:
-        x, y = x[x < y], y[x < y]
-    return x, y
+    both = overlaps(sets, others)
+    a = np.array([len(s) for s in sets], np.int64)
+    b = a if others is None else np.array([len(s) for s in others], np.int64)
+    found = []
+    for at in range(0, len(a), 256):
+        part = both[at : at + 256].astype(np.int64)
+        x, y = np.nonzero(((100 + percent) * part >= percent * (a[at : at + 256, None] + b)) & (part > 0))
+        found.append((x + at, y))
+    x, y = (np.concatenate(c) for c in zip(*found, strict=True))
+    return (x[x < y], y[x < y]) if others is None else (x, y)
+
+
+def _beside(df: DataFrame, plan: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join of ``df`` (doc_id and ``keys``) with the written table ``plan``, which has one row for each ``keys``; many rows of a key don't meet in a task."""
+    if small_enough(df.sparkSession, plan, BROADCAST_ROWS):
+        return df.join(F.broadcast(plan), keys, "left")
+    plan = plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return df.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(plan, [*keys, "salt"], "left").drop("salt")
+
 
+def _size_class(percent: int) -> Column:
+    """Sets that may reach the threshold are of one class or of neighbouring ones; the step is a little wider, for rounding."""
+    return F.floor(F.log("size") / (math.log(100 / percent) * 1.0001)).cast("int")
 
-def _dealt(met: DataFrame, percent: int, most_docs: int, most_grams: int) -> DataFrame:
-    """``(doc_id, size, parity, block, first)``: the tasks that each document of ``met`` (doc_id, cluster, size, parity) is in.
+
+def _blocks(docs: Column, grams: Column, most_docs: int, most_grams: int) -> Column:
+    return F.greatest(F.ceil(docs / most_docs), F.ceil(grams / most_grams)).cast("int")
+
+
+def _dealt(met: DataFrame, percent: int, most_docs: int, most_grams: int) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, t, size, parity, block, first)``: the tasks that each document of ``met`` (doc_id, t, cluster, size, parity, settled) is in.
 
     A cluster that fits is one task. Else its documents fall into size classes
-    and blocks of a class; a task is two blocks of a class or of neighbouring
-    ones, and ``first`` tells whether a document is of the first block. Clusters
-    of one document have no task.
+    and blocks of a class, of settled documents and of others; a task is two
+    blocks of a class or of neighbouring ones, not both of settled documents,
+    and ``first`` tells whether a document is of the first block. Clusters of
+    one document have no task. The second table is the plan, to be dropped when
+    the first is read.
     """
-    step = math.log(100 / percent) * 1.0001  # so that rounding never puts two classes between sizes that may meet
-    met = met.withColumn("class", F.floor(F.log("size") / step).cast("int"))
-    classes = met.groupBy("cluster", "class").agg(F.count("*").alias("docs"), F.sum("size").alias("grams"))
-    classes = classes.withColumn("blocks", F.greatest(F.ceil(F.col("docs") / most_docs), F.ceil(F.col("grams") / most_grams)).cast("int"))
-    whole = classes.groupBy("cluster").agg(F.sum("docs").alias("all_docs"), F.sum("grams").alias("all_grams")).where("all_docs > 1")
-    near = classes.select("cluster", F.explode(F.array(F.struct((F.col("class") - 1).alias("class"), F.col("blocks").alias("above"), F.lit(0).alias("below")), F.struct((F.col("class") + 1).alias("class"), F.lit(0).alias("above"), F.col("blocks").alias("below")))).alias("x"))
-    near = near.select("cluster", "x.*").groupBy("cluster", "class").agg(F.sum("above").cast("int").alias("above"), F.sum("below").cast("int").alias("below"))
-    plan = classes.join(whole, "cluster").join(near, ["cluster", "class"], "left").fillna(0, ["above", "below"])
-    dealt = met.join(plan, ["cluster", "class"])
-    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    fits = (F.col("all_docs") <= most_docs) & (F.col("all_grams") <= most_grams)
+    met = met.withColumn("class", _size_class(percent))
+    open_docs, open_grams = F.sum((~F.col("settled")).cast("int")), F.sum(F.when(~F.col("settled"), F.col("size")).otherwise(0))
+    classes = met.groupBy("cluster", "class").agg(F.count("*").alias("docs"), F.sum("size").alias("grams"), open_docs.alias("open_docs"), open_grams.alias("open_grams"))
+    classes = written(classes, "size-classes")
+    large = classes.groupBy("cluster").agg(F.sum("docs").alias("d"), F.sum("grams").alias("g")).where((F.col("d") > most_docs) | (F.col("g") > most_grams)).select("cluster")
+    # blocks of a class: first those of open documents, then those of settled ones
+    opened = _blocks(F.col("open_docs"), F.col("open_grams"), most_docs, most_grams)
+    closed = _blocks(F.col("docs") - F.col("open_docs"), F.col("grams") - F.col("open_grams"), most_docs, most_grams)
+    own = classes.join(large, "cluster", "left_semi").select("cluster", "class", opened.alias("o"), (opened + closed).alias("n"))
+    none = F.lit(0)
+    sides = F.array(
+        F.struct(F.col("class"), "o", "n", none.alias("ao"), none.alias("an"), none.alias("bo"), none.alias("bn")),
+        F.struct((F.col("class") - 1).alias("class"), none.alias("o"), none.alias("n"), F.col("o").alias("ao"), F.col("n").alias("an"), none.alias("bo"), none.alias("bn")),
+        F.struct((F.col("class") + 1).alias("class"), none.alias("o"), none.alias("n"), none.alias("ao"), none.alias("an"), F.col("o").alias("bo"), F.col("n").alias("bn")),
+    )
+    near = own.select("cluster", F.explode(sides).alias("x")).select("cluster", "x.*").groupBy("cluster", "class")
+    plan = written(near.agg(*(F.sum(c).cast("int").alias(c) for c in ("o", "n", "ao", "an", "bo", "bn"))).where("n > 0"), "block-plan")
+    drop(classes)
+    placed = _beside(met, plan, ["cluster", "class"])
+    # a cluster that fits: its rows are few
+    whole = placed.where("n is null").withColumn("docs", F.count("*").over(Window.partitionBy("cluster"))).where("docs > 1")
+    whole = whole.select("doc_id", "t", "size", "parity", F.col("cluster").cast("string").alias("block"), F.lit(True).alias("first"))
+    split = placed.where("n is not null")
+    at = F.when(F.col("settled"), F.col("o") + F.pmod(F.xxhash64("doc_id"), F.greatest(F.col("n") - F.col("o"), F.lit(1)))).otherwise(F.pmod(F.xxhash64("doc_id"), F.greatest("o", F.lit(1)))).cast("int")
     task = lambda c1, b1, c2, b2: F.struct(c1.cast("int").alias("c1"), b1.cast("int").alias("b1"), c2.cast("int").alias("c2"), b2.cast("int").alias("b2"))
-    none = F.array().cast("array<struct<c1:int,b1:int,c2:int,b2:int>>")
-    c = F.col("class")
+    c, b = F.col("class"), F.col("at")
+
+    def each(open_blocks: str, blocks: str, make) -> Column:  # noqa: ANN001
+        most = F.when(F.col("settled"), F.col(open_blocks)).otherwise(F.col(blocks))
+        return F.when(most > 0, F.transform(F.sequence(F.lit(0), most - 1), make)).otherwise(F.array().cast("array<struct<c1:int,b1:int,c2:int,b2:int>>"))
+
     meets = F.concat(
-        F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: task(c, F.least(own, i), c, F.greatest(own, i))),
-        F.when(F.col("above") > 0, F.transform(F.sequence(F.lit(0), F.col("above") - 1), lambda i: task(c, own, c + 1, i))).otherwise(none),
-        F.when(F.col("below") > 0, F.transform(F.sequence(F.lit(0), F.col("below") - 1), lambda i: task(c - 1, i, c, own))).otherwise(none),
+        each("o", "n", lambda i: task(c, F.least(b, i), c, F.greatest(b, i))),
+        each("ao", "an", lambda i: task(c, b, c + 1, i)),
+        each("bo", "bn", lambda i: task(c - 1, i, c, b)),
     )
-    one = F.array(task(F.lit(-1), F.lit(0), F.lit(-1), F.lit(0)))
-    tasks = dealt.select("doc_id", "size", "parity", "cluster", "class", own.alias("own"), F.explode(F.when(fits, one).otherwise(meets)).alias("m"))
-    first = (F.col("class") == F.col("m.c1")) & (F.col("own") == F.col("m.b1")) | (F.col("m.c1") < 0)
-    return tasks.select("doc_id", "size", "parity", F.concat_ws(":", *(F.col(x).cast("string") for x in ("cluster", "m.c1", "m.b1", "m.c2", "m.b2"))).alias("block"), first.alias("first"))
+    tasks = split.withColumn("at", at).select("doc_id", "t", "size", "parity", "cluster", "class", "at", F.explode(meets).alias("m"))
+    first = (F.col("class") == F.col("m.c1")) & (F.col("at") == F.col("m.b1"))
+    name = F.concat_ws(":", *(F.col(x).cast("string") for x in ("cluster", "m.c1", "m.b1", "m.c2", "m.b2")))
+    return whole.union(tasks.select("doc_id", "t", "size", "parity", name.alias("block"), first.alias("first"))), plan
 
 
 def within_bounds(size1: np.ndarray, bits1: np.ndarray, size2: np.ndarray, bits2: np.ndarray, percent: int) -> np.ndarray:
     """Which pairs sizes and parity bits (rows of 64-bit words) leave a chance to reach the threshold."""
-    apart = np.zeros((len(size1), len(size2)), np.int64)
-    for w in range(bits1.shape[1]):
+    words = min(bits1.shape[1], bits2.shape[1])
+    bits1, bits2 = folded(bits1, words), folded(bits2, words)
+    apart = np.zeros((len(size1), len(size2)), np.int32)
+    for w in range(words):
         apart += np.bitwise_count(bits1[:, w, None] ^ bits2[None, :, w])
     total = size1[:, None] + size2[None, :]
     apart = np.maximum(apart, np.abs(size1[:, None] - size2[None, :]))
     return (100 + percent) * (total - apart) >= 2 * percent * total
 
 
+def bounded_pairs(size1: np.ndarray, raw1: list[bytes], size2: np.ndarray, raw2: list[bytes], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of the pairs that the bounds leave, by lengths of parities."""
+
+    def by_length(raw: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        length = np.array([len(r) for r in raw])
+        groups = [np.flatnonzero(length == n) for n in np.unique(length)]
+        return [(g, np.frombuffer(b"".join(raw[i] for i in g), np.uint64).reshape(len(g), -1)) for g in groups]
+
+    others = by_length(raw2)
+    for rows, bits in by_length(raw1):
+        for cols, theirs in others:
+            # sets of this length and that may be too far apart in size, whatever their bits
+            if 100 * size1[rows].max() < percent * size2[cols].min() or 100 * size2[cols].max() < percent * size1[rows].min():
+                continue
+            step = max(1, BOUNDED // len(cols))
+            for at in range(0, len(rows), step):
+                part = rows[at : at + step]
+                x, y = np.nonzero(within_bounds(size1[part], bits[at : at + step], size2[cols], theirs, percent))
+                yield part[x], cols[y]
+
+
+def _texts_of(docs: DataFrame, tasks: DataFrame) -> DataFrame:
+    """``(doc_id, text, block, first)``: the text of each document of ``tasks``, once for each of its tasks, dealt and sorted by block, first ones first."""
+    own = tasks.groupBy("doc_id", "t").agg(F.collect_list(F.struct("block", "first")).alias("tasks"))
+    texts = docs.join(own, ["doc_id", "t"]).groupBy("doc_id", "t").agg(F.max("text").alias("text"), F.max("tasks").alias("tasks"))
+    placed = texts.select("doc_id", "text", F.explode("tasks").alias("t")).select("doc_id", "text", "t.block", "t.first")
+    return placed.repartition(F.col("block")).sortWithinPartitions("block", F.desc("first"))
+
+
+def _hub_links(docs: DataFrame, met: DataFrame, n: int, percent: int) -> DataFrame:
+    """``(a, b)`` links of the documents of ``met`` (doc_id, t, cluster, size) with hubs of their cluster, of their size class and the ones beside it."""
+    met = met.withColumn("class", _size_class(percent)).withColumn("h", F.xxhash64("doc_id", "t"))
+    hubs = met.groupBy("cluster", "class", F.pmod("h", F.lit(HUBS)).alias("slot")).agg(F.min(F.struct("h", "doc_id", "t")).alias("hub"))
+    tasks = written(met.groupBy("cluster", "class").agg(F.ceil(F.count("*") / HUB_ROWS).cast("int").alias("salts")), "hub-tasks")
+    beside = hubs.select("cluster", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("class"), "hub.doc_id", "hub.t")
+    name = lambda salt: F.concat_ws(":", F.col("cluster").cast("string"), F.col("class").cast("string"), salt.cast("string"))
+    leading = beside.join(tasks, ["cluster", "class"]).select("doc_id", "t", "cluster", "class", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    leading = leading.select("doc_id", "t", name(F.col("salt")).alias("block"), F.lit(True).alias("first"))
+    members = _beside(met, tasks, ["cluster", "class"]).select("doc_id", "t", name(F.pmod("h", F.col("salts"))).alias("block"), F.lit(False).alias("first"))
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, heads = None, []
+        for batch in batches:
+            names, blocks, firsts, a, b = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), [], []
+            for i, own in enumerate(shingle_sets(batch.column(1), n)):
+                if blocks[i] != block:
+                    block, heads = blocks[i], []
+                if firsts[i]:
+                    heads.append((names[i], own))
+                    continue
+                for name_of, head in heads:
+                    short, long = (own, head) if len(own) <= len(head) else (head, own)
+                    if 100 * len(short) >= percent * len(long):
+                        both = int((long[np.minimum(np.searchsorted(long, short), len(long) - 1)] == short).sum())
+                        if (100 + percent) * both >= percent * (len(own) + len(head)):
+                            a.append(names[i])
+                            b.append(name_of)
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    links = written(_texts_of(docs, members.union(leading)).mapInArrow(multiply, "a long, b long"), "hub-links")
+    drop(tasks)
+    return links
+
+
+def _settle(met: DataFrame, links: DataFrame) -> DataFrame:
+    """``met`` with settled: whether a document is of the group of its cluster that ``links`` joins most documents of; a written table."""
+    groups = connected_components(links)
+    joined = written(met.join(groups.withColumnRenamed("id", "doc_id").withColumnRenamed("component", "of"), "doc_id", "left").select(*met.columns, "of"), "hub-groups")
+    largest = joined.where("of is not null").groupBy("cluster", "of").count().groupBy("cluster").agg(F.max(F.struct("count", "of")).alias("m"))
+    largest = written(largest.select("cluster", F.col("m.of").alias("largest")), "hub-largest")
+    out = written(_beside(joined, largest, ["cluster"]).select(*met.columns, F.coalesce(F.col("of") == F.col("largest"), F.lit(False)).alias("settled")), "settled")
+    drop(groups, joined, largest)
+    return out
+
+
 def _cut_down(met: DataFrame, percent: int) -> DataFrame:
-    """``met`` with the clusters of more than LARGE documents replaced by the components that the bounds leave of them."""
-    large = met.groupBy("cluster").count().where(F.col("count") > LARGE).select("cluster")
-    inside = met.join(large, "cluster", "left_semi")
+    """``met`` (see ``_dealt``) with its clusters replaced by the components that the bounds leave of them; a written table."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, (ids, size, raw, first) in _by_block(batches, (0, 1, 2, 4)):
             names, n, side = np.array(ids, np.int64), np.array(size, np.int64), np.array(first, bool)
-            bits = np.frombuffer(b"".join(raw), np.uint64).reshape(len(names), -1)
             a = np.flatnonzero(side)
             b = a if side.all() else np.flatnonzero(~side)
             us, vs = [], []
-            for at in range(0, len(a), 256):
-                part = a[at : at + 256]
-                x, y = np.nonzero(within_bounds(n[part], bits[part], n[b], bits[b], percent))
-                u, v = forest(names[part[x]], names[b[y]])
+            for x, y in bounded_pairs(n[a], [raw[i] for i in a], n[b], [raw[i] for i in b], percent):
+                u, v = forest(names[a[x]], names[b[y]])
                 us.append(u)
                 vs.append(v)
             if us:
                 u, v = forest(np.concatenate(us), np.concatenate(vs))
                 yield pa.record_batch([pa.array(u), pa.array(v)], names=["a", "b"])
 
-    tasks = _dealt(inside, percent, PARITY_BLOCK, 1 << 60).select("doc_id", "size", "parity", "block", "first")
-    links = tasks.repartition(F.col("block")).sortWithinPartitions("block").mapInArrow(compare, "a long, b long")
-    found = connected_components(links).select(F.col("id").alias("doc_id"), F.col("component").alias("part"))
-    smaller = inside.join(found, "doc_id").select("doc_id", F.col("part").alias("cluster"), "size", "parity")
-    return met.join(large, "cluster", "left_anti").select("doc_id", "cluster", "size", "parity").union(smaller)
+    tasks, plan = _dealt(met, percent, PARITY_BLOCK, 1 << 60)
+    tasks = tasks.select("doc_id", "size", "parity", "block", "first")
+    parts = connected_components(tasks.repartition(F.col("block")).sortWithinPartitions("block").mapInArrow(compare, "a long, b long"))
+    own = met.drop("cluster").join(parts.select(F.col("id").alias("doc_id"), F.col("component").alias("cluster")), "doc_id")
+    out = written(own.select(*met.columns), "parts")
+    drop(plan, parts)
+    return out
 
 
 def _by_block(batches: Iterator[pa.RecordBatch], columns: tuple[int, ...]) -> Iterator[tuple[str, list[list]]]:
@@ -303,19 +440,33 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     with fewer words has its whole sequence as the only shingle. component_id
     is the smallest doc_id that a document reaches by links, itself included.
     Documents without words, null texts too, have 0 shingles and link with
-    nothing. Rows of equal doc_id are one vertex; rows of null doc_id link with
-    nothing and have a null component. An empty table gives an empty one.
+    nothing. Rows of equal doc_id are one vertex, with the links of all their
+    texts; rows of null doc_id link with nothing and have a null component. An
+    empty table gives an empty one.
     """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
     sizes = written(set_sizes(docs, n), "set-sizes")
-    links = candidate_links(docs, n, percent)
-    clusters = connected_components(links).select(F.col("id").alias("doc_id"), F.col("component").alias("cluster"))
-    # one document of each set stands for all; sets that meet no other are done
-    same = sizes.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("size"), F.max("parity").alias("parity"))
-    met = written(same.join(clusters, "doc_id").select("doc_id", "cluster", "size", "parity"), "candidates")
-    met = written(_cut_down(met, percent), "clusters")
-    tasks = _dealt(met, percent, BLOCK_DOCS, BLOCK_GRAMS).groupBy("doc_id").agg(F.collect_list(F.struct("block", "first")).alias("tasks"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(tasks, "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("tasks").alias("tasks"))
-    placed = texts.select("doc_id", "text", F.explode("tasks").alias("t")).select("doc_id", "text", "t.block", "t.first")
+    clusters = connected_components(candidate_links(docs, n, percent))
+    # one document of each set stands for all; t tells the texts of repeated ids apart
+    sound = sizes.where("n_shingles > 0 and doc_id is not null")
+    same = sound.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "t")).alias("rep"), F.max("n_shingles").alias("size"), F.max("parity").alias("parity"), F.count("*").alias("rows"))
+    same = written(same.select("rep.doc_id", "rep.t", "s1", "s2", "size", "parity", "rows"), "sets")
+    met = same.select("doc_id", "t", "size", "parity").join(clusters.withColumnRenamed("id", "doc_id").withColumnRenamed("component", "cluster"), "doc_id")
+    met = written(met.select("doc_id", "t", "cluster", "size", "parity"), "candidates")
+    counts = met.groupBy("cluster").agg(F.count("*").alias("d")).where(F.col("d") > LARGE)
+    large = written(counts.select("cluster", F.lit(True).alias("large")), "large-clusters")
+    flagged = written(_beside(met, large, ["cluster"]), "flagged")
+    drop(clusters, met, large)
+    met = flagged.where("large is null").select("doc_id", "t", "cluster", "size", "parity", F.lit(False).alias("settled"))
+    inside = flagged.where("large").drop("large")
+    linked, extra = [], []
+    if inside.take(1):
+        hub_links = _hub_links(docs, inside, n, percent)
+        settled = _settle(inside, hub_links)
+        parts = _cut_down(settled, percent)
+        linked, extra = [hub_links], [settled, parts]
+        met = met.union(parts.select(*met.columns))
+    tasks, plan = _dealt(met, percent, BLOCK_DOCS, BLOCK_GRAMS)
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, ids, sets, side = None, [], [], []
@@ -326,10 +477,12 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
             names, first = np.array(ids, np.int64), np.array(side)
             if first.all():
                 x, y = reaching(sets, None, percent)
-            else:
+            elif first.any():
                 a, b = np.flatnonzero(first), np.flatnonzero(~first)
                 x, y = reaching([sets[i] for i in a], [sets[i] for i in b], percent)
                 x, y = a[x], b[y]
+            else:
+                return
             u, v = forest(names[x], names[y])
             yield pa.record_batch([pa.array(u), pa.array(v)], names=["a", "b"])
 
@@ -345,12 +498,17 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
                 side.append(firsts[i])
         yield from out()
 
-    linked = placed.repartition(F.col("block")).sortWithinPartitions("block").mapInArrow(multiply, "a long, b long")
+    links = written(_texts_of(docs, tasks).mapInArrow(multiply, "a long, b long"), "copy-links")
+    drop(plan, flagged, *extra)
     # every document with its set's least document, and the links between sets
-    stands = sizes.where("n_shingles > 0 and doc_id is not null").join(same.withColumnRenamed("doc_id", "least"), ["s1", "s2"])
-    equal = stands.where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
-    found = connected_components(linked.union(equal))
-    return sizes.join(found, sizes.doc_id == found.id, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    equal = sound.join(same.where("rows > 1").select(F.col("doc_id").alias("least"), "s1", "s2"), ["s1", "s2"]).where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
+    every = links.union(equal)
+    for more in linked:
+        every = every.union(more)
+    found = connected_components(every)
+    out = written(sizes.join(found, sizes.doc_id == found.id, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")), "copy-components")
+    drop(links, *linked, found, sizes, same)
+    return out
 
 
 def drop_near_copies(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
