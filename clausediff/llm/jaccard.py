@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from clausediff.llm.components import connected_components, forest
-from clausediff.llm.hashing import mix, shingle_sets
+from clausediff.llm.hashing import frugal, mix, shingle_sets
 from clausediff.llm.storage import drop, small_enough, written
 
 #: Documents of a block, and its n-grams: two blocks and their product take about 150 MB.
@@ -48,7 +48,7 @@ TILE, DENSE = 1024, 24
 HELD = 400_000
 #: Parity bits of a set at least; components of more documents get hubs and are cut down by parities, in blocks of so many
 #: (few bytes each: large blocks send a document to few tasks); pairs that are bounded at once.
-PARITY, LARGE, PARITY_BLOCK, BOUNDED = 1024, 200, 3000, 1 << 20
+PARITY, LARGE, PARITY_BLOCK, BOUNDED = 1024, 200, 12_000, 1 << 20
 #: Hubs of a size class of a component, and the documents that one task multiplies with them.
 HUBS, HUB_ROWS = 4, 2000
 #: Up to so many rows (about 100 bytes each) a table of components is broadcast; beyond, each of its rows is dealt to SALTS tasks.
@@ -121,7 +121,7 @@ def set_sizes(docs: DataFrame, n: int) -> DataFrame:
             cols = [pa.array([g[i] for g in got], pa.binary() if i == 3 else pa.int64()) for i in range(4)]
             yield pa.record_batch([batch.column(0), batch.column(1), *cols], names=["doc_id", "t", "n_shingles", "s1", "s2", "parity"])
 
-    return docs.select("doc_id", "t", "text").mapInArrow(sizes, "doc_id long, t long, n_shingles long, s1 long, s2 long, parity binary")
+    return docs.select("doc_id", "t", "text").mapInArrow(frugal(sizes), "doc_id long, t long, n_shingles long, s1 long, s2 long, parity binary")
 
 
 def candidate_links(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -155,7 +155,7 @@ def candidate_links(docs: DataFrame, n: int, percent: int) -> DataFrame:
             yield out()
 
     segments = Segments(percent)
-    posted = docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(post, "kind byte, a long, b long")
+    posted = docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(frugal(post), "kind byte, a long, b long")
 
     def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by a: those of a segment follow each other, and no more than HELD of them and a batch are held."""
@@ -182,7 +182,7 @@ def candidate_links(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
     # each partition gives a forest of the same documents: fewer partitions repeat fewer links, but each must be sorted in memory
     few = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2)
-    return posted.repartition(few, F.col("a")).sortWithinPartitions("a").mapInArrow(star, "a long, b long")
+    return posted.repartition(few, F.col("a")).sortWithinPartitions("a").mapInArrow(frugal(star), "a long, b long")
 
 
 def overlaps(sets: list[np.ndarray], others: list[np.ndarray] | None = None) -> np.ndarray:
@@ -374,7 +374,7 @@ def _hub_links(docs: DataFrame, met: DataFrame, n: int, percent: int) -> DataFra
                             b.append(name_of)
             yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    links = written(_texts_of(docs, members.union(leading)).mapInArrow(multiply, "a long, b long"), "hub-links")
+    links = written(_texts_of(docs, members.union(leading)).mapInArrow(frugal(multiply), "a long, b long"), "hub-links")
     drop(tasks)
     return links
 
@@ -409,7 +409,7 @@ def _cut_down(met: DataFrame, percent: int) -> DataFrame:
 
     tasks, plan = _dealt(met, percent, PARITY_BLOCK, 1 << 60)
     tasks = tasks.select("doc_id", "size", "parity", "block", "first")
-    parts = connected_components(tasks.repartition(F.col("block")).sortWithinPartitions("block").mapInArrow(compare, "a long, b long"))
+    parts = connected_components(tasks.repartition(F.col("block")).sortWithinPartitions("block").mapInArrow(frugal(compare), "a long, b long"))
     own = met.drop("cluster").join(parts.select(F.col("id").alias("doc_id"), F.col("component").alias("cluster")), "doc_id")
     out = written(own.select(*met.columns), "parts")
     drop(plan, parts)
@@ -498,7 +498,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
                 side.append(firsts[i])
         yield from out()
 
-    links = written(_texts_of(docs, tasks).mapInArrow(multiply, "a long, b long"), "copy-links")
+    links = written(_texts_of(docs, tasks).mapInArrow(frugal(multiply), "a long, b long"), "copy-links")
     drop(plan, flagged, *extra)
     # every document with its set's least document, and the links between sets
     equal = sound.join(same.where("rows > 1").select(F.col("doc_id").alias("least"), "s1", "s2"), ["s1", "s2"]).where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
