@@ -1,14 +1,15 @@
 """N-gram Jaccard join: a blocked sparse product of the document by n-gram incidence matrix.
 
-Which documents can reach the threshold follows from their sizes, three times:
-
-* sets of a and b n-grams that reach the threshold t differ in at most
-  (1 - t) / (1 + t) * (a + b) n-grams. If their n-grams are dealt by hash to
-  more segments than that, some segment is equal in both. Documents with an
-  equal segment are candidates, linked in stars, so that a segment of many
-  documents costs a link per document and not one per pair. The number of
-  segments grows with the size, so a segment holds several n-grams: a shared
-  line or passage makes candidates of hardly any documents;
+Which documents can reach the threshold t follows three times:
+
+* a partner of a set of n n-grams holds all of them but (1 - t) * n. Of the
+  n-grams that come first in the order of their hashes, taken (1 - t) * n plus a
+  fifth of n from each set, two partners share a fifth of the smaller set at
+  least: a set that shares fewer with all others together has no partner, and
+  most sets end here. Of the shared n-grams of the others the rarest are kept,
+  so many that two partners have one of them in common still. Sets with a
+  common one are candidates, linked in stars, so that an n-gram of many sets
+  costs a link per set and not one per pair;
 * the documents of a large component of candidates are multiplied with a few of
   them, its hubs, first. Those that this already joins into one group need not
   be multiplied with each other: what is left are pairs with one of the others.
@@ -44,8 +45,8 @@ from clausediff.llm.storage import drop, small_enough, written
 BLOCK_DOCS, BLOCK_GRAMS = 1000, 1_000_000
 #: Columns of a tile of the dense part of a product; n-grams in fewer documents of a block are counted pair by pair.
 TILE, DENSE = 1024, 24
-#: Postings that a task gathers before it links them: about 50 MB.
-HELD = 400_000
+#: Rows that a task gathers before it counts or links them, about 50 MB, and that it posts at once.
+HELD, POSTED = 400_000, 100_000
 #: Parity bits of a set at least; components of more documents get hubs and are cut down by parities, in blocks of so many
 #: (few bytes each: large blocks send a document to few tasks); pairs that are bounded at once.
 PARITY, LARGE, PARITY_BLOCK, BOUNDED = 1024, 200, 12_000, 1 << 20
@@ -56,7 +57,7 @@ BROADCAST_ROWS, SALTS = 200_000, 64
 
 
 class Segments:
-    """How sets are dealt to segments. Sizes fall into cells; a cell's group reaches as far beyond it as partners of its sets may."""
+    """Another exact filter, which the join does not use: with a shared passage two sets share small segments. How sets are dealt to segments. Sizes fall into cells; a cell's group reaches as far beyond it as partners of its sets may."""
 
     def __init__(self, percent: int, largest: int = 1 << 40) -> None:
         self.edges = [1]
@@ -124,65 +125,111 @@ def set_sizes(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("doc_id", "t", "text").mapInArrow(frugal(sizes), "doc_id long, t long, n_shingles long, s1 long, s2 long, parity binary")
 
 
+class Prefixes:
+    """How many n-grams of a set, least hashes first, are looked up, and how many of them its partners hold at least."""
+
+    def __init__(self, percent: int) -> None:
+        self.percent = percent
+
+    def common(self, size: int) -> int:
+        """N-grams that a set shares with any partner; as many has the smallest partner."""
+        return -(-self.percent * size // 100)
+
+    def _beyond(self, size: int) -> int:
+        return max(1, size // 5)
+
+    def length(self, size: int) -> int:
+        return min(size, size - self.common(size) + self._beyond(size))
+
+    def shared(self, size: int) -> int:
+        """Of two partners' prefixes the one that ends first lies, but for ``size - common``, in the other: it is the smallest partner's at worst."""
+        return self._beyond(self.common(size))
+
+
+def _runs(batches: Iterator[pa.RecordBatch], held: int) -> Iterator[list[np.ndarray]]:
+    """Columns of batches sorted by the first one: rows of equal values come together, about ``held`` rows at once."""
+    kept: list[list[np.ndarray]] = []
+    for batch in batches:
+        kept.append([c.to_numpy() for c in batch.columns])
+        if sum(len(k[0]) for k in kept) >= held:
+            cols = [np.concatenate(c) for c in zip(*kept, strict=True)]
+            end = int(np.searchsorted(cols[0], cols[0][-1]))  # the last run may go on
+            if end:
+                yield [c[:end] for c in cols]
+            kept = [[c[end:] for c in cols]]
+    if kept and sum(len(k[0]) for k in kept):
+        yield [np.concatenate(c) for c in zip(*kept, strict=True)]
+
+
+def _starts(*cols: np.ndarray) -> np.ndarray:
+    """Where rows begin that differ from the one before."""
+    new = np.ones(len(cols[0]), bool)
+    new[1:] = False
+    for c in cols:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
 def candidate_links(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """``(a, b)`` links of documents with an equal segment, in stars of each segment."""
+    """``(a, b)`` links of sets (their s1, see ``set_sizes``) that may reach the threshold, in stars of each n-gram. Equal sets are one."""
+    prefixes = Prefixes(percent)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, owners, held = [], [], 0
+        grams, names, needs, held = [], [], [], 0
 
         def out() -> pa.RecordBatch:
-            g, d = np.concatenate(grams), np.concatenate(owners)
-            order = np.lexsort((d, g))
-            g, d = g[order], d[order]
-            first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-            least = np.repeat(d[first], np.diff(np.concatenate([first, [len(g)]])))
-            a, b = forest(d[d != least], least[d != least])
-            # links within this task, and each segment once with its least document
-            kind = np.concatenate([np.zeros(len(a), np.int8), np.ones(len(first), np.int8)])
-            return pa.record_batch([pa.array(kind), pa.array(np.concatenate([a, g[first].view(np.int64)])), pa.array(np.concatenate([b, d[first]]))], names=["kind", "a", "b"])
+            size = [len(g) for g in grams]
+            cols = [np.concatenate(grams).view(np.int64), np.repeat(np.array(names, np.int64), size), np.repeat(np.array(needs, np.int32), size)]
+            return pa.record_batch([pa.array(c) for c in cols], names=["gram", "s1", "need"])
 
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for i, own in enumerate(shingle_sets(batch.column(1), n)):
+            for own in shingle_sets(batch.column(0), n):
                 if len(own):
-                    grams.append(segments.keys(own))
-                    owners.append(np.full(len(grams[-1]), ids[i]))
+                    grams.append(own[: prefixes.length(len(own))])
+                    names.append(_signature(own)[0])
+                    needs.append(prefixes.shared(len(own)))
                     held += len(grams[-1])
-                if held >= HELD:
+                if held >= POSTED:
                     yield out()
-                    grams, owners, held = [], [], 0
+                    grams, names, needs, held = [], [], [], 0
         if held:
             yield out()
 
-    segments = Segments(percent)
-    posted = docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(frugal(post), "kind byte, a long, b long")
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of rows sorted by n-gram, those whose n-gram several sets hold, and how many."""
+        for gram, s1, need in _runs(batches, HELD):
+            order = np.lexsort((s1, gram))
+            gram, s1, need = gram[order], s1[order], need[order]
+            new = _starts(gram, s1)
+            gram, s1, need = gram[new], s1[new], need[new]
+            first = _starts(gram)
+            size = np.diff(np.append(first, len(gram)))
+            size = np.repeat(size, size)
+            many = size > 1
+            yield pa.record_batch([pa.array(s1[many]), pa.array(gram[many]), pa.array(need[many]), pa.array(size[many])], names=["s1", "gram", "need", "sets"])
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of rows sorted by set, the n-grams by which the sets that share enough are found."""
+        for s1, gram, need, sets in _runs(batches, HELD):
+            order = np.lexsort((gram, sets, s1))
+            s1, gram, need = s1[order], gram[order], need[order]
+            first = _starts(s1)
+            size = np.diff(np.append(first, len(s1)))
+            rank = np.arange(len(s1)) - np.repeat(first, size)
+            kept = rank <= np.repeat(size, size) - need
+            yield pa.record_batch([pa.array(gram[kept]), pa.array(s1[kept])], names=["gram", "s1"])
 
     def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by a: those of a segment follow each other, and no more than HELD of them and a batch are held."""
-        held: list[list[np.ndarray]] = []
-
-        def out(kind: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-            g, d = a[kind == 1], b[kind == 1]
-            first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.empty(0, np.int64)
-            size = np.diff(np.append(first, len(g)))
-            least = np.repeat(np.minimum.reduceat(d, first) if len(g) else d, size)
-            u, v = forest(np.concatenate([a[kind == 0], d[d != least]]), np.concatenate([b[kind == 0], least[d != least]]))
-            return pa.record_batch([pa.array(u), pa.array(v)], names=["a", "b"])
-
-        for batch in batches:
-            held.append([c.to_numpy() for c in batch.columns])
-            if sum(len(h[0]) for h in held) >= HELD:
-                cols = [np.concatenate(c) for c in zip(*held, strict=True)]
-                end = int(np.searchsorted(cols[1], cols[1][-1]))  # the last segment may go on
-                if end:
-                    yield out(*(c[:end] for c in cols))
-                held = [[c[end:] for c in cols]]
-        if held:
-            yield out(*(np.concatenate(c) for c in zip(*held, strict=True)))
+        for gram, s1 in _runs(batches, HELD):
+            first = _starts(gram)
+            least = np.repeat(np.minimum.reduceat(s1, first), np.diff(np.append(first, len(gram))))
+            a, b = forest(s1[s1 != least], least[s1 != least])
+            yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    # each partition gives a forest of the same documents: fewer partitions repeat fewer links, but each must be sorted in memory
-    few = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2)
-    return posted.repartition(few, F.col("a")).sortWithinPartitions("a").mapInArrow(frugal(star), "a long, b long")
+    posted = docs.where("doc_id is not null").select("text").mapInArrow(frugal(post), "gram long, s1 long, need int")
+    several = posted.repartition(F.col("gram")).sortWithinPartitions("gram").mapInArrow(frugal(count), "s1 long, gram long, need int, sets long")
+    found = several.repartition(F.col("s1")).sortWithinPartitions("s1").mapInArrow(frugal(rarest), "gram long, s1 long")
+    return found.repartition(F.col("gram")).sortWithinPartitions("gram").mapInArrow(frugal(star), "a long, b long")
 
 
 def overlaps(sets: list[np.ndarray], others: list[np.ndarray] | None = None) -> np.ndarray:
@@ -451,7 +498,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     sound = sizes.where("n_shingles > 0 and doc_id is not null")
     same = sound.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "t")).alias("rep"), F.max("n_shingles").alias("size"), F.max("parity").alias("parity"), F.count("*").alias("rows"))
     same = written(same.select("rep.doc_id", "rep.t", "s1", "s2", "size", "parity", "rows"), "sets")
-    met = same.select("doc_id", "t", "size", "parity").join(clusters.withColumnRenamed("id", "doc_id").withColumnRenamed("component", "cluster"), "doc_id")
+    met = same.select("doc_id", "t", "s1", "size", "parity").join(clusters.withColumnRenamed("id", "s1").withColumnRenamed("component", "cluster"), "s1")
     met = written(met.select("doc_id", "t", "cluster", "size", "parity"), "candidates")
     counts = met.groupBy("cluster").agg(F.count("*").alias("d")).where(F.col("d") > LARGE)
     large = written(counts.select("cluster", F.lit(True).alias("large")), "large-clusters")

@@ -145,6 +145,23 @@ def test_segments_and_parities_lose_no_link():
     assert found == {(i, j) for i in range(16) for j in range(16) if i % 8 == j % 8}
 
 
+def test_prefixes_lose_no_link():
+    rng = np.random.default_rng(5)
+    links = 0
+    for percent in (85, 80):
+        prefixes = jaccard.Prefixes(percent)
+        for _ in range(3000):
+            a = np.unique(rng.integers(0, 2**63, int(rng.choice([1, 2, 3, 5, 8, 13, 40, 100, 400, 1100, 2500])), dtype=np.uint64))
+            kept = rng.permutation(a)[: max(1, len(a) - rng.integers(0, len(a) // 5 + 1))]
+            b = np.unique(np.concatenate([kept, rng.integers(0, 2**63, rng.integers(0, len(a) // 6 + 1), dtype=np.uint64)]))
+            both = len(np.intersect1d(a, b))
+            if 100 * both >= percent * (len(a) + len(b) - both):
+                links += 1
+                shared = len(np.intersect1d(a[: prefixes.length(len(a))], b[: prefixes.length(len(b))]))
+                assert shared >= max(prefixes.shared(len(a)), prefixes.shared(len(b)))
+    assert links > 2000
+
+
 def test_overlap_counts():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 60, rng.integers(1, 40)).astype(np.uint64)) for _ in range(60)]

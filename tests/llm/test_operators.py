@@ -74,6 +74,26 @@ def test_large_components_are_cut_down_and_blocked(spark, monkeypatch, salted):
     assert [r.component_id for r in jaccard.jaccard_components(df, 3, 80).orderBy("doc_id").collect()] == label
 
 
+def test_candidates_lose_no_link_and_a_shared_passage_makes_none(spark):
+    rng = random.Random(21)
+    some = lambda n: [f"c{rng.randrange(10**9)}" for _ in range(n)]
+    passage = some(60)
+    rows = [" ".join(some(rng.randrange(120, 200)) + passage + some(40)) for _ in range(150)]
+    assert jaccard.candidate_links(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), 5, 80).count() == 0
+    for size in (1, 2, 4, 5, 7, 12, 30, 90, 300):
+        for _ in range(12):
+            base = some(size + 3)
+            rows += [" ".join(base)] + [" ".join(base[rng.randrange(0, 2 + size // 12) :] + some(rng.randrange(0, 2 + size // 12))) for _ in range(4)]
+    own = [{tuple(w[j : j + 4]) for j in range(max(1, len(w) - 3))} for w in map(str.split, rows)]
+    near = {(a, b) for a in range(150, len(own)) for b in range(max(150, a - 4), a) if 100 * len(own[a] & own[b]) >= 85 * len(own[a] | own[b])}
+    label = list(range(len(own)))
+    for _ in range(4):
+        for a, b in near:
+            label[a] = label[b] = min(label[a], label[b])
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert len(near) > 100 and [r.component_id for r in jaccard.jaccard_components(df, 4, 85).orderBy("doc_id").collect()] == label
+
+
 def test_rows_of_one_id_have_the_links_of_all_their_texts(spark):
     a, b = prose(100), prose(100)
     rows = [(1, a), (1, b), (2, a + " more"), (3, "more " + b), (4, prose(100)), (4, prose(90)), (5, prose(80))]
