@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import tempfile
 import uuid
 import zlib
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 #: A run of letters that stands alone or before ASCII punctuation is tokenized once.
 _WORD = re.compile(r"([^\W\d_]+)([.,!?;:]*)")
 _CONTROL = re.compile(r"[\x1c-\x1f]")
-#: Bytes that a worker keeps of pieces, their parts and ids; an entry takes about ENTRY besides its characters.
+#: Bytes that a worker keeps of pieces and their ids; an entry takes about ENTRY besides its characters.
 CACHE, ENTRY = 160 << 20, 200
 
 
@@ -45,46 +46,50 @@ class Encoder:
     pre-tokenizer drops it), so a text's ids are those of its pieces between
     white space, and each distinct piece is encoded once per worker. Of the
     pieces that are letters before optional punctuation, the pre-tokenizer
-    makes one token for either part, so their parts are kept instead. A
-    tokenizer of another kind encodes whole texts.
+    makes one token for either part, so only their parts are encoded, and
+    these are pieces too: a word is kept once, alone or with punctuation after
+    it. A tokenizer of another kind encodes whole texts.
     """
 
     def __init__(self, path: str, width: int) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype(f"<u{width}")
+        self.kind = {2: "H", 4: "I"}[width]
         self.pieces: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
         self.held = 0
         spec = self.tokenizer.pre_tokenizer.__getstate__() + self.tokenizer.normalizer.__getstate__() if self.tokenizer.pre_tokenizer and self.tokenizer.normalizer else b""
         self.by_piece = rb"[^\\s\\p{L}\\p{N}]+" in spec.replace(rb"\\\\", rb"\\") and b'"invert":true' in spec and b'"Removed"' in spec and b"Lowercase" in spec
 
     def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=self.dtype).tobytes()
+        return struct.pack(f"<{len(ids)}{self.kind}", *ids)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [self._bytes(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _parts_of(self, piece: str) -> tuple[str, ...]:
-        if (found := _WORD.fullmatch(piece)) and found[1].isalpha():
-            low = found[1].lower()
-            if len(low) == len(found[1]) and low.isalpha() and "Σ" not in found[1]:
-                return (low, found[2]) if found[2] else (low,)
+        word, rest = (piece, "") if piece.isalpha() else found.groups() if (found := _WORD.fullmatch(piece)) else ("", "")
+        if word.isalpha():
+            low = word.lower()
+            if len(low) == len(word) and low.isalpha() and "Σ" not in word:
+                return (low, rest) if rest else (low,)
         return (piece,)
 
     def learn(self, pieces: set[str]) -> None:
-        new = {p: self._parts_of(p) for p in pieces if p not in self.pieces}
-        self.held += sum(len(p) + ENTRY for p in new)
-        if self.held > CACHE:  # what these texts need stays
+        new = [p for p in pieces if p not in self.pieces]
+        if self.held + sum(map(len, new)) + len(new) * ENTRY > CACHE:  # what these texts need stays
             self.pieces = {p: self.pieces[p] for p in pieces if p in self.pieces}
-            self.parts.clear()
-            self.held = sum(len(p) + ENTRY for p in (*self.pieces, *new))
-        parts = list({x for p in new.values() for x in p if x not in self.parts})
-        self.held += sum(len(p) + ENTRY for p in parts)
-        self.parts.update(zip(parts, self._encode(parts), strict=True))
-        for piece, own in new.items():
-            self.pieces[piece] = self.parts[own[0]] + self.parts[own[1]] if len(own) == 2 else self.parts[own[0]]
+            self.held = sum(map(len, self.pieces)) + len(self.pieces) * ENTRY
+        known, before = self.pieces, len(self.pieces)
+        cut = [self._parts_of(p) for p in new]
+        parts = list({x for own in cut for x in own if x not in known})
+        known.update(zip(parts, self._encode(parts), strict=True))
+        self.held += sum(map(len, parts))
+        for piece, own in zip(new, cut, strict=True):
+            if piece != own[0]:
+                known[piece] = known[own[0]] + known[own[1]] if len(own) == 2 else known[own[0]]
+                self.held += len(piece)
+        self.held += (len(known) - before) * ENTRY
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes of this encoder's width."""

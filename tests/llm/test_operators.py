@@ -261,6 +261,19 @@ def test_pieces_encode_as_whole_texts():
         assert encoder.encode([t])[0] == np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u2").tobytes(), repr(t)
 
 
+def test_a_word_is_kept_once_and_not_encoded_again(monkeypatch):
+    words = [f"{a}{b}{c}" for a in "bdfgklm" for b in "aeiou" for c in "nrstvz"]
+    entries = len(words) * 2 + 2  # alone, with a comma or a stop, and these
+    monkeypatch.setattr(token_files, "CACHE", entries * (token_files.ENTRY + 4))
+    encoder, asked = token_files.Encoder(default_tokenizer(), 2), []
+    own = encoder._encode
+    encoder._encode = lambda texts: asked.extend(texts) or own(texts)
+    for _ in range(3):
+        got = [encoder.encode([" ".join(words[i::2]) + " " + " ".join(f"{w}{',.'[i]}" for w in words[i::2])])[0] for i in (0, 1)]
+    assert len(asked) == len(set(asked)) == len(words) + 2 and encoder.held <= token_files.CACHE
+    assert got == own([" ".join(words[i::2]) + " " + " ".join(f"{w}{',.'[i]}" for w in words[i::2]) for i in (0, 1)])
+
+
 def test_near_vectors_recall_and_odd_rows(spark):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((600, 32))
