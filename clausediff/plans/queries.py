@@ -35,11 +35,12 @@ def query(sql: str | None = None, base: bool = True):
 _kept: list[Comparison] = []
 
 
-def comparison(spark: SparkSession, sf_dir: str) -> Comparison:
-    """The comparison that a query reads, kept until the next query's (a query that is run again makes it again)."""
+def comparison(spark: SparkSession, sf_dir: str, places: bool = True) -> Comparison:
+    """The comparison that a query reads, kept until the next query's (a query that is run again makes it again); without places only its sections and matches are."""
     while _kept:
         _kept.pop().unpersist()
-    _kept.append(compare_units(adapter.units(spark, sf_dir)).persist())
+    made = compare_units(adapter.units(spark, sf_dir))
+    _kept.append(made.persist() if places else made.without_places().persist(("sections", "matches")))
     return _kept[-1]
 
 
@@ -307,8 +308,9 @@ def seq_similarity(spark, sf_dir):
 
 @query()
 def rows_html(spark, sf_dir):
-    c = comparison(spark, sf_dir)
-    return render.rows_html(c.rows, c.word_diffs)
+    """Two readers share the sections; all else is read once, and is not kept."""
+    c = comparison(spark, sf_dir, False)
+    return render.rows_html(c.shown, c.word_diffs)
 
 
 # ---------------------------------------------------------------- text functions

@@ -111,6 +111,13 @@ def test_rows_html(spark, shared, whole, sections):
         assert r.html.count("(karşılığı yok)") == (row.old is None) + (row.new is None)
 
 
+def test_rows_html_keeps_each_text_once(spark):
+    assert queries.rows_html(spark, "/root/testdata/sf0.001").count()
+    made = queries._kept[-1]
+    assert made.sections.storageLevel.useDisk and not made.sections.where("size(units) > 0").count()
+    assert not made.sentence_diffs.storageLevel.useDisk and set(made.shown.schema["old"].dataType.names).isdisjoint({"units"})
+
+
 def test_embedding_assignment(spark):
     """No cycle of exchanges gains anything: the assignment has the greatest total."""
     v = {r.vec_id: np.array(r.embedding, float) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
