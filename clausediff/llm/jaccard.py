@@ -7,15 +7,16 @@ Which documents can reach the threshold t follows three times:
   fifth of n from each set, two partners share a fifth of the smaller set at
   least: a set that shares fewer with all others together has no partner, and
   most sets end here. Of the shared n-grams of the others the rarest are kept,
-  so many that two partners have one of them in common still. Sets with a
-  common one are candidates, linked in stars, so that an n-gram of many sets
-  costs a link per set and not one per pair;
+  so many that two partners have one of them in common still. Two sets with a
+  common one are candidates if sizes and parity bits (two sets whose parities
+  differ in d bits differ in d n-grams at least) leave them a chance; sets that
+  share an n-gram with PAIRED others or more are linked in a star instead, so
+  that it costs a link per set and not one per pair;
 * the documents of a large component of candidates are multiplied with a few of
   them, its hubs, first. Those that this already joins into one group need not
   be multiplied with each other: what is left are pairs with one of the others.
-  They are cut down by pairwise bounds from parity bits: two sets whose parities
-  differ in d bits differ in d n-grams at least. The pairs that the bound leaves
-  give smaller components;
+  They are cut down by the parity bits of all pairs. The pairs that the bound
+  leaves give smaller components;
 * documents of a component are multiplied with each other only if the smaller
   has t times the n-grams of the larger. A component is split by size class,
   and within a class into blocks of bounded size; each pair of blocks is a task
@@ -50,6 +51,9 @@ HELD, POSTED = 400_000, 100_000
 #: Parity bits of a set at least; components of more documents get hubs and are cut down by parities, in blocks of so many
 #: (few bytes each: large blocks send a document to few tasks); pairs that are bounded at once.
 PARITY, LARGE, PARITY_BLOCK, BOUNDED = 1024, 200, 12_000, 1 << 20
+#: Sets of an n-gram that are bounded pair by pair, and the least and most parity bits of a set that travel with each n-gram for that:
+#: as many as it has n-grams; those of a set with more n-grams than bits tell less, and none loses a pair.
+PAIRED, SKETCH = 1000, (64, 1024)
 #: Hubs of a size class of a component, and the documents that one task multiplies with them.
 HUBS, HUB_ROWS = 4, 2000
 #: Up to so many rows (about 100 bytes each) a table of components is broadcast; beyond, each of its rows is dealt to SALTS tasks.
@@ -114,15 +118,22 @@ def _signature(own: np.ndarray) -> tuple[int, int]:
 
 
 def set_sizes(docs: DataFrame, n: int) -> DataFrame:
-    """``(doc_id, t, n_shingles, s1, s2, parity)`` of each row of ``docs`` (doc_id, t, text): the size of its set, a signature of the set, and its parity bits."""
+    """``(doc_id, t, n_shingles, s1, s2, parity, sketch)`` of each row of ``docs`` (doc_id, t, text): the size of its set, a signature of the set, and its parity bits, all and folded."""
+def _sketch(size: int, bits: bytes) -> bytes:
+    """The parity bits of a set of so many n-grams, folded to about as many as it has n-grams."""
+    least, most = SKETCH
+    words = max(least, min(most, 1 << max(0, size - 1).bit_length())) // 64
+    return folded(np.frombuffer(bits, np.uint64)[None], words).tobytes()
+
+
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [(len(own), *_signature(own), parity(own)) for own in shingle_sets(batch.column(2), n)]
-            cols = [pa.array([g[i] for g in got], pa.binary() if i == 3 else pa.int64()) for i in range(4)]
-            yield pa.record_batch([batch.column(0), batch.column(1), *cols], names=["doc_id", "t", "n_shingles", "s1", "s2", "parity"])
+            got = [(len(own), *_signature(own), bits := parity(own), _sketch(len(own), bits)) for own in shingle_sets(batch.column(2), n)]
+            cols = [pa.array([g[i] for g in got], pa.binary() if i >= 3 else pa.int64()) for i in range(5)]
+            yield pa.record_batch([batch.column(0), batch.column(1), *cols], names=["doc_id", "t", "n_shingles", "s1", "s2", "parity", "sketch"])
 
-    return docs.select("doc_id", "t", "text").mapInArrow(frugal(sizes), "doc_id long, t long, n_shingles long, s1 long, s2 long, parity binary")
+    return docs.select("doc_id", "t", "text").mapInArrow(frugal(sizes), "doc_id long, t long, n_shingles long, s1 long, s2 long, parity binary, sketch binary")
 
 
 class Prefixes:
@@ -150,7 +161,7 @@ def _runs(batches: Iterator[pa.RecordBatch], held: int) -> Iterator[list[np.ndar
     """Columns of batches sorted by the first one: rows of equal values come together, about ``held`` rows at once."""
     kept: list[list[np.ndarray]] = []
     for batch in batches:
-        kept.append([c.to_numpy() for c in batch.columns])
+        kept.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
         if sum(len(k[0]) for k in kept) >= held:
             cols = [np.concatenate(c) for c in zip(*kept, strict=True)]
             end = int(np.searchsorted(cols[0], cols[0][-1]))  # the last run may go on
@@ -170,11 +181,58 @@ def _starts(*cols: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def candidate_links(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """``(a, b)`` links of sets (their s1, see ``set_sizes``) that may reach the threshold, in stars of each n-gram. Equal sets are one."""
+def pairs_in_groups(first: np.ndarray, size: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of each two members of each group (first member, members), about ``most`` pairs at once."""
+    end = np.cumsum(size)
+    after = np.repeat(end, size) - 1 - np.arange(size.sum())
+    rows = np.repeat(first - end + size, size) + np.arange(len(after))
+    total, at = np.cumsum(after), 0
+    while at < len(rows):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, side="right")))
+        n, own = after[at:end], rows[at:end]
+        a = np.repeat(own, n)
+        yield a, a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
+        at = end
+
+
+class Sketches:
+    """Folded parity bits of sets of so many n-grams, by which pairs of them are bounded."""
+
+    def __init__(self, size: np.ndarray, raw: list[bytes], percent: int) -> None:
+        self.size, self.percent = size, percent
+        self.words = np.array([len(r) // 8 for r in raw], np.int64)
+        self.place, self.bits = {}, {}
+        for w in np.unique(self.words).tolist():  # of all sets with as many words or more
+            place, parts, at = np.zeros(len(raw), np.int64), [], 0
+            for longer in np.unique(self.words[self.words >= w]).tolist():
+                own = np.flatnonzero(self.words == longer)
+                place[own] = np.arange(at, at + len(own))
+                parts.append(folded(np.frombuffer(b"".join(raw[i] for i in own), np.uint64).reshape(len(own), -1), w))
+                at += len(own)
+            self.place[w], self.bits[w] = place, np.concatenate(parts)
+
+    def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which of the pairs a[i], b[i] may reach the threshold."""
+        total, apart = self.size[a] + self.size[b], np.abs(self.size[a] - self.size[b])
+        least = lambda apart, total: (100 + self.percent) * (total - apart) >= 2 * self.percent * total
+        left = least(apart, total)
+        words = np.minimum(self.words[a], self.words[b])
+        for w, bits in self.bits.items():
+            rows = np.flatnonzero(left & (words == w))
+            x, y = self.place[w][a[rows]], self.place[w][b[rows]]
+            differ = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
+            left[rows] = least(np.maximum(differ, apart[rows]), total[rows])
+        return left
+
+
+def candidate_links(docs: DataFrame, n: int, percent: int, sets: DataFrame | None = None) -> DataFrame:
+    """``(a, b)`` links of sets (their s1, see ``set_sizes``) that may reach the threshold. Equal sets are one; ``sets`` has s1, size and sketch of each, and is made if absent."""
     prefixes = Prefixes(percent)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    if sets is None:
+        own = set_sizes(docs.where("doc_id is not null").withColumn("t", F.lit(0).cast("long")), n)
+        sets = own.groupBy("s1").agg(F.max("n_shingles").alias("size"), F.max("sketch").alias("sketch"))
         grams, names, needs, held = [], [], [], 0
 
         def out() -> pa.RecordBatch:
@@ -219,17 +277,28 @@ def candidate_links(docs: DataFrame, n: int, percent: int) -> DataFrame:
             kept = rank <= np.repeat(size, size) - need
             yield pa.record_batch([pa.array(gram[kept]), pa.array(s1[kept])], names=["gram", "s1"])
 
-    def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for gram, s1 in _runs(batches, HELD):
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for gram, s1, size, raw in _runs(batches, HELD // 4):
             first = _starts(gram)
-            least = np.repeat(np.minimum.reduceat(s1, first), np.diff(np.append(first, len(gram))))
-            a, b = forest(s1[s1 != least], least[s1 != least])
+            sets = np.diff(np.append(first, len(gram)))
+            least = np.repeat(np.minimum.reduceat(s1, first), sets)
+            many = np.repeat(sets > PAIRED, sets) & (s1 != least)
+            us, vs = [s1[many]], [least[many]]
+            few = (sets > 1) & (sets <= PAIRED)
+            sketches = Sketches(size, raw.tolist(), percent)
+            for a, b in pairs_in_groups(first[few], sets[few], BOUNDED // 8):
+                near = sketches.near(a, b)
+                u, v = forest(s1[a[near]], s1[b[near]])
+                us.append(u)
+                vs.append(v)
+            a, b = forest(np.concatenate(us), np.concatenate(vs))
             yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
 
     posted = docs.where("doc_id is not null").select("text").mapInArrow(frugal(post), "gram long, s1 long, need int")
     several = posted.repartition(F.col("gram")).sortWithinPartitions("gram").mapInArrow(frugal(count), "s1 long, gram long, need int, sets long")
     found = several.repartition(F.col("s1")).sortWithinPartitions("s1").mapInArrow(frugal(rarest), "gram long, s1 long")
-    return found.repartition(F.col("gram")).sortWithinPartitions("gram").mapInArrow(frugal(star), "a long, b long")
+    told = found.hint("merge").join(sets.select("s1", "size", "sketch"), "s1").select("gram", "s1", "size", "sketch")
+    return told.repartition(F.col("gram")).sortWithinPartitions("gram").mapInArrow(frugal(link), "a long, b long")
 
 
 def overlaps(sets: list[np.ndarray], others: list[np.ndarray] | None = None) -> np.ndarray:
@@ -493,11 +562,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
     sizes = written(set_sizes(docs, n), "set-sizes")
-    clusters = connected_components(candidate_links(docs, n, percent))
     # one document of each set stands for all; t tells the texts of repeated ids apart
     sound = sizes.where("n_shingles > 0 and doc_id is not null")
-    same = sound.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "t")).alias("rep"), F.max("n_shingles").alias("size"), F.max("parity").alias("parity"), F.count("*").alias("rows"))
-    same = written(same.select("rep.doc_id", "rep.t", "s1", "s2", "size", "parity", "rows"), "sets")
+    same = sound.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "t")).alias("rep"), F.max("n_shingles").alias("size"), F.max("parity").alias("parity"), F.max("sketch").alias("sketch"), F.count("*").alias("rows"))
+    same = written(same.select("rep.doc_id", "rep.t", "s1", "s2", "size", "parity", "sketch", "rows"), "sets")
+    clusters = connected_components(candidate_links(docs, n, percent, same))
     met = same.select("doc_id", "t", "s1", "size", "parity").join(clusters.withColumnRenamed("id", "s1").withColumnRenamed("component", "cluster"), "s1")
     met = written(met.select("doc_id", "t", "cluster", "size", "parity"), "candidates")
     counts = met.groupBy("cluster").agg(F.count("*").alias("d")).where(F.col("d") > LARGE)

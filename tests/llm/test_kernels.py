@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 import re
-from itertools import product
+from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
@@ -162,6 +162,24 @@ def test_prefixes_lose_no_link():
     assert links > 2000
 
 
+def test_sketches_lose_no_link():
+    rng = np.random.default_rng(17)
+    sets = []
+    for size in (1, 3, 20, 63, 70, 400, 1500, 5000):
+        base = rng.integers(0, 2**63, size, dtype=np.uint64)
+        sets += [np.unique(np.concatenate([base[rng.random(size) < 0.97], rng.integers(0, 2**63, k, dtype=np.uint64)])) for k in (0, 1, size // 20, size // 4)]
+    sets = [s for s in sets if len(s)]
+    size = np.array([len(s) for s in sets])
+    (a, b), = jaccard.pairs_in_groups(np.array([0]), np.array([len(sets)]), 1 << 20)
+    assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == list(combinations(range(len(sets)), 2))
+    parts = [np.concatenate(c) for c in zip(*jaccard.pairs_in_groups(np.array([4, 0]), np.array([5, 3]), 4), strict=True)]
+    assert list(zip(*(p.tolist() for p in parts), strict=True)) == [*combinations(range(4, 9), 2), *combinations(range(3), 2)]
+    near = jaccard.Sketches(size, [jaccard._sketch(len(s), jaccard.parity(s)) for s in sets], 80).near(a, b)
+    both = np.array([len(np.intersect1d(sets[x], sets[y])) for x, y in zip(a, b, strict=True)])
+    linked = 180 * both >= 80 * (size[a] + size[b])
+    assert near[linked].all() and linked.sum() > 20 and near.sum() < linked.sum() + 30
+
+
 def test_overlap_counts():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 60, rng.integers(1, 40)).astype(np.uint64)) for _ in range(60)]

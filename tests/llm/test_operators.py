@@ -94,6 +94,12 @@ def test_candidates_lose_no_link_and_a_shared_passage_makes_none(spark):
     assert len(near) > 100 and [r.component_id for r in jaccard.jaccard_components(df, 4, 85).orderBy("doc_id").collect()] == label
 
 
+def test_sets_that_share_half_with_each_of_two_others_are_no_candidates(spark):
+    halves = [prose(100) for _ in range(60)]
+    df = spark.createDataFrame([(i, f"{a} {b}") for i, (a, b) in enumerate(zip(halves, halves[1:]))], "doc_id long, text string")  # noqa: B905
+    assert jaccard.candidate_links(df, 5, 80).count() == 0
+
+
 def test_rows_of_one_id_have_the_links_of_all_their_texts(spark):
     a, b = prose(100), prose(100)
     rows = [(1, a), (1, b), (2, a + " more"), (3, "more " + b), (4, prose(100)), (4, prose(90)), (5, prose(80))]
