@@ -54,6 +54,8 @@ PARITY, LARGE, PARITY_BLOCK, BOUNDED = 1024, 200, 12_000, 1 << 20
 #: Sets of an n-gram that are bounded pair by pair, and the least and most parity bits of a set that travel with each n-gram for that:
 #: as many as it has n-grams; those of a set with more n-grams than bits tell less, and none loses a pair.
 PAIRED, SKETCH = 1000, (64, 1024)
+#: Bits that tell which texts are asked for (2**24: 2 MB), in pieces of 2**15.
+ASKED = 1 << 24
 #: Hubs of a size class of a component, and the documents that one task multiplies with them.
 HUBS, HUB_ROWS = 4, 2000
 #: Up to so many rows (about 100 bytes each) a table of components is broadcast; beyond, each of its rows is dealt to SALTS tasks.
@@ -117,8 +119,6 @@ def _signature(own: np.ndarray) -> tuple[int, int]:
     return int(np.int64(a.astype(np.int64))), int(b.astype(np.int64))
 
 
-def set_sizes(docs: DataFrame, n: int) -> DataFrame:
-    """``(doc_id, t, n_shingles, s1, s2, parity, sketch)`` of each row of ``docs`` (doc_id, t, text): the size of its set, a signature of the set, and its parity bits, all and folded."""
 def _sketch(size: int, bits: bytes) -> bytes:
     """The parity bits of a set of so many n-grams, folded to about as many as it has n-grams."""
     least, most = SKETCH
@@ -126,6 +126,8 @@ def _sketch(size: int, bits: bytes) -> bytes:
     return folded(np.frombuffer(bits, np.uint64)[None], words).tobytes()
 
 
+def set_sizes(docs: DataFrame, n: int) -> DataFrame:
+    """``(doc_id, t, n_shingles, s1, s2, parity, sketch)`` of each row of ``docs`` (doc_id, t, text): the size of its set, a signature of the set, and its parity bits, all and folded."""
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,11 +230,11 @@ class Sketches:
 def candidate_links(docs: DataFrame, n: int, percent: int, sets: DataFrame | None = None) -> DataFrame:
     """``(a, b)`` links of sets (their s1, see ``set_sizes``) that may reach the threshold. Equal sets are one; ``sets`` has s1, size and sketch of each, and is made if absent."""
     prefixes = Prefixes(percent)
-
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if sets is None:
         own = set_sizes(docs.where("doc_id is not null").withColumn("t", F.lit(0).cast("long")), n)
         sets = own.groupBy("s1").agg(F.max("n_shingles").alias("size"), F.max("sketch").alias("sketch"))
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, names, needs, held = [], [], [], 0
 
         def out() -> pa.RecordBatch:
@@ -452,12 +454,21 @@ def bounded_pairs(size1: np.ndarray, raw1: list[bytes], size2: np.ndarray, raw2:
                 yield part[x], cols[y]
 
 
-def _texts_of(docs: DataFrame, tasks: DataFrame) -> DataFrame:
-    """``(doc_id, text, block, first)``: the text of each document of ``tasks``, once for each of its tasks, dealt and sorted by block, first ones first."""
-    own = tasks.groupBy("doc_id", "t").agg(F.collect_list(F.struct("block", "first")).alias("tasks"))
-    texts = docs.join(own, ["doc_id", "t"]).groupBy("doc_id", "t").agg(F.max("text").alias("text"), F.max("tasks").alias("tasks"))
+def maybe_among(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id and t ``keys`` has, and a few more: bits of the keys' hashes, broadcast, keep the other texts out of a shuffle."""
+    spot = F.pmod(F.xxhash64("doc_id", "t"), F.lit(ASKED))
+    at = lambda df: df.withColumn("piece", F.shiftright(spot, 15)).withColumn("bit", spot.bitwiseAND(F.lit((1 << 15) - 1)))
+    bits = at(keys).groupBy("piece").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    told = F.expr("shiftright(cast(conv(hex(substring(bits, cast(bit div 8 as int) + 1, 1)), 16, 10) as int), cast(bit % 8 as int)) % 2 = 1")
+    return at(docs).join(F.broadcast(bits), "piece").where(told).select(*docs.columns)
+
+
+def _texts_of(docs: DataFrame, tasks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, text, block, first)``: the text of each document of ``tasks``, once for each of its tasks, dealt and sorted by block, first ones first; and a table to be dropped when this is read."""
+    own = written(tasks.groupBy("doc_id", "t").agg(F.collect_list(F.struct("block", "first")).alias("tasks")), "text-tasks")
+    texts = maybe_among(docs, own).join(own, ["doc_id", "t"]).groupBy("doc_id", "t").agg(F.max("text").alias("text"), F.max("tasks").alias("tasks"))
     placed = texts.select("doc_id", "text", F.explode("tasks").alias("t")).select("doc_id", "text", "t.block", "t.first")
-    return placed.repartition(F.col("block")).sortWithinPartitions("block", F.desc("first"))
+    return placed.repartition(F.col("block")).sortWithinPartitions("block", F.desc("first")), own
 
 
 def _hub_links(docs: DataFrame, met: DataFrame, n: int, percent: int) -> DataFrame:
@@ -490,8 +501,9 @@ def _hub_links(docs: DataFrame, met: DataFrame, n: int, percent: int) -> DataFra
                             b.append(name_of)
             yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    links = written(_texts_of(docs, members.union(leading)).mapInArrow(frugal(multiply), "a long, b long"), "hub-links")
-    drop(tasks)
+    placed, asked = _texts_of(docs, members.union(leading))
+    links = written(placed.mapInArrow(frugal(multiply), "a long, b long"), "hub-links")
+    drop(tasks, asked)
     return links
 
 
@@ -614,8 +626,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
                 side.append(firsts[i])
         yield from out()
 
-    links = written(_texts_of(docs, tasks).mapInArrow(frugal(multiply), "a long, b long"), "copy-links")
-    drop(plan, flagged, *extra)
+    placed, asked = _texts_of(docs, tasks)
+    links = written(placed.mapInArrow(frugal(multiply), "a long, b long"), "copy-links")
+    drop(plan, flagged, asked, *extra)
     # every document with its set's least document, and the links between sets
     equal = sound.join(same.where("rows > 1").select(F.col("doc_id").alias("least"), "s1", "s2"), ["s1", "s2"]).where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
     every = links.union(equal)

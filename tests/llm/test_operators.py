@@ -100,6 +100,12 @@ def test_sets_that_share_half_with_each_of_two_others_are_no_candidates(spark):
     assert jaccard.candidate_links(df, 5, 80).count() == 0
 
 
+def test_texts_that_are_not_asked_for_stay_out_of_a_shuffle(spark):
+    docs = spark.range(4000).selectExpr("id as doc_id", "id * 7 as t", "'a' as text")
+    got = {r.doc_id for r in jaccard.maybe_among(docs, docs.where("doc_id % 100 = 0")).collect()}
+    assert got >= set(range(0, 4000, 100)) and len(got) < 60 and jaccard.maybe_among(docs, docs.limit(0)).count() == 0
+
+
 def test_rows_of_one_id_have_the_links_of_all_their_texts(spark):
     a, b = prose(100), prose(100)
     rows = [(1, a), (1, b), (2, a + " more"), (3, "more " + b), (4, prose(100)), (4, prose(90)), (5, prose(80))]
