@@ -454,13 +454,18 @@ def bounded_pairs(size1: np.ndarray, raw1: list[bytes], size2: np.ndarray, raw2:
                 yield part[x], cols[y]
 
 
+def _told(docs: DataFrame, keys: DataFrame, names: list[str]) -> DataFrame:
+    """``docs`` and _told: whether bits of the hashes of ``keys``' columns ``names``, which are broadcast, have the row's: true of rows that ``keys`` has, and of a few more."""
+    spot = F.pmod(F.xxhash64(*names), F.lit(ASKED))
+    at = lambda df: df.withColumn("_piece", F.shiftright(spot, 15)).withColumn("_bit", spot.bitwiseAND(F.lit((1 << 15) - 1)))
+    bits = at(keys).groupBy("_piece").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    told = F.expr("shiftright(cast(conv(hex(substring(_bits, cast(_bit div 8 as int) + 1, 1)), 16, 10) as int), cast(_bit % 8 as int)) % 2 = 1")
+    return at(docs).join(F.broadcast(bits), "_piece", "left").withColumn("_told", F.coalesce(told, F.lit(False))).drop("_piece", "_bit", "_bits")
+
+
 def maybe_among(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id and t ``keys`` has, and a few more: bits of the keys' hashes, broadcast, keep the other texts out of a shuffle."""
-    spot = F.pmod(F.xxhash64("doc_id", "t"), F.lit(ASKED))
-    at = lambda df: df.withColumn("piece", F.shiftright(spot, 15)).withColumn("bit", spot.bitwiseAND(F.lit((1 << 15) - 1)))
-    bits = at(keys).groupBy("piece").agg(F.bitmap_construct_agg("bit").alias("bits"))
-    told = F.expr("shiftright(cast(conv(hex(substring(bits, cast(bit div 8 as int) + 1, 1)), 16, 10) as int), cast(bit % 8 as int)) % 2 = 1")
-    return at(docs).join(F.broadcast(bits), "piece").where(told).select(*docs.columns)
+    return _told(docs, keys, ["doc_id", "t"]).where("_told").drop("_told")
 
 
 def _texts_of(docs: DataFrame, tasks: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -643,4 +648,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
 def drop_near_copies(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, all columns, whose doc_id is the smallest of its component; rows of null doc_id stay."""
     gone = jaccard_components(docs, n, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    # most rows stay for sure: they need no join, and their texts no shuffle
+    told = _told(docs.withColumn("_gone", F.col("doc_id").cast("long")), gone, ["_gone"])
+    maybe = told.where("_told").join(gone, "_gone", "left_anti").select(*told.columns)
+    return told.where("not _told").union(maybe).drop("_told", "_gone")

@@ -106,6 +106,25 @@ def test_texts_that_are_not_asked_for_stay_out_of_a_shuffle(spark):
     assert got >= set(range(0, 4000, 100)) and len(got) < 60 and jaccard.maybe_among(docs, docs.limit(0)).count() == 0
 
 
+def test_texts_that_surely_stay_are_not_shuffled(spark):
+    rng = random.Random(15)
+    rows = [(i, " ".join(f"{rng.getrandbits(64):x}" for _ in range(600)), i) for i in range(300)]
+    docs = spark.createDataFrame([*rows, (300, rows[7][1], 300), (None, rows[7][1], 301)], "doc_id long, text string, piece long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as if those that go were many
+    try:
+        out = jaccard.drop_near_copies(docs)
+        spark.sparkContext.setJobGroup("texts-stay", "")
+        got = out.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert out.columns == docs.columns and sorted(r.piece for r in got) == [*range(300), 301]
+    tracker, store = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
+    stages = {s for job in tracker.getJobIdsForGroup("texts-stay") for s in tracker.getJobInfo(job).stageIds}
+    assert sum(store.lastStageAttempt(s).shuffleWriteBytes() for s in stages) < sum(len(t) for _, t, _ in rows) / 20
+
+
 def test_rows_of_one_id_have_the_links_of_all_their_texts(spark):
     a, b = prose(100), prose(100)
     rows = [(1, a), (1, b), (2, a + " more"), (3, "more " + b), (4, prose(100)), (4, prose(90)), (5, prose(80))]
