@@ -11,11 +11,14 @@ that shingle and the min-hash of the shingles on one side of it, joined where
 their ranges overlap far enough, over all hash functions and neighbouring
 differences of positions, and verified on an alignment of their shingles.
 
-Windows of a group of FEW or less are joined each with each. In a larger group
-they are joined with leaders, the widest first, and a window whose range a
-leader covers needs no other; first within each task and then over all: a
-passage that a third of all documents share costs a few links per document,
-not one per pair, and a few rows per task in the shuffle.
+Windows of a group of FEW or less are joined each with each. Those of a larger
+group are read again with the text around their least shingle (``join_texts``).
+Windows of equal text are joined with the first of them, first within each task
+and then over all; windows that share a run long enough for a passage are joined
+with the first that holds it, and near copies with a hub; and of all others each
+pair is joined that has enough shingles in common. So a passage that a third of all documents share
+costs a few links per document, not one per pair, and two windows that share a
+passage are joined, or each with one that holds it too.
 """
 
 from __future__ import annotations
@@ -45,6 +48,12 @@ FEW = 8
 HELD = 500_000
 #: Documents that are compared with a stretch of a leader in one task; up to so many stretches of more are broadcast.
 MEMBERS, BROADCAST_ROWS = 2000, 200_000
+#: Windows that are joined by their texts at once (about 10 kB each), pairs of them that are listed at once, and bits that bound what they share.
+TEXTS, PAIRS, _BITS = 20_000, 1_000_000, 1024
+#: Windows of a shingle that others are joined with first; pairs of windows of one hub need no joining, all others meet.
+HUBS = 32
+#: Of a run of one shingle each window so far apart stands for those up to the next one.
+STEP = 16
 _SEEDS = [np.uint64(int(x) * 2 + 1) for x in np.random.default_rng(99).integers(1, 2**62, HASHES)]
 _SIDE = np.uint64(0x5851F42D4C957F2D)
 
@@ -119,13 +128,22 @@ def _reaches(lo: np.ndarray, mid: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return (mid - lo).astype(np.int64) << 32 | (hi - mid)
 
 
-def pair_up(v: np.ndarray, around: np.ndarray, doc: np.ndarray, mid: np.ndarray, reaches: np.ndarray, width: int, last: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def _group_key(v: np.ndarray, part: np.ndarray, side: int) -> np.ndarray:
+    """Of a window's least shingle and its surroundings on a side."""
+    return mix(v.view(np.uint64) + (part << np.uint64(1) | np.uint64(side)) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def pair_up(v: np.ndarray, around: np.ndarray, doc: np.ndarray, mid: np.ndarray, reaches: np.ndarray, width: int, last: bool = True, crowds: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Joins windows of equal least shingle and equal surroundings on a side.
 
     Returns rows (document, leader, difference of positions, from, to) - the
     latter in positions of the leader - and which windows must still meet those
     of other tasks: the leaders, and all of small groups, which wait for that
     unless this is the ``last`` meeting.
+
+    With ``crowds``, the windows of larger groups are not joined and don't wait:
+    the groups' keys are added to it, for ``join_texts`` to join all their windows.
+    A leader alone would lose links, for it may not share the text of what it covers.
     """
     left, right = reaches >> 32, reaches & 0xFFFFFFFF
     found, needed = [np.empty((0, 5), np.int64)], np.zeros(len(v), bool)
@@ -142,7 +160,7 @@ def pair_up(v: np.ndarray, around: np.ndarray, doc: np.ndarray, mid: np.ndarray,
 
     for side, part in enumerate((sides >> np.uint64(32), sides & np.uint64(0xFFFFFFFF))):
         rows = np.flatnonzero(part)
-        key = mix(v[rows].view(np.uint64) + (part[rows] << np.uint64(1) | np.uint64(side)) * np.uint64(0x9E3779B97F4A7C15))
+        key = _group_key(v[rows], part[rows], side)
         order = np.argsort(key)
         rows, key = rows[order], key[order]
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
@@ -172,6 +190,9 @@ def pair_up(v: np.ndarray, around: np.ndarray, doc: np.ndarray, mid: np.ndarray,
                 lead = np.where(doc[a] <= doc[b], a, b)
                 join(np.where(lead == a, b, a), lead)
         rows, key = rows[~few], key[~few]
+        if crowds is not None:
+            crowds.append(np.unique(key))
+            continue
         while len(rows):
             first = np.concatenate([[True], key[1:] != key[:-1]])
             lead = rows[np.flatnonzero(first)[np.cumsum(first) - 1]]
@@ -181,6 +202,213 @@ def pair_up(v: np.ndarray, around: np.ndarray, doc: np.ndarray, mid: np.ndarray,
     return np.concatenate(found), needed
 
 
+def _codes(grams: np.ndarray) -> np.ndarray:
+    """A byte of each shingle, never 0."""
+    return (mix(grams) % np.uint64(255)).astype(np.uint8) + np.uint8(1)
+
+
+def _least_equal(width: int, similarity: float) -> int:
+    """Equal shingles that two passages of ``width`` shingles need for the similarity."""
+    return int(np.ceil(2 * similarity * width / (1 + similarity) - 1e-9))
+
+
+def _links(doc: np.ndarray, mid: np.ndarray, rows: np.ndarray, lead: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Rows as of ``pair_up`` for windows of two documents, so far before and after the leader's least shingle."""
+    other = doc[rows] != doc[lead]
+    r, q = rows[other], lead[other]
+    return np.column_stack([doc[r], doc[q], mid[r] - mid[q], mid[q] - before[other], mid[q] + after[other]])
+
+
+def copies(v: np.ndarray, doc: np.ndarray, mid: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Joins windows of equal text around their least shingle with the first of them, by document; the rows, and which windows are first, in the order of v, doc and mid."""
+    span = near.shape[1] // 2
+    wide = np.zeros((len(v), -(-near.shape[1] // 8) * 8), np.uint8)
+    wide[:, : near.shape[1]] = near
+    key = v.view(np.uint64)
+    for col in wide.view(np.uint64).T:
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + col)
+    order = np.lexsort((mid, doc, key))
+    new = np.ones(len(order), bool)
+    new[1:] = key[order[1:]] != key[order[:-1]]
+    firsts = order[new]
+    lead = firsts[np.cumsum(new) - 1]
+    known = near != 0
+    before, after = known[:, :span].sum(axis=1), known[:, span + 1 :].sum(axis=1)
+    return _links(doc, mid, order, lead, before[lead], after[lead]), firsts[np.lexsort((mid[firsts], doc[firsts], v[firsts]))]
+
+
+def share_runs(v: np.ndarray, doc: np.ndarray, mid: np.ndarray, near: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Joins windows that share a run of ``least`` shingles around the least one with the first that holds it; windows are in the order of v and doc.
+
+    Returns the rows, and a number for each window: two windows of one number share a run.
+    """
+    n, span = len(v), near.shape[1] // 2
+    total = np.zeros((n, near.shape[1] + 1), np.uint64)
+    np.cumsum(_VALUES[near] * (mix(np.arange(near.shape[1], dtype=np.uint64)) | np.uint64(1)), axis=1, out=total[:, 1:])
+    own, label, members = mix(v.view(np.uint64)), np.arange(n), np.ones(n, np.int64)
+    pairs: list[np.ndarray] = []
+    for i in range(1 - STEP, least):
+        start, stop = span - i, span - i + least
+        rows = np.flatnonzero((near[:, start] != 0) & (near[:, stop - 1] != 0))
+        key = mix(total[rows, stop] - total[rows, start] ^ own[rows])
+        order = np.argsort(key, kind="stable")
+        rows, key = rows[order], key[order]
+        new = np.ones(len(rows), bool)
+        new[1:] = key[1:] != key[:-1]
+        group = np.cumsum(new) - 1
+        lead, size = rows[new][group], np.bincount(group, minlength=int(new.sum()))[group]
+        more = size > members[rows]
+        label[rows[more]], members[rows[more]] = n * (i + STEP) + lead[more], size[more]
+        pairs.append(np.column_stack([rows[~new], lead[~new], np.full(len(rows) - int(new.sum()), i)]))
+    rows, lead, i = np.concatenate(pairs).T
+    order = np.lexsort((i, lead, rows))
+    rows, lead, i = rows[order], lead[order], i[order]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[1:] != rows[:-1]) | (lead[1:] != lead[:-1])
+    last = np.append(new[1:], True)[: len(new)]
+    return _links(doc, mid, rows[new], lead[new], i[last], least - 1 - i[new]), label
+
+
+def share_hubs(v: np.ndarray, doc: np.ndarray, mid: np.ndarray, near: np.ndarray, label: np.ndarray, width: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Joins windows with the first HUBS of equal v that no other of them is joined with, where ``least`` of ``width`` shingles agree in place; the rows, and labels: joined windows have that of their hub."""
+    span, label, out = near.shape[1] // 2, label.copy(), [np.empty((0, 5), np.int64)]
+    rows = np.arange(len(v))
+    for _ in range(HUBS):
+        if not len(rows):
+            break
+        first = np.ones(len(rows), bool)
+        first[1:] = v[rows[1:]] != v[rows[:-1]]
+        hub = rows[first][np.cumsum(first) - 1]
+        known = (near[rows] != 0) & (near[hub] != 0)
+        agree, there = (np.pad(np.cumsum(x, axis=1, dtype=np.int32), ((0, 0), (1, 0))) for x in ((near[rows] == near[hub]) & known, known))
+        close = ((agree[:, width:] - agree[:, :-width] >= least) & (there[:, width:] - there[:, :-width] == width)).any(axis=1)
+        r, q = rows[close & ~first], hub[close & ~first]
+        out.append(_links(doc, mid, r, q, (near[q, :span] != 0).sum(axis=1), (near[q, span + 1 :] != 0).sum(axis=1)))
+        label[r], label[hub[first]] = q, hub[first]
+        rows = rows[~close & ~first]
+    return np.concatenate(out), label
+
+
+def share_most(v: np.ndarray, doc: np.ndarray, mid: np.ndarray, near: np.ndarray, label: np.ndarray, need: int) -> np.ndarray:
+    """Joins windows of equal v, but not of one label, of whose triples of neighbouring shingles ``need`` or more are equal.
+
+    Of a window's triples all but the need - 1 most frequent ones are looked up: two windows with so many in common have one of these in common.
+    """
+    span, n = near.shape[1] // 2, len(v)
+    x = near.astype(np.uint64)
+    token = mix((x[:, :-2] | x[:, 1:-1] << np.uint64(8) | x[:, 2:] << np.uint64(16)) + mix(v.view(np.uint64))[:, None])
+    token[(near[:, :-2] == 0) | (near[:, 1:-1] == 0) | (near[:, 2:] == 0)] = _GONE - np.uint64(1)
+    token.sort(axis=1)
+    place = np.broadcast_to(np.arange(token.shape[1]), token.shape)
+    again = np.zeros(token.shape, bool)
+    again[:, 1:] = token[:, 1:] == token[:, :-1]
+    nth = place - np.maximum.accumulate(np.where(again, 0, place), axis=1)  # a triple that stands n times is n triples
+    there = token != _GONE - np.uint64(1)
+    names, token, count = np.unique(mix(token + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_inverse=True, return_counts=True)
+    token = token.reshape(there.shape)
+    many = there.sum(axis=1)
+    rarest = np.where(there, count[token] * len(names) + token, np.iinfo(np.int64).max)
+    rarest.sort(axis=1)
+    looked = (place < (many - need + 1)[:, None]) & (rarest >= 2 * len(names))
+    rows, at = np.nonzero(looked)
+    post = rarest[rows, at] % len(names)
+    order = np.argsort(post, kind="stable")  # by triple, then by window
+    rows, post = rows[order], post[order]
+    end = np.searchsorted(post, post, side="right")
+    bits = np.zeros((n, _BITS // 64), np.uint64)
+    r, c = np.nonzero(there)
+    np.bitwise_or.at(bits, (r, token[r, c] % _BITS >> 6), np.uint64(1) << (token[r, c] % 64).astype(np.uint64))
+    lone = np.where(there, token, -1 - place)
+    turn = np.argsort(rows, kind="stable")  # all triples of a window follow each other
+    after = np.cumsum((end - np.arange(len(rows)) - 1)[turn])
+    edge = np.append(np.flatnonzero(np.diff(rows[turn])) + 1, len(turn)) if len(turn) else np.empty(0, np.int64)
+    out, first = [np.empty((0, 5), np.int64)], 0
+    while first < len(turn):
+        done = after[first - 1] if first else 0
+        stop = int(edge[min(max(int(np.searchsorted(after[edge - 1], done + PAIRS, side="right")) - 1, int(np.searchsorted(edge, first, side="right"))), len(edge) - 1)])
+        own, first = turn[first:stop], stop
+        follow = end[own] - own - 1
+        a = np.repeat(own, follow)
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(follow) - follow, follow)
+        a, b = rows[a], rows[b]
+        new = (label[a] != label[b]) & (doc[a] != doc[b])
+        a, b = np.divmod(np.unique(a[new] * n + b[new]), n)
+        for i in range(0, len(a), 20_000):
+            p, q = a[i : i + 20_000], b[i : i + 20_000]
+            maybe = many[p] + many[q] - np.bitwise_count(bits[p] | bits[q]).sum(axis=1) >= need
+            p, q = p[maybe], q[maybe]
+            both = np.sort(np.concatenate([lone[p], lone[q]], axis=1), axis=1)
+            enough = ((both[:, 1:] == both[:, :-1]) & (both[:, 1:] >= 0)).sum(axis=1) >= need
+            p, q = p[enough], q[enough]  # p is the earlier one, of the smaller document
+            out.append(_links(doc, mid, q, p, (near[p, :span] != 0).sum(axis=1), (near[p, span + 1 :] != 0).sum(axis=1)))
+    return np.concatenate(out)
+
+
+def join_texts(v: np.ndarray, doc: np.ndarray, mid: np.ndarray, near: np.ndarray, width: int, similarity: float) -> np.ndarray:
+    """Joins the windows of equal least shingle by the text around it, ``near``: as many bytes of shingles before it as after it.
+
+    Windows of equal text are joined with the first of them, those that share a
+    run long enough for the similarity with the first that holds it, and all
+    others each with each if they have enough of their shingles in common.
+    """
+    found, kept = copies(v, doc, mid, near)
+    v, doc, mid, near = v[kept], doc[kept], mid[kept], near[kept]
+    several = np.zeros(len(v), bool)
+    several[1:] = v[1:] == v[:-1]
+    several[:-1] |= several[1:]
+    v, doc, mid, near = v[several], doc[several], mid[several], near[several]
+    if not len(v):
+        return found
+    least = _least_equal(width, similarity)
+    runs, label = share_runs(v, doc, mid, near, least)
+    hubs, label = share_hubs(v, doc, mid, near, label, width, least)
+    # a run of n shingles has n - 2 triples; a word inserted parts a run in two and costs 4 shingles
+    need = least - 2 * (1 + (width - least) // (SHINGLE - 1))
+    return np.concatenate([found, runs, hubs, share_most(v, doc, mid, near, label, max(1, need))])
+
+
+def _marks(keys: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for h in (keys, mix(keys)):
+        at = h & np.uint64(size - 1)
+        yield (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)
+
+
+def key_bits(keys: np.ndarray) -> np.ndarray:
+    """Two bits of each key, among at least 32 for each."""
+    bits = np.zeros(1 << max(13, (4 * len(keys)).bit_length()), np.uint8)
+    for byte, bit in _marks(keys, 8 * len(bits)):
+        np.bitwise_or.at(bits, byte, bit)
+    return bits
+
+
+def told(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys are among those of the bits, and a few others."""
+    out = np.ones(len(keys), bool)
+    for byte, bit in _marks(keys, 8 * len(bits)):
+        out &= bits[byte] & bit != 0
+    return out
+
+
+def text_around(grams: np.ndarray, mid: np.ndarray, starts: np.ndarray, stops: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For windows of the least shingles ``mid`` of the texts starts..stops: text, position, and a byte of each shingle up to ``span`` before and after it (0 beyond the text).
+
+    In a run of one shingle each position is the least of a window. Of every
+    STEP of them only the first is returned, whose span has room for the others.
+    """
+    at = np.arange(len(grams))
+    new = np.ones(len(grams), bool)
+    new[1:] = grams[1:] != grams[:-1]
+    new[starts[starts < len(grams)]] = True
+    mid = np.unique(mid - (mid - np.maximum.accumulate(np.where(new, at, 0))[mid]) % STEP)
+    own = np.searchsorted(starts, mid, side="right") - 1
+    spot = mid[:, None] + np.arange(-span, span + 1)
+    inside = (spot >= starts[own][:, None]) & (spot < stops[own][:, None])
+    return own, mid, np.where(inside, _codes(grams)[np.clip(spot, 0, max(0, len(grams) - 1))], np.uint8(0))
+
+
+_VALUES = np.random.default_rng(5).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
 _WINDOW_ROW = "kind byte, a long, b long, c long, d long, e long"
 
 
@@ -190,29 +418,46 @@ def _rows(kind: int, *cols: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch([pa.array(np.full(n, kind, np.int8)), *(pa.array(np.ascontiguousarray(c)) for c in cols)], names=["kind", "a", "b", "c", "d", "e"])
 
 
-def candidate_pairs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``(doc_id, ref, diagonal, lo, hi)``: where a document may hold a passage of another, in shingle positions of ``ref``."""
+def _windows_of(grams: np.ndarray, starts: np.ndarray, stops: np.ndarray, width: int, reach: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """``(lo, mid, hi, text, before, after)`` of the windows of the texts starts..stops, for each hash function."""
+    for seed in _SEEDS:
+        lo, mid, hi = compact_windows(mix(grams ^ seed) >> np.uint64(25), width, starts, stops)
+        own = np.searchsorted(starts, mid, side="right") - 1
+        yield lo, mid, hi, own, *surroundings(grams, reach, mid, starts[own], stops[own])
+
+
+def _text_rows(v: np.ndarray, doc: np.ndarray, mid: np.ndarray, near: np.ndarray) -> pa.RecordBatch:
+    rows = _rows(1, v, doc, mid)
+    return rows.append_column("near", pa.array([x.tobytes() for x in near], pa.binary()))
+
+
+def _link_rows(found: np.ndarray) -> pa.RecordBatch:
+    rows = _rows(0, *np.unique(found, axis=0).T)
+    return rows.append_column("near", pa.nulls(rows.num_rows, pa.binary()))
+
+
+def candidate_pairs(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """``(doc_id, ref, diagonal, lo, hi)``: where a document may hold a passage of another, in shingle positions of ``ref``. Its ``_reads`` is a table to be dropped when this is read."""
     width, reach = min_words - SHINGLE + 1, _reach(min_words)
+    span = width - 1 + SHINGLE - 1 + STEP  # of a passage with a word inserted, from the first window of a STEP on
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols: list[list[np.ndarray]] = [[], [], [], [], []]
         held = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            own = [np.concatenate(c) for c in cols]
-            found, needed = pair_up(*own, width, last=False)
+            own, crowds = [np.concatenate(c) for c in cols], [np.empty(0, np.uint64)]
+            found, needed = pair_up(*own, width, last=False, crowds=crowds)
             yield _rows(0, *found.T)
             yield _rows(1, *(c[needed] for c in own))
+            yield _rows(2, np.unique(np.concatenate(crowds)).view(np.int64))
 
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for first, last, words, bounds in chunks(batch.column(1)):
                 grams = shingle_hashes(words, SHINGLE)
                 starts, stops = bounds[:-1], np.maximum(bounds[1:] - SHINGLE + 1, bounds[:-1])
-                for seed in _SEEDS:
-                    lo, mid, hi = compact_windows(mix(grams ^ seed) >> np.uint64(25), width, starts, stops)
-                    own = np.searchsorted(starts, mid, side="right") - 1
-                    before, after = surroundings(grams, reach, mid, starts[own], stops[own])
+                for lo, mid, hi, own, before, after in _windows_of(grams, starts, stops, width, reach):
                     for c, x in zip(cols, (grams[mid].view(np.int64), (before << np.uint64(32) | after).view(np.int64), ids[first:last][own], mid - starts[own], _reaches(lo, mid, hi)), strict=True):
                         c.append(x)
                     held += len(mid)
@@ -225,22 +470,86 @@ def candidate_pairs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by a: windows of a shingle follow each other, and no more than HELD of them and a batch are held."""
         held: list[list[np.ndarray]] = []
+
+        def out(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            crowds = [np.empty(0, np.uint64)]
+            yield _rows(0, *pair_up(*cols, width, crowds=crowds)[0].T)
+            yield _rows(2, np.unique(np.concatenate(crowds)).view(np.int64))
+
         for batch in batches:
             kind, *rest = (c.to_numpy() for c in batch.columns)
-            if (kind == 0).any():
-                yield _rows(0, *(c[kind == 0] for c in rest))
+            for k in (0, 2):
+                if (kind == k).any():
+                    yield _rows(k, *(c[kind == k] for c in rest))
             held.append([c[kind == 1] for c in rest])
             if sum(len(h[0]) for h in held) >= HELD:
                 cols = [np.concatenate(c) for c in zip(*held, strict=True)]
                 end = int(np.searchsorted(cols[0], cols[0][-1]))  # windows of the last shingle may follow
-                yield _rows(0, *pair_up(*(c[:end] for c in cols), width)[0].T)
+                yield from out([c[:end] for c in cols])
                 held = [[c[end:] for c in cols]]
         if held:
-            yield _rows(0, *pair_up(*(np.concatenate(c) for c in zip(*held, strict=True)), width)[0].T)
+            yield from out([np.concatenate(c) for c in zip(*held, strict=True)])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    met = rows.mapInArrow(windows, _WINDOW_ROW).repartition(F.col("a")).sortWithinPartitions("a").mapInArrow(meet, _WINDOW_ROW)
-    return met.groupBy(F.col("a").alias("doc_id"), F.col("b").alias("ref"), F.col("c").alias("diagonal")).agg(F.min("d").alias("lo"), F.max("e").alias("hi"))
+    met = written(rows.mapInArrow(windows, _WINDOW_ROW).repartition(F.col("a")).sortWithinPartitions("a").mapInArrow(meet, _WINDOW_ROW), "passage-windows")
+    found = met.where("kind = 0").select("a", "b", "c", "d", "e")
+    keys = met.where("kind = 2").select("a").distinct().toArrow().column("a").to_numpy().view(np.uint64)
+    if len(keys):
+        bits = docs.sparkSession.sparkContext.broadcast(key_bits(keys))
+
+        def crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """The windows of large groups, with their texts; of those of equal text in a task one."""
+            cols: list[list[np.ndarray]] = [[], [], [], []]
+
+            def out() -> Iterator[pa.RecordBatch]:
+                own = [np.concatenate(c) for c in cols]
+                links, kept = copies(*own)
+                yield _link_rows(links)
+                for i in range(0, len(kept), 10_000):
+                    yield _text_rows(*(c[kept[i : i + 10_000]] for c in own))
+
+            for batch in batches:
+                ids = batch.column(0).to_numpy(zero_copy_only=False)
+                for first, last, words, bounds in chunks(batch.column(1)):
+                    grams = shingle_hashes(words, SHINGLE)
+                    starts, stops = bounds[:-1], np.maximum(bounds[1:] - SHINGLE + 1, bounds[:-1])
+                    hits = [np.empty(0, np.int64)]
+                    for _, mid, _, _, *sides in _windows_of(grams, starts, stops, width, reach):
+                        hit = np.zeros(len(mid), bool)
+                        for side, part in enumerate(sides):
+                            hit |= (part != 0) & told(bits.value, _group_key(grams[mid], part, side))
+                        hits.append(mid[hit])
+                    own, mid, near = text_around(grams, np.concatenate(hits), starts, stops, span)
+                    for c, x in zip(cols, (grams[mid].view(np.int64), ids[first:last][own], mid - starts[own], near), strict=True):
+                        c.append(x)
+                if sum(len(c) for c in cols[0]) >= 10 * TEXTS:
+                    yield from out()
+                    cols = [[], [], [], []]
+            if cols[0]:
+                yield from out()
+
+        def meet_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[list[np.ndarray]] = []
+            for batch in batches:
+                kind, *rest = (c.to_numpy() for c in batch.columns[:-1])
+                if (kind == 0).any():
+                    yield _rows(0, *(c[kind == 0] for c in rest))
+                own = kind == 1
+                near = np.frombuffer(b"".join(batch.column(6).drop_null().to_pylist()), np.uint8).reshape(-1, 2 * span + 1)
+                held.append([*(c[own] for c in rest[:3]), near])
+                if sum(len(h[0]) for h in held) >= TEXTS:
+                    cols = [np.concatenate(c) for c in zip(*held, strict=True)]
+                    end = int(np.searchsorted(cols[0], cols[0][-1]))
+                    yield _rows(0, *np.unique(join_texts(*(c[:end] for c in cols), width, similarity), axis=0).T)
+                    held = [[c[end:] for c in cols]]
+            if held:
+                yield _rows(0, *np.unique(join_texts(*(np.concatenate(c) for c in zip(*held, strict=True)), width, similarity), axis=0).T)
+
+        texts = rows.mapInArrow(crowded, _WINDOW_ROW + ", near binary").repartition(F.col("a")).sortWithinPartitions("a")
+        found = found.union(texts.mapInArrow(meet_texts, _WINDOW_ROW).select("a", "b", "c", "d", "e"))
+    out = found.groupBy(F.col("a").alias("doc_id"), F.col("b").alias("ref"), F.col("c").alias("diagonal")).agg(F.min("d").alias("lo"), F.max("e").alias("hi"))
+    out._reads = met
+    return out
 
 
 def alike(a: np.ndarray, b: np.ndarray, width: int, similarity: float) -> list[tuple[int, int, int]]:
@@ -430,8 +739,10 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
                 out += [(doc, ref, *r) for r in regions([(p["diagonal"], p["lo"], p["hi"]) for p in parts])]
             yield pa.record_batch([pa.array([o[c] for o in out], pa.int64()) for c in range(6)], names=["doc_id", "ref", "dlo", "dhi", "glo", "ghi"])
 
-    met = candidate_pairs(docs, min_words).groupBy("doc_id", "ref").agg(F.collect_list(F.struct("diagonal", "lo", "hi")).alias("parts"))
+    candidates = candidate_pairs(docs, min_words, similarity)
+    met = candidates.groupBy("doc_id", "ref").agg(F.collect_list(F.struct("diagonal", "lo", "hi")).alias("parts"))
     pairs = written(met.mapInArrow(place, "doc_id long, ref long, dlo long, dhi long, glo long, ghi long"), "passage-pairs")
+    drop(candidates._reads)
     # a stretch that many documents are compared with is dealt to as many tasks as they need
     stretch = ["ref", "glo", "ghi"]
     wide = pairs.groupBy(*stretch).count().where(F.col("count") > MEMBERS).select(*stretch, F.ceil(F.col("count") / MEMBERS).cast("int").alias("salts"))

@@ -10,7 +10,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from clausediff.llm import decontaminate, jaccard, line_dedup, mixing, pii, substrings, token_files, vectors
+from clausediff.llm import decontaminate, hashing, jaccard, line_dedup, mixing, pii, substrings, token_files, vectors
 from clausediff.llm.components import connected_components
 from clausediff.llm.queries.op3 import default_tokenizer
 from clausediff.llm.storage import new_folder
@@ -220,6 +220,28 @@ def test_windows_that_a_leader_does_not_cover_stay():
     assert all(frozenset((0, i)) in links for i in range(1, n))
 
 
+def test_a_common_phrase_hides_no_passage(spark):
+    """A phrase of 35 words with the least shingles of all texts, under every hash function: pairs of texts that share 59 words around it are found, not only links with the longest text."""
+    rng = random.Random(17)
+    some = lambda n: [f"y{rng.randrange(10**9)}" for _ in range(n)]
+    phrase: list[str] = []
+    for seed in (substrings._SIDE, *substrings._SEEDS, substrings._SIDE):
+        tried = some(100_000)
+        data = " ".join(tried).encode()
+        grams = substrings.shingle_hashes(hashing.word_hashes(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0], 5)
+        at = int((hashing.mix(grams ^ seed) >> np.uint64(25)).argmin())
+        phrase += tried[at : at + 5]
+    rows = [(1000, " ".join(some(900) + phrase + some(900)))]
+    for i in range(30):
+        before, after = some(12), some(12)
+        other = list(before)
+        other[i % 12] = some(1)[0] if i % 2 else other[i % 12]
+        rows += [(2 * i + j, " ".join(some(150) + words + phrase + after + some(150))) for j, words in enumerate((before, other))]
+    got = substrings.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {frozenset((r.doc_id, r.ref_doc_id)) for r in got} == {frozenset((2 * i, 2 * i + 1)) for i in range(30)}
+    assert all(r.n_words >= 50 and r.similarity >= 0.8 for r in got)
+
+
 def test_decontamination(spark, docs):
     item = PASSAGE.split()[:20]
     item[6], item[13] = "changed", "too"
