@@ -14,11 +14,12 @@ differences of positions, and verified on an alignment of their shingles.
 Windows of a group of FEW or less are joined each with each. Those of a larger
 group are read again with the text around their least shingle (``join_texts``).
 Windows of equal text are joined with the first of them, first within each task
-and then over all; windows that share a run long enough for a passage are joined
-with the first that holds it, and near copies with a hub; and of all others each
-pair is joined that has enough shingles in common. So a passage that a third of all documents share
-costs a few links per document, not one per pair, and two windows that share a
-passage are joined, or each with one that holds it too.
+and then over all; windows that share a run long enough for a passage lead to
+the first that holds it, by windows that hold it too; all others meet each other
+if they have enough shingles in common, until they are in one group by such links.
+So a passage that a third of all documents share costs a few links per document,
+not one per pair, and two windows that share a passage are joined, or lead to
+each other by windows that are near copies of the next one.
 """
 
 from __future__ import annotations
@@ -48,10 +49,11 @@ FEW = 8
 HELD = 500_000
 #: Documents that are compared with a stretch of a leader in one task; up to so many stretches of more are broadcast.
 MEMBERS, BROADCAST_ROWS = 2000, 200_000
-#: Windows that are joined by their texts at once (about 10 kB each), pairs of them that are listed at once, and bits that bound what they share.
-TEXTS, PAIRS, _BITS = 20_000, 1_000_000, 1024
-#: Windows of a shingle that others are joined with first; pairs of windows of one hub need no joining, all others meet.
-HUBS = 32
+#: Windows that are joined by their texts at once, unless more have one shingle (about 0.5 kB each), windows whose triples are looked up at once
+#: (about 10 kB each), pairs of them that are listed at once, and bits that bound what they share.
+TEXTS, BLOCK, PAIRS, _BITS = 20_000, 5000, 1_000_000, 1024
+#: How far a shingle of a near copy may be shifted against the least one: a passage of less than two widths has so many words inserted at most.
+_SHIFT = 22
 #: Of a run of one shingle each window so far apart stands for those up to the next one.
 STEP = 16
 _SEEDS = [np.uint64(int(x) * 2 + 1) for x in np.random.default_rng(99).integers(1, 2**62, HASHES)]
@@ -237,119 +239,232 @@ def copies(v: np.ndarray, doc: np.ndarray, mid: np.ndarray, near: np.ndarray) ->
     return _links(doc, mid, order, lead, before[lead], after[lead]), firsts[np.lexsort((mid[firsts], doc[firsts], v[firsts]))]
 
 
+def merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``label`` (the least member's number for each) once a and b are in one group."""
+    label = label.copy()
+    while True:
+        x, y = label[a], label[b]
+        if (x == y).all():
+            return label
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def hulls(found: np.ndarray) -> np.ndarray:
+    """Of the rows of a document, leader and difference of positions one, from the least to the greatest position."""
+    if not len(found):
+        return found
+    found = found[np.lexsort((found[:, 2], found[:, 1], found[:, 0]))]
+    new = np.flatnonzero(np.concatenate([[True], (found[1:, :3] != found[:-1, :3]).any(axis=1)]))
+    return np.column_stack([found[new, :3], np.minimum.reduceat(found[:, 3], new), np.maximum.reduceat(found[:, 4], new)])
+
+
 def share_runs(v: np.ndarray, doc: np.ndarray, mid: np.ndarray, near: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Joins windows that share a run of ``least`` shingles around the least one with the first that holds it; windows are in the order of v and doc.
+    """Joins windows that share a run of ``least`` shingles around the least one; windows are in the order of v and doc.
 
-    Returns the rows, and a number for each window: two windows of one number share a run.
+    A window stays with one earlier window as long as that holds each run that
+    others share, and goes to the first that holds it else. So of all windows
+    with a run each leads, by windows that hold it, to the first of them.
+    Returns the rows, and labels: those of joined windows are equal.
     """
     n, span = len(v), near.shape[1] // 2
-    total = np.zeros((n, near.shape[1] + 1), np.uint64)
-    np.cumsum(_VALUES[near] * (mix(np.arange(near.shape[1], dtype=np.uint64)) | np.uint64(1)), axis=1, out=total[:, 1:])
-    own, label, members = mix(v.view(np.uint64)), np.arange(n), np.ones(n, np.int64)
-    pairs: list[np.ndarray] = []
+    odd = mix(np.arange(near.shape[1], dtype=np.uint64)) | np.uint64(1)
+    own, lead, since, label = mix(v.view(np.uint64)), np.full(n, -1), np.zeros(n, np.int64), np.arange(n)
+    start = span + STEP - 1
+    total = np.zeros(n, np.uint64)  # of the run from start on
+    for col in range(start, start + least):
+        total += _VALUES[near[:, col]] * odd[col]
+    out = [np.empty((0, 5), np.int64)]
+
+    def ends(rows: np.ndarray, i: int) -> None:
+        """The windows leave what led them up to the run ``i``."""
+        rows = rows[lead[rows] >= 0]
+        out.append(_links(doc, mid, rows, lead[rows], np.full(len(rows), i), least - 1 - since[rows]))
+
     for i in range(1 - STEP, least):
         start, stop = span - i, span - i + least
-        rows = np.flatnonzero((near[:, start] != 0) & (near[:, stop - 1] != 0))
-        key = mix(total[rows, stop] - total[rows, start] ^ own[rows])
-        order = np.argsort(key, kind="stable")
-        rows, key = rows[order], key[order]
+        if i > 1 - STEP:
+            total += _VALUES[near[:, start]] * odd[start] - _VALUES[near[:, stop]] * odd[stop]
+        there = (near[:, start] != 0) & (near[:, stop - 1] != 0)
+        key = mix(total ^ own)
+        kept = there & (lead >= 0)
+        kept[kept] = (key[kept] == key[lead[kept]]) & there[lead[kept]]
+        rows = np.flatnonzero(there)
+        order = np.argsort(key[rows], kind="stable")
+        rows = rows[order]
         new = np.ones(len(rows), bool)
-        new[1:] = key[1:] != key[:-1]
-        group = np.cumsum(new) - 1
-        lead, size = rows[new][group], np.bincount(group, minlength=int(new.sum()))[group]
-        more = size > members[rows]
-        label[rows[more]], members[rows[more]] = n * (i + STEP) + lead[more], size[more]
-        pairs.append(np.column_stack([rows[~new], lead[~new], np.full(len(rows) - int(new.sum()), i)]))
-    rows, lead, i = np.concatenate(pairs).T
-    order = np.lexsort((i, lead, rows))
-    rows, lead, i = rows[order], lead[order], i[order]
-    new = np.ones(len(rows), bool)
-    new[1:] = (rows[1:] != rows[:-1]) | (lead[1:] != lead[:-1])
-    last = np.append(new[1:], True)[: len(new)]
-    return _links(doc, mid, rows[new], lead[new], i[last], least - 1 - i[new]), label
-
-
-def share_hubs(v: np.ndarray, doc: np.ndarray, mid: np.ndarray, near: np.ndarray, label: np.ndarray, width: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Joins windows with the first HUBS of equal v that no other of them is joined with, where ``least`` of ``width`` shingles agree in place; the rows, and labels: joined windows have that of their hub."""
-    span, label, out = near.shape[1] // 2, label.copy(), [np.empty((0, 5), np.int64)]
-    rows = np.arange(len(v))
-    for _ in range(HUBS):
-        if not len(rows):
-            break
-        first = np.ones(len(rows), bool)
-        first[1:] = v[rows[1:]] != v[rows[:-1]]
-        hub = rows[first][np.cumsum(first) - 1]
-        known = (near[rows] != 0) & (near[hub] != 0)
-        agree, there = (np.pad(np.cumsum(x, axis=1, dtype=np.int32), ((0, 0), (1, 0))) for x in ((near[rows] == near[hub]) & known, known))
-        close = ((agree[:, width:] - agree[:, :-width] >= least) & (there[:, width:] - there[:, :-width] == width)).any(axis=1)
-        r, q = rows[close & ~first], hub[close & ~first]
-        out.append(_links(doc, mid, r, q, (near[q, :span] != 0).sum(axis=1), (near[q, span + 1 :] != 0).sum(axis=1)))
-        label[r], label[hub[first]] = q, hub[first]
-        rows = rows[~close & ~first]
+        new[1:] = key[rows[1:]] != key[rows[:-1]]
+        first = rows[new][np.cumsum(new) - 1]
+        ends(np.flatnonzero(~kept & (lead >= 0)), i - 1)
+        lead[~kept] = -1
+        go = ~new & ~kept[rows]
+        label = merged(label, rows[go], first[go])
+        go &= doc[rows] != doc[first]
+        lead[rows[go]], since[rows[go]] = first[go], i
+    ends(np.flatnonzero(lead >= 0), least - 1)
     return np.concatenate(out), label
 
 
-def share_most(v: np.ndarray, doc: np.ndarray, mid: np.ndarray, near: np.ndarray, label: np.ndarray, need: int) -> np.ndarray:
-    """Joins windows of equal v, but not of one label, of whose triples of neighbouring shingles ``need`` or more are equal.
+_NONE = np.uint64(2**64 - 1)
 
-    Of a window's triples all but the need - 1 most frequent ones are looked up: two windows with so many in common have one of these in common.
-    """
-    span, n = near.shape[1] // 2, len(v)
+
+def _triples(v: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the windows' triples of neighbouring shingles, sorted, and how many there are; one that stands n times is n triples."""
     x = near.astype(np.uint64)
     token = mix((x[:, :-2] | x[:, 1:-1] << np.uint64(8) | x[:, 2:] << np.uint64(16)) + mix(v.view(np.uint64))[:, None])
-    token[(near[:, :-2] == 0) | (near[:, 1:-1] == 0) | (near[:, 2:] == 0)] = _GONE - np.uint64(1)
+    token[(near[:, :-2] == 0) | (near[:, 1:-1] == 0) | (near[:, 2:] == 0)] = _NONE
     token.sort(axis=1)
-    place = np.broadcast_to(np.arange(token.shape[1]), token.shape)
+    place = np.arange(token.shape[1])
     again = np.zeros(token.shape, bool)
     again[:, 1:] = token[:, 1:] == token[:, :-1]
-    nth = place - np.maximum.accumulate(np.where(again, 0, place), axis=1)  # a triple that stands n times is n triples
-    there = token != _GONE - np.uint64(1)
-    names, token, count = np.unique(mix(token + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_inverse=True, return_counts=True)
-    token = token.reshape(there.shape)
-    many = there.sum(axis=1)
-    rarest = np.where(there, count[token] * len(names) + token, np.iinfo(np.int64).max)
-    rarest.sort(axis=1)
-    looked = (place < (many - need + 1)[:, None]) & (rarest >= 2 * len(names))
-    rows, at = np.nonzero(looked)
-    post = rarest[rows, at] % len(names)
-    order = np.argsort(post, kind="stable")  # by triple, then by window
-    rows, post = rows[order], post[order]
-    end = np.searchsorted(post, post, side="right")
-    bits = np.zeros((n, _BITS // 64), np.uint64)
-    r, c = np.nonzero(there)
-    np.bitwise_or.at(bits, (r, token[r, c] % _BITS >> 6), np.uint64(1) << (token[r, c] % 64).astype(np.uint64))
-    lone = np.where(there, token, -1 - place)
-    turn = np.argsort(rows, kind="stable")  # all triples of a window follow each other
-    after = np.cumsum((end - np.arange(len(rows)) - 1)[turn])
-    edge = np.append(np.flatnonzero(np.diff(rows[turn])) + 1, len(turn)) if len(turn) else np.empty(0, np.int64)
-    out, first = [np.empty((0, 5), np.int64)], 0
-    while first < len(turn):
-        done = after[first - 1] if first else 0
-        stop = int(edge[min(max(int(np.searchsorted(after[edge - 1], done + PAIRS, side="right")) - 1, int(np.searchsorted(edge, first, side="right"))), len(edge) - 1)])
-        own, first = turn[first:stop], stop
-        follow = end[own] - own - 1
-        a = np.repeat(own, follow)
-        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(follow) - follow, follow)
-        a, b = rows[a], rows[b]
-        new = (label[a] != label[b]) & (doc[a] != doc[b])
-        a, b = np.divmod(np.unique(a[new] * n + b[new]), n)
-        for i in range(0, len(a), 20_000):
-            p, q = a[i : i + 20_000], b[i : i + 20_000]
-            maybe = many[p] + many[q] - np.bitwise_count(bits[p] | bits[q]).sum(axis=1) >= need
-            p, q = p[maybe], q[maybe]
-            both = np.sort(np.concatenate([lone[p], lone[q]], axis=1), axis=1)
-            enough = ((both[:, 1:] == both[:, :-1]) & (both[:, 1:] >= 0)).sum(axis=1) >= need
-            p, q = p[enough], q[enough]  # p is the earlier one, of the smaller document
-            out.append(_links(doc, mid, q, p, (near[p, :span] != 0).sum(axis=1), (near[p, span + 1 :] != 0).sum(axis=1)))
+    there = token != _NONE
+    if (again & there).any():
+        nth = place - np.maximum.accumulate(np.where(again, 0, place), axis=1)
+        token = np.where(there & (nth > 0), mix(token + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), token)
+    return token, there.sum(axis=1)
+
+
+def _blocks(n: int, size: int) -> Iterator[slice]:
+    return (slice(i, min(n, i + size)) for i in range(0, n, size))
+
+
+def dense(x: np.ndarray, y: np.ndarray, width: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """For pairs of windows' texts, whether ``width`` positions or more of x stand in y too, so large a share as the similarity takes of the shorter passage; and of y in x.
+
+    A position stands in the other text if it is equal in place, or with a neighbour no more than _SHIFT further on or back. Of passages of n
+    and m shingles, s of them equal, n + m is at most s (1 + similarity) / similarity, and twice the smaller of n and m at most that.
+    """
+    x, y = np.ascontiguousarray(x.T), np.ascontiguousarray(y.T)
+    cols, share = len(x), 2 * similarity / (1 + similarity)
+    in_x = (x == y) & (x != 0)
+    in_y = in_x.copy()
+    for d in range(-_SHIFT, _SHIFT + 1):
+        if d:
+            a, b, n = max(0, -d), max(0, d), cols - abs(d)
+            same = x[a : a + n] == y[b : b + n]
+            same &= x[a : a + n] != 0
+            two = same[1:] & same[:-1]
+            for found, at in ((in_x, a), (in_y, b)):
+                found[at : at + n - 1] |= two
+                found[at + 1 : at + n] |= two
+    out = []
+    for found in (in_x, in_y):
+        total = np.zeros((cols + 1, x.shape[1]), np.float32)
+        np.cumsum(np.where(found, np.float32(1), np.float32(-share / (1 - share))), axis=0, out=total[1:])
+        out.append((total[width:] - np.minimum.accumulate(total[: cols + 1 - width], axis=0) >= -1e-3).any(axis=0))
+    return out[0], out[1]
+
+
+def share_most(v: np.ndarray, doc: np.ndarray, mid: np.ndarray, near: np.ndarray, label: np.ndarray, need: int, width: int, similarity: float) -> np.ndarray:
+    """Joins windows of equal v, but not of one label, of whose triples of neighbouring shingles ``need`` or more are equal.
+
+    Of a window's triples all but the need - 1 most frequent ones are looked up: two windows with so many in common have one of these in common.
+    Frequencies are those in up to BLOCK windows; any order of the triples serves. Of more windows a part of the triples is looked up
+    at a time. Windows that are ``dense`` in each other get one label: no others of their two groups need to meet.
+    """
+    n, span = len(v), near.shape[1] // 2
+    sample = np.arange(n) if n <= BLOCK else np.linspace(0, n - 1, BLOCK).astype(np.int64)
+    names, count = np.unique(_triples(v[sample], near[sample])[0], return_counts=True)
+    names, count = names[(count > 1) & (names != _NONE)], count[(count > 1) & (names != _NONE)]
+    bits, many = np.zeros((n, _BITS // 64), np.uint64), np.zeros(n, np.int64)
+    before, after = (near[:, :span] != 0).sum(axis=1), (near[:, span + 1 :] != 0).sum(axis=1)
+    out, parts = [np.empty((0, 5), np.int64)], -(-n // BLOCK)
+    low = np.uint64((1 << 40) - 1)
+
+    def posts(part: int) -> tuple[np.ndarray, np.ndarray]:
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for block in _blocks(n, 2000):
+            token, many[block] = _triples(v[block], near[block])
+            there = token != _NONE
+            if not part:
+                r, c = np.nonzero(there)
+                np.bitwise_or.at(bits, (r + block.start, (token[r, c] % np.uint64(_BITS)).astype(np.int64) >> 6), np.uint64(1) << token[r, c] % np.uint64(64))
+            often = np.zeros(token.shape, np.uint64)
+            if len(names):
+                at = np.minimum(np.searchsorted(names, token), len(names) - 1)
+                often = np.where(names[at] == token, count[at].astype(np.uint64), np.uint64(0))
+            rarest = np.where(there, often << np.uint64(40) | token & low, _NONE)
+            rarest.sort(axis=1)
+            looked = (np.arange(token.shape[1]) < (many[block] - need + 1)[:, None]) & (rarest % np.uint64(parts) == np.uint64(part))
+            if n <= BLOCK:
+                looked &= rarest >> np.uint64(40) != 0  # others have no partner
+            r, c = np.nonzero(looked)
+            found.append((r + block.start, rarest[r, c]))
+        rows, post = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(post, kind="stable")
+        return rows[order], post[order]
+
+    for part in range(parts):
+        rows, post = posts(part)
+        fresh, most = True, PAIRS // 16
+        while len(rows):
+            if fresh:  # within a triple, windows of one label follow each other; a triple of one label alone is done
+                order = np.lexsort((rows, label[rows], post))
+                rows, post = rows[order], post[order]
+                fresh = False
+            own = label[rows]
+            new = np.flatnonzero(np.concatenate([[True], post[1:] != post[:-1]]))
+            end = np.repeat(np.append(new[1:], len(rows)), np.diff(np.append(new, len(rows))))
+            new = np.flatnonzero(np.concatenate([[True], (post[1:] != post[:-1]) | (own[1:] != own[:-1])]))
+            next_own = np.repeat(np.append(new[1:], len(rows)), np.diff(np.append(new, len(rows))))
+            first = np.concatenate([[True], post[1:] != post[:-1]])
+            alone = (next_own == end) & (own == own[np.maximum.accumulate(np.where(first, np.arange(len(rows)), 0))])
+            if alone.any():
+                rows, post = rows[~alone], post[~alone]
+                continue
+            total = np.cumsum(end - next_own)
+            stop = max(1, int(np.searchsorted(total, most, side="right")))
+            follow = (end - next_own)[:stop]
+            b = np.repeat(next_own[:stop], follow) + np.arange(int(total[stop - 1])) - np.repeat(total[:stop] - follow, follow)
+            pair = np.unique(np.minimum(x := np.repeat(rows[:stop], follow), y := rows[b]) * n + np.maximum(x, y))
+            rows, post, most = rows[stop:], post[stop:], min(PAIRS, 2 * most)
+            p, q = np.divmod(pair, n)
+            for block in _blocks(len(pair), 10_000):
+                a, b = p[block], q[block]
+                maybe = (label[a] != label[b]) & (doc[a] != doc[b])
+                a, b = a[maybe], b[maybe]
+                maybe = many[a] + many[b] - np.bitwise_count(bits[a] | bits[b]).sum(axis=1) >= need
+                a, b = a[maybe], b[maybe]
+                for some in _blocks(len(a), 1000):
+                    c, d = a[some], b[some]
+                    apart = label[c] != label[d]
+                    c, d = c[apart], d[apart]
+                    one, other = dense(near[c], near[d], width, similarity)
+                    c, d, sure, tries = c[one | other], d[one | other], (one & other)[one | other], 1
+                    while len(c):  # of each two groups a few at a time
+                        x, y = label[c], label[d]
+                        apart = x != y
+                        c, d, sure, x, y = c[apart], d[apart], sure[apart], x[apart], y[apart]
+                        if not len(c):
+                            break
+                        groups = np.minimum(x, y) * n + np.maximum(x, y)
+                        order = np.argsort(groups, kind="stable")
+                        c, d, sure, groups = c[order], d[order], sure[order], groups[order]
+                        new = np.concatenate([[True], groups[1:] != groups[:-1]])
+                        nth = np.arange(len(c)) - np.maximum.accumulate(np.where(new, np.arange(len(c)), 0))
+                        now = nth < tries
+                        out.append(_links(doc, mid, d[now], c[now], before[c[now]], after[c[now]]))  # c is the earlier one, of the smaller document
+                        if (now & sure).any():
+                            label, fresh = merged(label, c[now & sure], d[now & sure]), True
+                        c, d, sure, tries = c[~now], d[~now], sure[~now], 2 * tries
     return np.concatenate(out)
 
 
+def _parted(v: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Which windows, in the order of v, have a v of several labels."""
+    first = np.concatenate([[True], v[1:] != v[:-1]])
+    group = np.cumsum(first) - 1
+    return np.bincount(group, label != label[first][group])[group] > 0
+
+
 def join_texts(v: np.ndarray, doc: np.ndarray, mid: np.ndarray, near: np.ndarray, width: int, similarity: float) -> np.ndarray:
     """Joins the windows of equal least shingle by the text around it, ``near``: as many bytes of shingles before it as after it.
 
     Windows of equal text are joined with the first of them, those that share a
-    run long enough for the similarity with the first that holds it, and all
-    others each with each if they have enough of their shingles in common.
+    run long enough for the similarity lead to the first that holds it, and all
+    others meet each other, if they have enough of their shingles in common,
+    until links that hold in order have joined them.
     """
     found, kept = copies(v, doc, mid, near)
     v, doc, mid, near = v[kept], doc[kept], mid[kept], near[kept]
@@ -358,13 +473,21 @@ def join_texts(v: np.ndarray, doc: np.ndarray, mid: np.ndarray, near: np.ndarray
     several[:-1] |= several[1:]
     v, doc, mid, near = v[several], doc[several], mid[several], near[several]
     if not len(v):
-        return found
+        return hulls(found)
     least = _least_equal(width, similarity)
     runs, label = share_runs(v, doc, mid, near, least)
-    hubs, label = share_hubs(v, doc, mid, near, label, width, least)
+    out = [found, runs]
     # a run of n shingles has n - 2 triples; a word inserted parts a run in two and costs 4 shingles
-    need = least - 2 * (1 + (width - least) // (SHINGLE - 1))
-    return np.concatenate([found, runs, hubs, share_most(v, doc, mid, near, label, max(1, need))])
+    need = max(1, least - 2 * (1 + (width - least) // (SHINGLE - 1)))
+    left = np.flatnonzero(_parted(v, label))
+    while len(left):  # whole groups, about BLOCK windows at a time
+        stop = int(np.searchsorted(v[left], v[left[min(len(left), BLOCK) - 1]], side="right"))
+        now, left = left[:stop], left[stop:]
+        _, own = np.unique(label[now], return_inverse=True)
+        least_of = np.full(own.max() + 1, len(now))
+        np.minimum.at(least_of, own, np.arange(len(now)))
+        out.append(share_most(v[now], doc[now], mid[now], near[now], least_of[own], need, width, similarity))
+    return hulls(np.concatenate(out))
 
 
 def _marks(keys: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -432,7 +555,7 @@ def _text_rows(v: np.ndarray, doc: np.ndarray, mid: np.ndarray, near: np.ndarray
 
 
 def _link_rows(found: np.ndarray) -> pa.RecordBatch:
-    rows = _rows(0, *np.unique(found, axis=0).T)
+    rows = _rows(0, *hulls(found).T)
     return rows.append_column("near", pa.nulls(rows.num_rows, pa.binary()))
 
 
@@ -473,7 +596,7 @@ def candidate_pairs(docs: DataFrame, min_words: int = MIN_WORDS, similarity: flo
 
         def out(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             crowds = [np.empty(0, np.uint64)]
-            yield _rows(0, *pair_up(*cols, width, crowds=crowds)[0].T)
+            yield _rows(0, *hulls(pair_up(*cols, width, crowds=crowds)[0]).T)
             yield _rows(2, np.unique(np.concatenate(crowds)).view(np.int64))
 
         for batch in batches:
@@ -536,14 +659,15 @@ def candidate_pairs(docs: DataFrame, min_words: int = MIN_WORDS, similarity: flo
                     yield _rows(0, *(c[kind == 0] for c in rest))
                 own = kind == 1
                 near = np.frombuffer(b"".join(batch.column(6).drop_null().to_pylist()), np.uint8).reshape(-1, 2 * span + 1)
-                held.append([*(c[own] for c in rest[:3]), near])
-                if sum(len(h[0]) for h in held) >= TEXTS:
+                if own.any():
+                    held.append([*(c[own] for c in rest[:3]), near])
+                if sum(len(h[0]) for h in held) >= TEXTS and held[0][0][0] != held[-1][0][-1]:
                     cols = [np.concatenate(c) for c in zip(*held, strict=True)]
                     end = int(np.searchsorted(cols[0], cols[0][-1]))
-                    yield _rows(0, *np.unique(join_texts(*(c[:end] for c in cols), width, similarity), axis=0).T)
+                    yield _rows(0, *join_texts(*(c[:end] for c in cols), width, similarity).T)
                     held = [[c[end:] for c in cols]]
             if held:
-                yield _rows(0, *np.unique(join_texts(*(np.concatenate(c) for c in zip(*held, strict=True)), width, similarity), axis=0).T)
+                yield _rows(0, *join_texts(*(np.concatenate(c) for c in zip(*held, strict=True)), width, similarity).T)
 
         texts = rows.mapInArrow(crowded, _WINDOW_ROW + ", near binary").repartition(F.col("a")).sortWithinPartitions("a")
         found = found.union(texts.mapInArrow(meet_texts, _WINDOW_ROW).select("a", "b", "c", "d", "e"))

@@ -373,3 +373,44 @@ def test_votes_become_probabilities():
     assert ((scores >= 0.5) == truth).mean() > 0.85
     for part in (scores < 0.3, scores >= 0.7):  # of what is called so likely, about so much is
         assert abs(scores[part].mean() - truth[part].mean()) < 0.1
+
+
+def test_near_copies_of_one_shingle_are_joined_without_all_their_pairs(monkeypatch):
+    rng = np.random.default_rng(11)
+    base, n = rng.integers(1, 2**62, 135, dtype=np.uint64), 400
+    near = []
+    for _ in range(n):
+        words = [int(w) for w in base]
+        for side in ((8, 60), (75, 125)):  # a word replaced, one inserted and one deleted, apart from the middle
+            at = int(rng.integers(*side))
+            words[at : at + int(rng.integers(2))] = rng.integers(1, 2**62, int(rng.integers(2))).tolist()
+        middle = words.index(int(base[67]))
+        near.append(substrings._codes(substrings.shingle_hashes(np.array([0] * 80 + words + [0] * 80, np.uint64), 5))[middle + 80 - 65 : middle + 80 + 66])
+    lone = rng.integers(1, 256, (n, 131)).astype(np.uint8)  # others share but the middle
+    texts = np.concatenate([np.array(near, np.uint8), lone])
+    v, doc, mid = np.full(2 * n, 7), np.arange(2 * n), np.full(2 * n, 70)
+    for block in (substrings.BLOCK, 150):  # at once, and a part of the triples at a time
+        monkeypatch.setattr(substrings, "BLOCK", block)
+        links = substrings.join_texts(v, doc, mid, texts, 46, 0.8)
+        assert len(links) < 8 * n
+        label = substrings.merged(np.arange(2 * n), links[:, 0], links[:, 1])
+        assert (label[:n] == 0).all()
+        assert (label[n:] == np.arange(n, 2 * n)).all()
+
+
+def test_windows_with_a_common_run_lead_to_the_first_that_holds_it():
+    rng = np.random.default_rng(12)
+    left, right = rng.integers(1, 256, (2, 4, 65)).astype(np.uint8)
+    near = np.array([np.concatenate([left[i], [9], right[j]]) for i in range(4) for j in range(4)], np.uint8)
+    near[:, :30] = rng.integers(1, 256, (16, 30))
+    v, doc, mid = np.full(16, 7), np.arange(16), np.full(16, 70)
+    rows, label = substrings.share_runs(v, doc, mid, near, 41)
+    for start in range(25, 66):  # runs that hold the middle
+        keys = {}
+        for w in range(16):
+            keys.setdefault(near[w, start : start + 41].tobytes(), []).append(w)
+        for own in keys.values():
+            held = [(a, b) for a, b, d, lo, hi in rows.tolist() if a in own and b in own and lo <= 70 + start - 65 and 70 + start - 65 + 40 <= hi]
+            joined = substrings.merged(np.arange(16), *(np.array([h[k] for h in held], np.int64) for k in (0, 1)))
+            assert len(set(joined[own].tolist())) == 1
+            assert len(set(label[own].tolist())) == 1
