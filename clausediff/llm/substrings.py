@@ -54,7 +54,7 @@ MEMBERS, BROADCAST_ROWS = 2000, 200_000
 TEXTS, BLOCK, PAIRS, _BITS = 20_000, 5000, 1_000_000, 1024
 #: How far a shingle of a near copy may be shifted against the least one: a passage of less than two widths has so many words inserted at most.
 _SHIFT = 22
-#: Of a run of one shingle each window so far apart stands for those up to the next one.
+#: Of a shingle that a run of words says over and over each window so far apart stands for those up to the next one.
 STEP = 16
 _SEEDS = [np.uint64(int(x) * 2 + 1) for x in np.random.default_rng(99).integers(1, 2**62, HASHES)]
 _SIDE = np.uint64(0x5851F42D4C957F2D)
@@ -512,17 +512,36 @@ def told(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def text_around(grams: np.ndarray, mid: np.ndarray, starts: np.ndarray, stops: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For windows of the least shingles ``mid`` of the texts starts..stops: text, position, and a byte of each shingle up to ``span`` before and after it (0 beyond the text).
+def stand_ins(grams: np.ndarray, mid: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """The positions that stand for the windows of the least shingles ``mid`` of the texts starts..stops.
 
-    In a run of one shingle each position is the least of a window. Of every
-    STEP of them only the first is returned, whose span has room for the others.
+    In words said over and over, one, a pair or up to STEP / 2 of them, each
+    return of a shingle is the least of a window. Of those within a STEP only the
+    first stands for all, counted from the beginning of such a run, and the run's
+    last return stands too: so texts that share what goes before or after a run
+    have windows at the same distance from it.
     """
-    at = np.arange(len(grams))
-    new = np.ones(len(grams), bool)
-    new[1:] = grams[1:] != grams[:-1]
-    new[starts[starts < len(grams)]] = True
-    mid = np.unique(mid - (mid - np.maximum.accumulate(np.where(new, at, 0))[mid]) % STEP)
+    first, last, todo, at = mid.copy(), mid.copy(), np.arange(len(mid)), np.arange(len(grams))
+    for period in range(1, STEP // 2 + 1):
+        if not (grams[mid[todo]] == grams[np.maximum(mid[todo] - period, 0)])[mid[todo] >= period].any():
+            continue
+        again = np.zeros(len(grams) + 1, bool)
+        again[period:-1] = grams[period:] == grams[:-period]
+        again[np.minimum(starts[:, None] + np.arange(period), len(grams))] = False
+        again[np.minimum(stops, len(grams))] = False
+        since = np.maximum.accumulate(np.where(again[:-1], 0, at))
+        until = np.minimum.accumulate(np.where(again, len(grams), np.arange(len(grams) + 1))[::-1])[::-1]
+        now = todo[again[mid[todo]]]
+        own = mid[now]
+        first[now] -= (own - (since[own] + 1 - period)) // period % (STEP // period) * period
+        last[now] += (until[own] - 1 - own) // period * period
+        todo = todo[~again[mid[todo]]]
+    return np.unique(np.concatenate([first, last]))
+
+
+def text_around(grams: np.ndarray, mid: np.ndarray, starts: np.ndarray, stops: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For windows of the least shingles ``mid`` of the texts starts..stops, or what stands for them: text, position, and a byte of each shingle up to ``span`` before and after it (0 beyond the text)."""
+    mid = stand_ins(grams, mid, starts, stops)
     own = np.searchsorted(starts, mid, side="right") - 1
     spot = mid[:, None] + np.arange(-span, span + 1)
     inside = (spot >= starts[own][:, None]) & (spot < stops[own][:, None])

@@ -414,3 +414,21 @@ def test_windows_with_a_common_run_lead_to_the_first_that_holds_it():
             joined = substrings.merged(np.arange(16), *(np.array([h[k] for h in held], np.int64) for k in (0, 1)))
             assert len(set(joined[own].tolist())) == 1
             assert len(set(label[own].tolist())) == 1
+
+
+def test_returns_of_a_shingle_in_a_run_of_words_have_stand_ins():
+    rng = np.random.default_rng(14)
+    some = lambda n: rng.integers(1, 2**62, n, dtype=np.uint64)
+    for period in (*range(1, substrings.STEP // 2 + 1), 30):
+        texts = [np.concatenate([some(20), np.resize(some(period), 160), some(20)]), np.resize(some(period), 161), some(50)]
+        words, bounds = np.concatenate(texts), np.cumsum([0, *map(len, texts)])
+        grams, starts, stops = substrings.shingle_hashes(words, 5), bounds[:-1], bounds[1:] - 4
+        mid = np.concatenate([np.arange(a, b) for a, b in zip(starts, stops, strict=True)])
+        got = substrings.stand_ins(grams, mid, starts, stops)
+        own, text = np.searchsorted(starts, mid, side="right"), np.searchsorted(starts, got, side="right")
+        for m, o in zip(mid.tolist(), own.tolist(), strict=True):
+            near = got[(text == o) & (grams[got] == grams[m])]
+            assert ((near <= m) & (near > m - substrings.STEP)).any()
+            assert (stops[o - 1] > near).all() and near.max() == mid[(own == o) & (grams[mid] == grams[m])].max()
+        runs = period * (160 // (substrings.STEP // period * period) + 2) if period < 30 else 161  # in each of two texts
+        assert len(got) <= 2 * runs + 92

@@ -242,6 +242,20 @@ def test_a_common_phrase_hides_no_passage(spark):
     assert all(r.n_words >= 50 and r.similarity >= 0.8 for r in got)
 
 
+def test_a_pair_of_words_said_over_and_over_makes_few_candidates(spark):
+    """Each return of a shingle in a run is the least of a window: the rows for a document don't grow by one for each of them."""
+    rng = random.Random(18)
+    some = lambda n: [f"r{rng.randrange(10**9)}" for _ in range(n)]
+    tails = [some(40) for _ in range(20)]
+    rows = [(i, " ".join(some(60) + ["over", "again"] * 200 + tails[i // 2] + some(60))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert substrings.candidate_pairs(df).count() <= 40 * 40
+    got = substrings.repeated_passages(df).collect()
+    label = substrings.merged(np.arange(40), *(np.array([r[k] for r in got]) for k in (0, 1)))
+    assert (label == 0).all() and all(r.n_words >= 50 and r.similarity >= 0.8 for r in got)
+    assert all(any({r.doc_id, r.ref_doc_id} == {2 * i, 2 * i + 1} and r.n_words >= 440 for r in got) for i in range(20))  # the whole run and the tail that two of them share
+
+
 def test_decontamination(spark, docs):
     item = PASSAGE.split()[:20]
     item[6], item[13] = "changed", "too"
