@@ -16,6 +16,7 @@ driver. Readers memory-map both files.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -23,11 +24,12 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,8 +37,12 @@ from pyspark.sql import functions as F
 #: A run of letters that stands alone or before ASCII punctuation is tokenized once.
 _WORD = re.compile(r"([^\W\d_]+)([.,!?;:]*)")
 _CONTROL = re.compile(r"[\x1c-\x1f]")
+#: The like of ASCII letters, in lower case.
+_ASCII_WORD = "^(?P<word>[a-z]+)(?P<rest>[.,!?;:]*)$"
 #: Bytes that a worker keeps of pieces and their ids; an entry takes about ENTRY besides its characters.
 CACHE, ENTRY = 160 << 20, 200
+#: Words that the tokenizer encodes as one text, and bytes of texts that are split at once unless one is longer.
+WORDS, CHUNK = 100, 8 << 20
 
 
 class Encoder:
@@ -49,6 +55,11 @@ class Encoder:
     makes one token for either part, so only their parts are encoded, and
     these are pieces too: a word is kept once, alone or with punctuation after
     it. A tokenizer of another kind encodes whole texts.
+
+    New words are encoded many at a time, as one text with blanks between them:
+    where the model marks the ends of words, the ids tell where each ends. For
+    words of a-z alone, which the normalizer and the pre-tokenizer leave as they
+    are, a tokenizer of the same model without these does it.
     """
 
     def __init__(self, path: str, width: int) -> None:
@@ -61,13 +72,45 @@ class Encoder:
         spec = self.tokenizer.pre_tokenizer.__getstate__() + self.tokenizer.normalizer.__getstate__() if self.tokenizer.pre_tokenizer and self.tokenizer.normalizer else b""
         self.by_piece = rb"[^\\s\\p{L}\\p{N}]+" in spec.replace(rb"\\\\", rb"\\") and b'"invert":true' in spec and b'"Removed"' in spec and b"Lowercase" in spec
 
+        made, model = json.loads(self.tokenizer.to_str()), self.tokenizer.model
+        self.plain, self.ends = None, np.empty(0, bool)
+        if self.by_piece and b"ByteLevel" in spec and b'"add_prefix_space":false' in spec and (mark := getattr(model, "end_of_word_suffix", None)):
+            self.plain = Tokenizer.from_str(json.dumps(made | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}))
+            vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for name, i in vocabulary.items() if name.endswith(mark)]] = True
+
     def _bytes(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{self.kind}", *ids)
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
+    def _each(self, texts: list[str]) -> list[bytes]:
         return [self._bytes(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, tokenizer, words: list[str]) -> list[bytes]:
+        """The ids of words of letters, WORDS of them at a time."""
+        groups, out = [words[i : i + WORDS] for i in range(0, len(words), WORDS)], []
+        for group, got in zip(groups, tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(got.ids, np.int64)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(group):  # some letters are none to the tokenizer
+                out += self._each(group)
+                continue
+            data, width = ids.astype(f"<u{struct.calcsize(self.kind)}").tobytes(), struct.calcsize(self.kind)
+            cuts = [0, *(stops * width).tolist()]
+            out += [data[a:b] for a, b in zip(cuts, cuts[1:])]  # noqa: B905
+        return out
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        if self.plain is None:
+            return self._each(texts)
+        kinds = [(1 if t.isascii() and t.islower() else 2) if t.isalpha() else 0 for t in texts]
+        own = [[t for t, k in zip(texts, kinds, strict=True) if k == kind] for kind in range(3)]
+        got = [iter(self._each(own[0])), iter(self._words(self.plain, own[1])), iter(self._words(self.tokenizer, own[2]))]
+        return [next(got[k]) for k in kinds]
+
     def _parts_of(self, piece: str) -> tuple[str, ...]:
+        if piece.isascii() and piece.islower() and piece.isalpha():
+            return (piece,)
         word, rest = (piece, "") if piece.isalpha() else found.groups() if (found := _WORD.fullmatch(piece)) else ("", "")
         if word.isalpha():
             low = word.lower()
@@ -93,12 +136,37 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes of this encoder's width."""
-        if not self.by_piece:
-            return self._encode(texts)
-        split = [None if _CONTROL.search(t) else t.split() for t in texts]
-        self.learn(set(chain.from_iterable(s for s in split if s)))
-        get = self.pieces.__getitem__
-        return [self._encode([t])[0] if s is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
+        ids, sizes = self.encode_column(pa.array(texts, pa.string()))
+        return [own.tobytes() for own in np.split(ids, np.cumsum(sizes)[:-1])] if texts else []
+
+    def encode_column(self, texts: pa.Array, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, ``end`` after each, and how many each has; null counts as empty."""
+        texts = texts.fill_null("")
+        odd = pc.match_substring_regex(texts, _CONTROL.pattern) if self.by_piece else pa.array(np.ones(len(texts), bool))
+        whole = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        if len(whole):
+            texts, odd = pc.if_else(odd, "", texts), [t.as_py() for t in texts.take(pa.array(whole))]
+        split = pc.utf8_split_whitespace(texts)  # the same white space as str.split's; a text has one piece at least
+        named = split.flatten().dictionary_encode()
+        cut = pc.extract_regex(pc.ascii_lower(named.dictionary), _ASCII_WORD)  # null where a piece is of another kind
+        parts = [pc.coalesce(pc.struct_field(cut, [0]), named.dictionary).dictionary_encode(), pc.struct_field(cut, [1]).fill_null("").dictionary_encode()]
+        pieces = [x for part in parts for x in part.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        self.learn({p for p in pieces if p})
+        blobs = [self.pieces[p] if p else b"" for p in pieces]
+        own = np.column_stack([parts[0].indices.to_numpy(), parts[1].indices.to_numpy() + len(parts[0].dictionary)])
+        codes, stops = own[named.indices.to_numpy()].ravel(), 2 * np.cumsum(pc.list_value_length(split).to_numpy(), dtype=np.int64)
+        if len(whole):
+            codes[stops[whole] - 2] = len(blobs) + np.arange(len(whole))
+            blobs += self._each(odd)
+        codes = np.insert(codes, stops, len(blobs))
+        blobs.append(end)
+        table = np.frombuffer(b"".join(blobs), f"<u{struct.calcsize(self.kind)}")
+        size = np.fromiter(map(len, blobs), np.int64, len(blobs)) // table.itemsize
+        many = size[codes]
+        after = np.cumsum(many)
+        place = np.repeat((np.cumsum(size) - size)[codes] - (after - many), many)
+        place += np.arange(len(place))
+        return table[place], np.diff(after[stops + np.arange(len(stops))], prepend=0)
 
 
 _encoders: dict[tuple[str, int], Encoder] = {}
@@ -195,22 +263,25 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
 
         def blocks() -> Iterator[bytes]:
             for batch in batches:
-                ids.extend(-1 if i is None else i for i in batch.column(0).to_pylist())
-                rows = iter(t or "" for t in batch.column(1).to_pylist())
-                while some := list(islice(rows, 512)):
-                    for got in enc.encode(some):
-                        sizes.append(len(got) // width + 1)
-                        yield got
-                        yield end
+                ids.append(batch.column(0).cast(pa.int64()).fill_null(-1).to_numpy())
+                texts = batch.column(1)
+                held = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(), dtype=np.int64)
+                first = 0
+                while first < len(texts):
+                    last = max(first + 1, int(np.searchsorted(held, (held[first - 1] if first else 0) + CHUNK, side="right")))
+                    got, many = enc.encode_column(texts.slice(first, last - first), end)
+                    sizes.append(many)
+                    yield got.tobytes()
+                    first = last
 
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
         batches = chain([first], batches)
         store.write(f"{name}.ids", blocks())
-        offsets = np.concatenate([[0], np.cumsum(np.array(sizes, dtype="<i8"))])
-        store.write(f"{name}.idx", iter([np.concatenate([[len(ids)], ids, offsets]).astype("<i8").tobytes()]))
-        yield pa.record_batch([pa.array([name]), pa.array([len(ids)], pa.int64()), pa.array([int(offsets[-1])], pa.int64())], names=["shard", "docs", "tokens"])
+        docs, offsets = np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+        store.write(f"{name}.idx", iter([np.concatenate([[len(docs)], docs, offsets]).astype("<i8").tobytes()]))
+        yield pa.record_batch([pa.array([name]), pa.array([len(docs)], pa.int64()), pa.array([int(offsets[-1])], pa.int64())], names=["shard", "docs", "tokens"])
 
     ordered = docs.select("doc_id", "text")
     if by_id:

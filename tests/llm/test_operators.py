@@ -341,6 +341,32 @@ def test_a_word_is_kept_once_and_not_encoded_again(monkeypatch):
     assert got == own([" ".join(words[i::2]) + " " + " ".join(f"{w}{',.'[i]}" for w in words[i::2]) for i in (0, 1)])
 
 
+def test_columns_encode_as_whole_texts_with_few_calls():
+    from tokenizers import Tokenizer
+
+    path, rng = default_tokenizer(), random.Random(2)
+    letters = ["abcdefghijklmnopqrstuvwxyz", "abcäöüßéêσςñ", "дежзиклмн", "ABCdef"]
+    words = ["".join(rng.choices(letters[i % 4], k=rng.randrange(1, 12))) for i in range(4000)]
+    odd = ["\x1c", "\x85", "\u3000", "Σ", "İ", "don't", "a1b", "e\u0301", "--", "ﬁn", "\u1cff", "<|endoftext|>", "\U0001df00x"]
+    texts = [" ".join(rng.choice(odd) if rng.random() < 0.1 else rng.choice(words) + rng.choice(["", "", ",", "!!"]) for _ in range(rng.randrange(60))) for _ in range(300)]
+    texts = [*texts, None, "", "  ", " a ", "\x1d"]
+    encoder, tokenizer, calls = token_files.Encoder(path, 2), Tokenizer.from_file(path), []
+
+    class Counted:
+        def __init__(self, own):
+            self.own = own
+
+        def encode_batch_fast(self, some, **options):
+            calls.extend(some)
+            return self.own.encode_batch_fast(some, **options)
+
+    encoder.tokenizer, encoder.plain = Counted(encoder.tokenizer), Counted(encoder.plain)
+    got, sizes = encoder.encode_column(token_files.pa.array(["left out", *texts]).slice(1), b"\2\0")
+    want = [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    assert sizes.tolist() == [len(w) for w in want] and got.tolist() == [i for w in want for i in w]
+    assert len(calls) < 400  # a word alone takes longer than one among others
+
+
 def test_near_vectors_recall_and_odd_rows(spark):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((600, 32))
