@@ -217,6 +217,7 @@ def score_quality(docs: DataFrame, net: ByteNet) -> DataFrame:
     schema = docs.select(*(F.col(f"`{c}`") for c in rest)).schema.add("quality_score", "double")
     at = rest.index("text")
 
+    @hashing.frugal
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = hashing.texts(batch.column(at))

@@ -16,7 +16,6 @@ driver. Readers memory-map both files.
 
 from __future__ import annotations
 
-import json
 import os
 import re
 import struct
@@ -26,6 +25,7 @@ import zlib
 from collections.abc import Iterator
 from itertools import chain
 from typing import NamedTuple
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -34,15 +34,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clausediff.llm.hashing import frugal
+from clausediff.llm.storage import SMALL_BATCHES, configured
+
 #: A run of letters that stands alone or before ASCII punctuation is tokenized once.
-_WORD = re.compile(r"([^\W\d_]+)([.,!?;:]*)")
+_PUNCTUATION = r"[!-/:-@\[-`{-~]*"
+_WORD = re.compile(rf"([^\W\d_]+)({_PUNCTUATION})")
 _CONTROL = re.compile(r"[\x1c-\x1f]")
-#: The like of ASCII letters, in lower case.
-_ASCII_WORD = "^(?P<word>[a-z]+)(?P<rest>[.,!?;:]*)$"
+#: The like of Latin letters that are one character in either case.
+_LATIN_WORD = rf"^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<rest>{_PUNCTUATION})$"
 #: Bytes that a worker keeps of pieces and their ids; an entry takes about ENTRY besides its characters.
-CACHE, ENTRY = 160 << 20, 200
+CACHE, ENTRY = 40 << 20, 200
 #: Words that the tokenizer encodes as one text, and bytes of texts that are split at once unless one is longer.
-WORDS, CHUNK = 100, 8 << 20
+WORDS, CHUNK = 100, 1 << 20
 
 
 class Encoder:
@@ -64,6 +68,7 @@ class Encoder:
 
     def __init__(self, path: str, width: int) -> None:
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = {2: "H", 4: "I"}[width]
@@ -72,10 +77,11 @@ class Encoder:
         spec = self.tokenizer.pre_tokenizer.__getstate__() + self.tokenizer.normalizer.__getstate__() if self.tokenizer.pre_tokenizer and self.tokenizer.normalizer else b""
         self.by_piece = rb"[^\\s\\p{L}\\p{N}]+" in spec.replace(rb"\\\\", rb"\\") and b'"invert":true' in spec and b'"Removed"' in spec and b"Lowercase" in spec
 
-        made, model = json.loads(self.tokenizer.to_str()), self.tokenizer.model
+        model = self.tokenizer.model
         self.plain, self.ends = None, np.empty(0, bool)
         if self.by_piece and b"ByteLevel" in spec and b'"add_prefix_space":false' in spec and (mark := getattr(model, "end_of_word_suffix", None)):
-            self.plain = Tokenizer.from_str(json.dumps(made | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}))
+            self.plain = Tokenizer(model)  # in memory once
+            self.plain.pre_tokenizer = WhitespaceSplit()
             vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
             self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
             self.ends[[i for name, i in vocabulary.items() if name.endswith(mark)]] = True
@@ -114,7 +120,8 @@ class Encoder:
         word, rest = (piece, "") if piece.isalpha() else found.groups() if (found := _WORD.fullmatch(piece)) else ("", "")
         if word.isalpha():
             low = word.lower()
-            if len(low) == len(word) and low.isalpha() and "Σ" not in word:
+            # the normalizer makes a letter and a mark of some letters, and marks are one with punctuation
+            if len(low) == len(word) and low.isalpha() and "Σ" not in word and is_normalized("NFC", low):
                 return (low, rest) if rest else (low,)
         return (piece,)
 
@@ -148,8 +155,8 @@ class Encoder:
             texts, odd = pc.if_else(odd, "", texts), [t.as_py() for t in texts.take(pa.array(whole))]
         split = pc.utf8_split_whitespace(texts)  # the same white space as str.split's; a text has one piece at least
         named = split.flatten().dictionary_encode()
-        cut = pc.extract_regex(pc.ascii_lower(named.dictionary), _ASCII_WORD)  # null where a piece is of another kind
-        parts = [pc.coalesce(pc.struct_field(cut, [0]), named.dictionary).dictionary_encode(), pc.struct_field(cut, [1]).fill_null("").dictionary_encode()]
+        cut = pc.extract_regex(named.dictionary, _LATIN_WORD)  # null where a piece is of another kind
+        parts = [pc.coalesce(pc.utf8_lower(pc.struct_field(cut, [0])), named.dictionary).dictionary_encode(), pc.struct_field(cut, [1]).fill_null("").dictionary_encode()]
         pieces = [x for part in parts for x in part.dictionary.to_numpy(zero_copy_only=False).tolist()]
         self.learn({p for p in pieces if p})
         blobs = [self.pieces[p] if p else b"" for p in pieces]
@@ -169,6 +176,16 @@ class Encoder:
         return table[place], np.diff(after[stops + np.arange(len(stops))], prepend=0)
 
 
+def encoded(enc: Encoder, texts: pa.Array, end: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``enc.encode_column`` of runs of rows of about CHUNK bytes."""
+    held = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(), dtype=np.int64)
+    first = 0
+    while first < len(texts):
+        last = max(first + 1, int(np.searchsorted(held, (held[first - 1] if first else 0) + CHUNK, side="right")))
+        yield enc.encode_column(texts.slice(first, last - first), end)
+        first = last
+
+
 _encoders: dict[tuple[str, int], Encoder] = {}
 
 
@@ -256,6 +273,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     end = np.array([end_id], dtype=f"<u{width}").tobytes()
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
+    @frugal
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, enc = Store(folder), encoder(tokenizer, width)
         name = f"{TaskContext.get().partitionId():05d}"
@@ -264,15 +282,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         def blocks() -> Iterator[bytes]:
             for batch in batches:
                 ids.append(batch.column(0).cast(pa.int64()).fill_null(-1).to_numpy())
-                texts = batch.column(1)
-                held = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(), dtype=np.int64)
-                first = 0
-                while first < len(texts):
-                    last = max(first + 1, int(np.searchsorted(held, (held[first - 1] if first else 0) + CHUNK, side="right")))
-                    got, many = enc.encode_column(texts.slice(first, last - first), end)
+                for got, many in encoded(enc, batch.column(1), end):
                     sizes.append(many)
                     yield got.tobytes()
-                    first = last
 
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
@@ -286,7 +298,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     ordered = docs.select("doc_id", "text")
     if by_id:
         ordered = ordered.repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "text")
-    shards = sorted(ordered.mapInArrow(write, "shard string, docs long, tokens long").collect())
+    with configured(spark, SMALL_BATCHES):
+        shards = sorted(ordered.mapInArrow(write, "shard string, docs long, tokens long").collect())
     bases = np.concatenate([[0], np.cumsum([s.tokens for s in shards], dtype=np.int64)])
     return Corpus(folder, width, [(s.shard, int(b), s.docs, s.tokens) for s, b in zip(shards, bases, strict=False)])
 

@@ -367,6 +367,60 @@ def test_columns_encode_as_whole_texts_with_few_calls():
     assert len(calls) < 400  # a word alone takes longer than one among others
 
 
+def test_words_before_any_punctuation_are_kept_once():
+    from tokenizers import Tokenizer
+
+    path = default_tokenizer()
+    encoder, tokenizer = token_files.Encoder(path, 2), Tokenizer.from_file(path)
+    words = ["plain", "Élan", "straße", "дом", "\u0958", "q\u0958", "\ufb2a", "İ", "ς", "\u212b"]
+    texts = [w + rest for w in words for rest in ("", ",", "###", "'", "_<>", "`=!", "'s", "<|endoftext|>")]
+    assert encoder.encode(texts) == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
+    assert "straße" in encoder.pieces and not {"plain###", "straße,", "Élan_<>", "élan_<>"} & encoder.pieces.keys()
+
+
+_FRESH_WORDS = """
+import re, sys
+sys.path[:] = {path!r}
+import pyarrow as pa
+from clausediff.llm import token_files
+from clausediff.llm.queries.op3 import default_tokenizer
+
+def peak():
+    return int(re.search(r"VmHWM:\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+
+def word(n):
+    return "".join(chr(97 + n * 7919 // 26**i % 26) for i in range(7))
+
+encoder = token_files.Encoder(default_tokenizer(), 2)
+columns = [pa.array([" ".join(map(word, range(a + b, a + b + 400))) for b in range(0, 400_000, 400)]) for a in (0, 400_000)]
+before = peak()
+for texts in columns:
+    for _ in token_files.encoded(encoder, texts, b"\\2\\0"):
+        pass
+print(peak() - before)
+"""
+
+
+def test_a_worker_stays_small_whatever_words_come():
+    import subprocess
+    import sys
+
+    ran = subprocess.run([sys.executable, "-c", _FRESH_WORDS.format(path=sys.path)], capture_output=True, text=True, timeout=300)
+    assert ran.returncode == 0, ran.stderr
+    assert float(ran.stdout) < 220  # MB beyond the tokenizer and 6 MB of texts; about 150, and 384 with all texts of a column split at once
+
+
+def test_texts_come_to_the_encoder_in_small_batches(spark):
+    def sized(batches):
+        for batch in batches:
+            yield token_files.pa.record_batch([token_files.pa.array([batch.nbytes] * batch.num_rows, token_files.pa.int64()), batch.column(0)], names=["doc_id", "text"])
+
+    long = spark.range(0, 400, 1, 1).selectExpr("repeat('some words ', 3000 + id % 2) as text").mapInArrow(sized, "doc_id long, text string")
+    corpus = token_files.write_token_files(long, new_folder(spark, "t"), default_tokenizer(), by_id=False)
+    assert token_files.read_token_files(spark, corpus).agg({"doc_id": "max"}).first()[0] < 5 << 20 < 400 * 33_000
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") != "4m"
+
+
 def test_near_vectors_recall_and_odd_rows(spark):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((600, 32))
