@@ -327,7 +327,8 @@ def read_token_files(spark: SparkSession, corpus: Corpus) -> DataFrame:
                         names=["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
 
-    shards = spark.createDataFrame([(s[0], s[1]) for s in corpus.shards], "shard string, base long")
+    # from Arrow: rows from a list pass through Python workers of another daemon, which then stay in the executors' memory
+    shards = spark.createDataFrame(pa.table({"shard": pa.array([s[0] for s in corpus.shards], pa.string()), "base": pa.array([s[1] for s in corpus.shards], pa.int64())}))
     return shards.repartition(max(1, len(corpus.shards)), F.col("shard")).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -421,6 +421,13 @@ def test_texts_come_to_the_encoder_in_small_batches(spark):
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") != "4m"
 
 
+def test_the_shards_table_needs_no_python_workers_of_its_own(spark, tmp_path):
+    corpus = token_files.Corpus(str(tmp_path), 2, [("00000", 0, 1, 1), ("00001", 1, 1, 1)])
+    for some in (corpus, corpus._replace(shards=[])):
+        plan = token_files.read_token_files(spark, some)._jdf.queryExecution().optimizedPlan().toString()
+        assert "ExternalRDD" not in plan and "LogicalRDD" not in plan and ("LocalRelation" in plan or not some.shards), plan
+
+
 def test_near_vectors_recall_and_odd_rows(spark):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((600, 32))
